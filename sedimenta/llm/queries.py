@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import compression
+from sedimenta.llm import compression, rules, urls
 from sedimenta.llm.tables import table
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.fit(spark))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_fold=2)
 
@@ -17,6 +25,8 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_url_filter,
+        op8_quality_rules,
         op10_compression_quality,
     )
 }
