@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import compression, rules, urls
+from sedimenta.llm import chat, compression, rules, urls
 from sedimenta.llm.tables import table
 
 
+#: Byte-level vocabulary as tiktoken ranks; without the file, tokens are bytes.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    ranks = Path(tokenizer).read_bytes() if Path(tokenizer).exists() else None  # under 1 MB, sent with the task
+    said = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id AS bigint) AS conv_id", "cast(turn AS bigint) AS turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], said.schema)
+    return chat.read_back(chat.packs(said.unionAll(more), ranks), ranks)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.fit(spark))
 
@@ -25,6 +38,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat_prefix_tree,
         op2_url_filter,
         op8_quality_rules,
         op10_compression_quality,
