@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, compression, rules, urls
+from sedimenta.llm import chat, compression, pages, rules, urls
 from sedimenta.llm.tables import table
 
 
@@ -31,6 +31,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_fold=2)
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_prefix_tree,
         op2_url_filter,
         op8_quality_rules,
+        op9_page_text,
         op10_compression_quality,
     )
 }
