@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, compression, pages, rules, simhash, urls
+from sedimenta.llm import chat, compression, pages, rules, simhash, substrings, urls
 from sedimenta.llm.tables import table
 
 
@@ -27,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), urls.fit(spark))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut(table(spark, sf_dir, "documents")).selectExpr("doc_id", "_n_words AS n_words", "_n_removed AS n_removed", "_kept_sha256 AS kept_sha256")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_prefix_tree,
         op2_url_filter,
+        op3_substring_dedup,
         op5_simhash_near_dedup,
         op8_quality_rules,
         op9_page_text,
