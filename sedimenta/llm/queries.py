@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, compression, pages, rules, simhash, substrings, urls
+from sedimenta.llm import chat, compression, mixing, pages, rules, simhash, substrings, urls
 from sedimenta.llm.tables import table
 
 
@@ -31,6 +31,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cut(table(spark, sf_dir, "documents")).selectExpr("doc_id", "_n_words AS n_words", "_n_removed AS n_removed", "_kept_sha256 AS kept_sha256")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_prefix_tree,
         op2_url_filter,
         op3_substring_dedup,
+        op4_mixing,
         op5_simhash_near_dedup,
         op8_quality_rules,
         op9_page_text,
@@ -60,4 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE_SQL,
+}
