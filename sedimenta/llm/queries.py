@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, compression, mixing, pages, rules, simhash, substrings, urls
+from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules, simhash, substrings, urls
 from sedimenta.llm.tables import table
 
 
@@ -39,6 +39,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_substring_dedup,
         op4_mixing,
         op5_simhash_near_dedup,
+        op6_benchmark_decontamination,
         op8_quality_rules,
         op9_page_text,
         op10_compression_quality,
