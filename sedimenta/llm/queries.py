@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules, simhash, substrings, urls
+from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules, simhash, substrings, toxicity, urls
 from sedimenta.llm.tables import table
 
 
@@ -43,6 +43,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_fold=1)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_mixing,
         op5_simhash_near_dedup,
         op6_benchmark_decontamination,
+        op7_toxicity,
         op8_quality_rules,
         op9_page_text,
         op10_compression_quality,
