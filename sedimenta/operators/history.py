@@ -6,10 +6,15 @@ are inclusive: a commit exactly ``days`` old is inside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
+WINDOWS = (30, 90, 365)
+#: Commits with more files than this count as changes but make no pairs.
+WIDEST_COMMIT = 50
+#: Pair rows beyond which a report is empty and says why, instead of being cut.
+PAIR_CEILING = 1_000_000_000
 
 
 def head(commits: DataFrame) -> DataFrame:
@@ -25,3 +30,120 @@ def within(days: int) -> Column:
 def touched(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     """commit_files with each commit's time and identity, and the head time (one row, broadcast)."""
     return commit_files.join(commits, "commit").crossJoin(F.broadcast(head(commits)))
+
+
+def facts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """A row per path: commits, changes by window, lines, first and last time, contributors."""
+    return touched(commits, commit_files).groupBy("path").agg(
+        F.count("*").alias("commits"),
+        *(F.count(F.when(within(d), 1)).alias(f"changes_{d}d") for d in WINDOWS),
+        F.sum("lines_added").alias("lines_added"),
+        F.sum("lines_deleted").alias("lines_deleted"),
+        F.min(F.unix_timestamp("ts")).alias("first_ts"),
+        F.max(F.unix_timestamp("ts")).alias("last_ts"),
+        F.countDistinct("identity").alias("contributors"),
+        F.countDistinct(F.when(within(90), F.col("identity"))).alias("recent_contributors"),
+    )
+
+
+def recency(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """A row per window: how many commits, files and touches are inside."""
+    t = touched(commits, commit_files)
+    windows = F.explode(F.array(*(F.when(within(d), F.lit(d)) for d in WINDOWS))).alias("window_days")
+    return t.select("commit", "path", windows).where("window_days IS NOT NULL").groupBy("window_days").agg(
+        F.countDistinct("commit").alias("commits"), F.countDistinct("path").alias("files"), F.count("*").alias("touches")
+    )
+
+
+def touches(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """(path, identity, touches): one per commit."""
+    return commit_files.select("commit", "path").distinct().join(commits, "commit").groupBy("path", "identity").agg(F.count("*").alias("touches"))
+
+
+def concentration(by_identity: DataFrame, key: str = "path") -> DataFrame:
+    """Per key: authors, total touches, the top author's share, and the bus factor.
+
+    The bus factor is the least number of authors, by touches and then identity, that have half of the touches.
+    """
+    of_key = Window.partitionBy(key)
+    ranked = of_key.orderBy(F.desc("touches"), F.asc("identity"))
+    told = by_identity.withColumns({
+        "total": F.sum("touches").over(of_key),
+        "rank": F.row_number().over(ranked),
+        "so_far": F.sum("touches").over(ranked.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    return told.groupBy(key).agg(
+        F.count("*").alias("authors"),
+        F.max("total").alias("touches"),
+        F.min(F.when(F.col("rank") == 1, F.col("identity"))).alias("top_author"),
+        F.round(F.max("touches") / F.max("total") * 100, 6).alias("top_share"),
+        F.min(F.when(2 * F.col("so_far") >= F.col("total"), F.col("rank"))).alias("bus_factor"),
+    )
+
+
+def ancestors(path: Column) -> Column:
+    """Every directory above a path, and ``.``."""
+    parts = F.split(path, "/")
+    inner = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    return F.concat(F.array(F.lit(".")), inner)
+
+
+def rolled_up(df: DataFrame, *aggregates: Column, path: str = "path") -> DataFrame:
+    """aggregates for every ancestor directory; each row counts once for each of them."""
+    return df.withColumn("module", F.explode(ancestors(F.col(path)))).groupBy("module").agg(*aggregates)
+
+
+def module_touches(by_identity: DataFrame) -> DataFrame:
+    """(module, identity, touches) from (path, identity, touches)."""
+    return by_identity.withColumn("module", F.explode(ancestors(F.col("path")))).groupBy("module", "identity").agg(F.sum("touches").alias("touches"))
+
+
+def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMIT, ceiling: int = PAIR_CEILING) -> DataFrame:
+    """Unordered pairs (source < target) of files changed together at least so often.
+
+    Pairs come from commits of at most ``widest`` files; a file's changes count all its commits. The width bounds
+    the pairs of a commit, so pairs grow in proportion to commits. Past the ceiling there are no rows at all.
+    """
+    files = commit_files.select("commit", "path").distinct()
+    totals = files.groupBy("path").agg(F.count("*").alias("changes"))
+    narrow = files.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n")).where(F.col("n") <= widest)
+    allowed = narrow.agg((F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)) <= ceiling).alias("allowed"))
+    pairs = (
+        narrow.crossJoin(F.broadcast(allowed)).where("allowed")
+        .select("paths", F.posexplode("paths").alias("i", "source"))
+        .select("source", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("target"))
+        .groupBy("source", "target").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
+    )
+    of = lambda side: totals.select(F.col("path").alias(side), F.col("changes").alias(f"{side}_changes"))
+    both = pairs.join(of("source"), "source").join(of("target"), "target")
+    return both.select(
+        "source", "target", "co_changes", "source_changes", "target_changes",
+        F.round(F.col("co_changes") / F.col("source_changes"), 6).alias("forward"),
+        F.round(F.col("co_changes") / F.col("target_changes"), 6).alias("backward"),
+        F.round(F.col("co_changes") / (F.col("source_changes") + F.col("target_changes") - F.col("co_changes")), 6).alias("jaccard"),
+    )
+
+
+def coupled_with(commit_files: DataFrame, target: object, least: int = 2, widest: int = WIDEST_COMMIT, limit: int = 20) -> DataFrame:
+    """Files that change with one target: its narrow commits, by share of the target's changes; a top-k report."""
+    files = commit_files.select("commit", "path").distinct()
+    own = files.where(F.col("path") == F.lit(target)).select("commit")
+    near = files.join(own, "commit", "left_semi")
+    narrow = near.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= widest).select("commit")
+    together = near.join(narrow, "commit").where(F.col("path") != F.lit(target)).groupBy("path").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
+    changes = files.join(together.select("path"), "path", "left_semi").groupBy("path").agg(F.count("*").alias("changes"))
+    mine = own.agg(F.count("*").alias("target_changes"))
+    return (
+        together.join(changes, "path").crossJoin(F.broadcast(mine))
+        .select("path", "co_changes", "changes", "target_changes", F.round(F.col("co_changes") / F.col("target_changes"), 6).alias("directional"))
+        .orderBy(F.desc("directional"), F.desc("co_changes"), F.asc("path")).limit(limit)
+    )
+
+
+def resolved_identities(commits: DataFrame, mailmap: DataFrame) -> DataFrame:
+    """commits with identity by mailmap(ord, old_name, old_email, new_identity): a rule with a name beats one of the email alone, then the first wins."""
+    rules = mailmap.select(F.lower("old_email").alias("_email"), F.lower("old_name").alias("_name"), "new_identity", F.struct(F.col("old_name").isNull().alias("later"), "ord").alias("_order"))
+    keyed = commits.withColumn("_row", F.monotonically_increasing_id())
+    fits = (F.lower("email") == F.col("_email")) & (F.col("_name").isNull() | (F.col("_name") == F.lower("author")))
+    best = keyed.join(rules, fits).groupBy("_row").agg(F.min_by("new_identity", "_order").alias("_new"))
+    return keyed.join(best, "_row", "left").withColumn("identity", F.coalesce("_new", F.lower("email"))).drop("_row", "_new")
