@@ -1,52 +1,8 @@
-"""Registered queries over the stored tables and the SQL each is held against."""
+"""All registered queries over the stored tables and the SQL each is held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sedimenta.plans import of_graphs, of_history, of_quality
+from sedimenta.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-from sedimenta.operators.hotspots import hotspots
-from sedimenta.plans import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function under its name, with its oracle."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-COMMIT_FILES = """commit_files AS (
-  SELECT l_orderkey AS "commit", l_partkey AS path, CAST(sum(l_quantity) AS BIGINT) AS lines_added,
-         CAST(round(sum(round(l_tax * 100))) AS BIGINT) AS lines_deleted
-  FROM lineitem GROUP BY ALL)"""
-
-
-def _hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotspots(A.functions(spark, sf_dir), A.commits(spark, sf_dir), A.commit_files(spark, sf_dir))
-
-
-QUERIES["hotspots"] = _hotspots
-ORACLE_SQL["hotspots"] = f"""
-WITH {COMMIT_FILES},
-head AS (SELECT max(o_orderdate) AS h FROM orders),
-ch AS (SELECT path, count(*) FILTER (WHERE epoch(h) - epoch(o_orderdate) <= 365 * 86400) AS changes
-       FROM commit_files JOIN orders ON o_orderkey = "commit", head GROUP BY path),
-f AS (SELECT l_partkey AS path, CAST(max(round(l_discount * 100)) AS INT) AS max_cognitive, max(l_linenumber) AS max_cyclomatic,
-        count(*) AS functions,
-        round(sum(CASE WHEN l_returnflag <> 'N' THEN greatest(CAST(l_quantity AS INT), 1) * (1 - round(l_tax * 100) / 10) END)
-          / sum(CASE WHEN l_returnflag <> 'N' THEN greatest(CAST(l_quantity AS INT), 1) END), 6) AS coverage
-      FROM lineitem GROUP BY 1)
-SELECT path, max_cognitive, max_cyclomatic, functions, coverage, changes, CAST(max_cognitive AS BIGINT) * changes AS score
-FROM f LEFT JOIN ch USING (path)
-ORDER BY coalesce(CAST(max_cognitive AS BIGINT) * changes, 0) DESC, max_cognitive DESC, max_cyclomatic DESC, path LIMIT 50
-"""
+__all__ = ["ORACLE_SQL", "QUERIES", "of_graphs", "of_history", "of_quality"]
