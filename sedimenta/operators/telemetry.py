@@ -29,8 +29,8 @@ def quantiles(histogram: DataFrame, key: str, shares: tuple[float, ...]) -> Data
     order = Window.partitionBy(key).orderBy(F.asc_nulls_last("le"))
     every = Window.partitionBy(key)
     rows = histogram.withColumns({
-        "lower": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "before": F.lag("n", 1, 0).over(order), "total": F.max("n").over(every), "last": F.max("le").over(every), "share": F.explode(F.array(*map(F.lit, shares))),
-    })
+        "lower": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "before": F.lag("n", 1, 0).over(order), "total": F.max("n").over(every), "last": F.max("le").over(every),
+    }).withColumn("share", F.explode(F.array(*map(F.lit, shares))))
     hit = rows.where((F.col("total") > 0) & (F.col("n") >= F.col("share") * F.col("total"))).groupBy(key, "share").agg(F.min_by(F.struct("le", "lower", "before", "n", "total", "last"), F.coalesce("le", F.lit(float("inf")))).alias("b"))
     width = F.col("b.n") - F.col("b.before")
     value = F.when(F.col("b.le").isNull(), F.col("b.last")).when(width <= 0, F.col("b.le")).otherwise(F.col("b.lower") + (F.col("b.le") - F.col("b.lower")) * (F.col("share") * F.col("b.total") - F.col("b.before")) / width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.plans import of_graphs, of_history, of_quality
+from sedimenta.plans import of_code, of_findings, of_graphs, of_history, of_quality, of_telemetry
 from sedimenta.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "of_graphs", "of_history", "of_quality"]
+__all__ = ["ORACLE_SQL", "QUERIES", "of_code", "of_findings", "of_graphs", "of_history", "of_quality", "of_telemetry"]
