@@ -113,9 +113,7 @@ def sql_findings(files: DataFrame, large_offset: int = LARGE_OFFSET) -> DataFram
         cases.append(F.when(hit, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))))
     wild = F.lower(F.col("raw")).rlike(r"\bi?like\s+'%")
     cases.append(F.when(wild, F.struct(F.lit("leading_wildcard").alias("rule"), F.lit("medium").alias("severity"))))
-    offset = F.regexp_extract("sql", r"\boffset\s+(\d+)", 1)
-    cases.append(F.when(F.expr("try_cast(nullif(regexp_extract(sql, '\\\\boffset\\\\s+(\\\\d+)', 1), '') AS bigint)") > large_offset, F.struct(F.lit("large_offset").alias("rule"), F.lit("medium").alias("severity"))))
-    del offset
+    cases.append(F.when(F.nullif(F.regexp_extract("sql", r"\boffset\s+(\d+)", 1), F.lit("")).try_cast("bigint") > large_offset, F.struct(F.lit("large_offset").alias("rule"), F.lit("medium").alias("severity"))))
     found = s.select("path", "line", F.explode(F.filter(F.array(*cases), lambda r: r.isNotNull())).alias("r"))
     return found.select("path", "line", "r.rule", "r.severity")
 
