@@ -3,16 +3,15 @@
 A window's fingerprint is the least hash of the runs of GRAM words in it. Equal windows have equal
 fingerprints, at equal places, and neighbouring windows mostly share theirs, so a text of n words
 has about n / 13 *anchors* (fingerprint, first window, number of windows) that stand for all its
-windows. The index is log-structured: each batch becomes an immutable run of (fingerprint, how often, least
-and greatest hash of the whole stretch under an anchor), sorted by fingerprint. A new batch's run is
-merge-joined with the historical ones; fingerprints found twice or more are candidates. Runs are
-compacted into one by merging equal fingerprints.
+windows. The index is log-structured: each batch becomes an immutable run of (fingerprint, hash of the whole
+stretch under an anchor, how often), sorted by fingerprint. A new batch's run is merge-joined with the
+historical ones; fingerprints found twice or more are candidates. Runs are compacted into one by merging equal rows.
 
-Candidates are verified. Where all anchors of a fingerprint have the same stretch, all their windows
-repeat (64 bits of fingerprint and 64 of the stretch agree). Else one anchor for each distinct stretch gives two
-64-bit hashes of each of its windows, weighed by how many anchors have that stretch, and windows with the
-same 128 bits twice or more repeat. Passages that are in many documents are thus counted before they are joined,
-and nothing but one document's own marks is ever gathered.
+Candidates are verified. All windows of a stretch that is there twice or more repeat (64 bits of fingerprint and 64 of
+the stretch agree). Of a stretch that is there once, under a fingerprint that is there more often, two 64-bit hashes of each
+window are counted with those of one anchor for each other stretch of that fingerprint, and windows with the same 128 bits
+twice or more repeat. Passages that are in many documents are thus counted before they are joined, and nothing but one
+document's own marks is ever gathered.
 
 A null text has no words. Repeated rows are rows: each repeats the other. A null doc_id is a document like others.
 A text with fewer than WINDOW words is kept whole. An empty table gives no rows.
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.tables import staged
@@ -85,26 +84,31 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Sorted immutable runs of (m, n, lo, hi); lo and hi are null where n is 1 or they're not known."""
+    """Sorted immutable runs of (m, span, n): how often each stretch under a fingerprint is in the batches so far.
+
+    Beside the runs it keeps where its batches' anchors and texts are stored, to verify what is only partly equal.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.runs = spark, []
-
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Takes a batch's anchors in as a run; its fingerprints that are now there twice or more: (m, settled)."""
-        counted = batch.groupBy("m").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-        several = F.col("n") > 1
-        run = staged(counted.select("m", "n", F.when(several, F.col("lo")).alias("lo"), F.when(several, F.col("hi")).alias("hi")).sortWithinPartitions("m"))
-        found = run
-        for past in self.runs:  # both sides are sorted by m: a merge join
-            past = past.select("m", F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-            known = F.col("_n").isNull()
-            same = (F.col("lo") == F.col("hi")) & (F.col("_lo") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
-            found = found.join(past.hint("merge"), "m", "left").select(
-                "m", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.when(known | same, F.col("lo")).alias("lo"), F.when(known | same, F.col("hi")).alias("hi")
-            )
-        self.runs = [*self.runs, run]
-        return found.where("n > 1").select("m", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("settled"))
+        self.spark, self.runs, self.batches = spark, [], []
+
+    def append(self, found: DataFrame, source: DataFrame) -> DataFrame:
+        """Takes a batch's stored anchors in as a run, merge-joined with the historical runs.
+
+        Returns (m, span, n, several): the batch's stretches whose fingerprint is in the index twice or more, how
+        often the stretch is, and whether another stretch under the fingerprint is there just once.
+        """
+        run = staged(found.groupBy("m", "span").agg(F.count("*").alias("n")).sortWithinPartitions("m", "span"))
+        total = run.withColumn("_own", F.lit(1))
+        for past in self.runs:
+            # what history has under the batch's fingerprints; both sides are sorted by m
+            total = total.unionAll(past.hint("merge").join(run.select("m").distinct(), "m", "left_semi").withColumn("_own", F.lit(0)))
+        if self.runs:
+            total = total.groupBy("m", "span").agg(F.sum("n").alias("n"), F.max("_own").alias("_own"))
+        of_m = Window.partitionBy("m")
+        told = total.withColumns({"_all": F.sum("n").over(of_m), "_least": F.min("n").over(of_m)})
+        self.runs, self.batches = [*self.runs, run], [*self.batches, (found, source)]
+        return told.where("_all > 1 AND _own = 1").select("m", "span", "n", (F.col("_least") == 1).alias("several"))
 
     def compact(self) -> None:
         """One run instead of all."""
@@ -112,65 +116,58 @@ class Index:
             rows = self.runs[0]
             for run in self.runs[1:]:
                 rows = rows.unionAll(run)
-            # a stretch that one of several runs doesn't know isn't settled
-            known = F.count("*") == F.count("lo")
-            self.runs = [staged(rows.groupBy("m").agg(F.sum("n").alias("n"), F.when(known, F.min("lo")).alias("lo"), F.when(known, F.max("hi")).alias("hi")).sortWithinPartitions("m"))]
-
-    def repeated(self) -> DataFrame:
-        """All fingerprints that are in the index twice or more: (m, settled)."""
-        self.compact()
-        rows = self.runs[0] if self.runs else self.spark.createDataFrame([], "m bigint, n bigint, lo bigint, hi bigint")
-        return rows.where("n > 1").select("m", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("settled"))
+            self.runs = [staged(rows.groupBy("m", "span").agg(F.sum("n").alias("n")).sortWithinPartitions("m", "span"))]
 
 
 def _windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(wa, wb, m, span, k, n): two hashes of each window k of the chosen anchors, one for each distinct stretch."""
-    per_doc = chosen.groupBy("rid").agg(F.collect_list(F.struct("m", "span", "at", "n")).alias("chosen"))
+    """(wa, wb, rid, at, k, n): two hashes of each window k of the chosen anchors (rid, at, n)."""
+    per_doc = chosen.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("chosen"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("chosen")
             bounds, flat = lists.offsets.to_numpy(), lists.values
+            rids = batch.column("_rid").to_numpy()
             for first, end, data, offsets in slices(batch.column("_text")):
                 starts, ends = split(data)
                 begin = np.searchsorted(starts, offsets)
                 lo, hi = bounds[first], bounds[end]
                 text = np.repeat(np.arange(end - first), np.diff(bounds[first : end + 1]))
-                m, span, at, n = (flat.field(k).to_numpy()[lo:hi] for k in range(4))
+                at, n = (flat.field(k).to_numpy()[lo:hi] for k in range(2))
                 counts = at & ((1 << _COUNT_BITS) - 1)
                 place = np.repeat((at >> _COUNT_BITS) + begin[text], counts)
                 k = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
                 both = [h.grams(h.words(data, starts, ends), WINDOW)[place + k].view(np.int64) for h in (_FIRST, _SECOND)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, both), *(pa.array(np.repeat(x, counts)) for x in (m, span)), pa.array(k), pa.array(np.repeat(n, counts))], names=["wa", "wb", "m", "span", "k", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, both), pa.array(np.repeat(rids[first + text], counts)), pa.array(np.repeat(at, counts)), pa.array(k), pa.array(np.repeat(n, counts))], names=["wa", "wb", "rid", "at", "k", "n"]
+                )
 
     # _row isn't needed here, but lets the shuffle of texts be the one that cut() has anyway
-    return docs.join(per_doc, docs["_rid"] == per_doc["rid"]).select("_text", "_row", "chosen").mapInArrow(run, "wa bigint, wb bigint, m bigint, span bigint, k bigint, n bigint")
+    return docs.join(per_doc, docs["_rid"] == per_doc["rid"]).select("_rid", "_text", "_row", "chosen").mapInArrow(run, "wa bigint, wb bigint, rid bigint, at bigint, k bigint, n bigint")
 
 
 def cut(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), index: Index | None = None) -> DataFrame:
     """columns, and _kept (text without the repeated words, or text itself), _n_words, _n_removed, _kept_sha256.
 
-    With an index, what docs repeat of its history is cut as well, and docs become part of it. A
-    historical window is known by its fingerprint only, so for windows that only history repeats
-    the fingerprint decides; among docs every window is verified.
+    With an index, what docs repeat of its history is cut as well, and docs become part of it; its documents stay as they
+    are. Every window that is cut is verified, against history too.
     """
-    spark = docs.sparkSession
     source = docs.select(F.xxhash64(F.lit("row"), "doc_id", "text").alias("_rid"), F.col("text").alias("_text"), F.struct(*columns).alias("_row"))
-    index = index or Index(spark)
-    past = list(index.runs)
+    index = index or Index(docs.sparkSession)
+    past = list(index.batches)
     found = staged(anchors(source))
-    repeated = index.append(found)
-    candidates = staged(found.join(repeated, "m"))
-    open_ = candidates.where("NOT settled")
-    spans = staged(open_.groupBy("m", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
-    windows = _windows(source, spans.select("first.rid", "first.at", "m", "span", "n"))
-    counted = windows.groupBy("wa", "wb").agg(F.sum("n").alias("_times")).where("_times > 1")
-    lone = windows.where("n = 1").join(counted, ["wa", "wb"]).groupBy("m", "span").agg(F.bit_or(F.expr("shiftleft(1L, cast(k AS int))")).alias("bits"))
-    bits = spans.where("n > 1").select("m", "span", F.lit(-1).cast("long").alias("bits")).unionAll(lone.select("m", "span", "bits"))
-    told = open_.join(bits, ["m", "span"]).select("rid", "at", "bits")
-    for run in past:
-        told = told.unionAll(open_.join(run.select("m"), "m").select("rid", "at", F.lit(-1).cast("long").alias("bits")))
-    settled = candidates.where("settled").select("rid", "at", F.lit(-1).cast("long").alias("bits"))
+    candidates = staged(found.join(index.append(found, source), ["m", "span"]).select("rid", "at", "m", "span", "n", "several"))
+    lone = candidates.where("n = 1").select("rid", "at", "n")
+    # one anchor stands for all with its stretch, as many times as there are
+    first = lambda rows: rows.groupBy("m", "span").agg(F.min(F.struct("rid", "at")).alias("first"), F.lit(2).cast("long").alias("n")).select("first.rid", "first.at", "n")
+    windows = _windows(source, lone.unionAll(first(candidates.where("n > 1 AND several"))))
+    counts = windows.select("wa", "wb", "n")
+    for anchors_then, source_then in past:
+        near = anchors_then.join(candidates.where("n = 1").select("m").distinct(), "m", "left_semi")
+        counts = counts.unionAll(_windows(source_then, first(near)).select("wa", "wb", F.lit(1).cast("long").alias("n")))
+    counted = counts.groupBy("wa", "wb").agg(F.sum("n").alias("_times")).where("_times > 1")
+    told = windows.where("n = 1").join(counted, ["wa", "wb"]).groupBy("rid", "at").agg(F.bit_or(F.expr("shiftleft(1L, cast(k AS int))")).alias("bits"))
+    settled = candidates.where("n > 1").select("rid", "at", F.lit(-1).cast("long").alias("bits"))
     per_doc = settled.unionAll(told).groupBy("rid").agg(F.collect_list(F.struct("at", "bits")).alias("_marks"))
     joined = source.join(per_doc, source["_rid"] == per_doc["rid"], "left").select("_text", "_row", "_marks")
     schema = docs.select(*columns).schema.add("_kept", "string").add("_n_words", "long").add("_n_removed", "long").add("_kept_sha256", "string")
