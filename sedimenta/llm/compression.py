@@ -127,20 +127,35 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> Model
     return Model(good, bad, tuple(map(float, weights)))
 
 
-def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns of docs and score, in which no column but text has a part."""
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch, and the scores of its texts, in which no other column has a part."""
+    sizes = _Sizes(model.good, model.bad)
+    weights = np.array(model.weights)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+        found = np.array([sizes.of(memoryview(t.as_buffer())) for t in texts]).reshape(-1, 2)
+        z = _features(found[:, 0], found[:, 1]) @ weights
+        yield batch, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scored(batches, model):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, whatever their columns, whose text scores threshold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _Sizes(model.good, model.bad)
-        weights = np.array(model.weights)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_string()).fill_null("").cast(pa.large_binary())
-            found = np.array([sizes.of(memoryview(t.as_buffer())) for t in texts]).reshape(-1, 2)
-            z = _features(found[:, 0], found[:, 1]) @ weights
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*columns, "score"])
-
-    schema = docs.select(*columns).schema.add("score", "double")
-    return docs.select(*dict.fromkeys((*columns, "text"))).mapInArrow(run, schema)
+        for batch, found in _scored(batches, model):
+            yield batch.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, threshold: float = 0.7) -> DataFrame:

@@ -233,6 +233,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold a leak."""
-    keyed = docs.withColumn("_leak_row", F.xxhash64("doc_id", "text"))
-    found = leaks(keyed.select(F.col("_leak_row").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("_leak_row")).distinct()
-    return keyed.join(found, "_leak_row", "left_anti").select(*(keyed[c] for c in docs.columns))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.struct("*").alias("_row"))
+    found = leaks(keyed.select("doc_id", "text"), benchmark, threshold).select("doc_id").distinct()
+    return keyed.select("doc_id", "_row").join(found, "doc_id", "left_anti").select("_row.*")

@@ -58,11 +58,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 
 def mixed(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """columns of docs and size, source_size, target, taken (words, repeats counted) of every document."""
+    """columns of docs and size, source_size, target, taken (words, repeats counted) of every document.
+
+    A column of docs with one of these four names gives way to the mix's.
+    """
+    columns = tuple(c for c in columns if c not in ("size", "source_size", "target", "taken"))
     w = quality_of(F.col("text")) if weight is None else weight
     tie = F.xxhash64("doc_id", "text")
-    base = docs.select(*columns, F.col("source").alias("_source"), n_words_of(F.col("text")).alias("_size"), key_of(F.col("doc_id"), w).alias("_key"), tie.alias("_tie"))
-    small = base if "text" not in columns else base.drop(*columns)
+    base = docs.select(F.struct(*columns).alias("_row"), F.col("source").alias("_source"), n_words_of(F.col("text")).alias("_size"), key_of(F.col("doc_id"), w).alias("_key"), tie.alias("_tie"))
+    small = base if "text" not in columns else base.drop("_row")
     small = staged(small.withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * BINS)))
     if "text" not in columns:
         base = small.drop("_bin")
@@ -95,7 +99,7 @@ def mixed(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), weight: Colum
         .otherwise(F.lit(0))
     )
     return base.join(side, base["_source"].eqNullSafe(side["source"])).select(
-        *(base[c] for c in columns), size.alias("size"), "source_size", "target", (size * F.col("_epochs") + drawn).cast("long").alias("taken")
+        "_row.*", size.alias("size"), "source_size", "target", (size * F.col("_epochs") + drawn).cast("long").alias("taken")
     )
 
 

@@ -331,6 +331,6 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: the one of the least doc_id (null last)."""
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"))
-    keyed = docs.withColumns({"_rid": F.xxhash64(F.lit("row"), "doc_id", "text"), "_order": order})
+    keyed = docs.select(F.xxhash64(F.lit("row"), "doc_id", "text").alias("_rid"), order.alias("_order"), "text", F.struct("*").alias("_row"))
     stay = near_copies(keyed, shingle).where(F.col("_rid") == F.col("_least._rid")).select("_rid").distinct()
-    return keyed.join(stay, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
+    return keyed.select("_rid", "_row").join(stay, "_rid", "left_semi").dropDuplicates(["_rid"]).select("_row.*")
