@@ -12,7 +12,7 @@ from sedimenta.llm.tables import fold_of, staged, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good text; labels of the held-out fold aren't learnt."""
     model = compression.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 4) != 2)
-    return compression.score(docs, model, tuple(docs.columns)).where("score >= 0.7").select(*docs.columns)
+    return compression.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; a text of which no word is left goes."""
-    found = substrings.cut(docs, tuple(docs.columns))
+    found = substrings.cut(docs.select("doc_id", "text", F.struct("*").alias("row")), ("row",))
     kept = found.where("_n_removed = 0 OR _n_removed < _n_words")
-    changed = {"text": F.col("_kept"), "n_chars": F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
-    return kept.withColumns(changed).select(*docs.columns)
+    n_chars = F.when(F.col("_n_removed") > 0, F.length("_kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    changed = {"text": F.col("_kept"), "n_chars": n_chars}
+    return kept.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
