@@ -2,17 +2,24 @@
 
 Iterations keep a frontier: each round joins only what the last one found, and drops what is known.
 Rounds are written to the session's checkpoint folder, so that a lost executor costs one round.
+
+A round costs the same however little it finds, and graphs of a few thousand edges may need many. So edges are
+counted first: up to ONE_TASK_EDGES of them are searched by one task, and more by rounds. Both give the same rows.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds after which a search that still finds nodes is an error, not a result.
 MOST_ROUNDS = 10_000
+#: Edges, or edges times starts, up to which one task searches a graph.
+ONE_TASK_EDGES = 200_000
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -23,6 +30,90 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _one_task(edges: DataFrame, starts: DataFrame | None, search: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of search(following nodes by node, starts) over edges (_from, _to), whose number the caller has checked."""
+    rows = edges.select(F.lit(0).alias("_kind"), "_from", "_to")
+    if starts is not None:
+        rows = rows.unionAll(starts.select(F.lit(1), F.col("node"), F.col("node")))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        following: dict = {}
+        begin = []
+        for batch in batches:
+            for kind, a, b in batch.itertuples(index=False):
+                if kind:
+                    begin.append(a)
+                else:
+                    following.setdefault(a, []).append(b)
+        yield pd.DataFrame(list(search(following, begin)), columns=names)
+
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
+def _search(following: dict, begin: list) -> dict:
+    """Distance of all that the nodes of begin reach."""
+    distance = dict.fromkeys(begin, 0)
+    now = list(distance)
+    while now:
+        after = []
+        for a in now:
+            for b in following.get(a, ()):
+                if b not in distance:
+                    distance[b] = distance[a] + 1
+                    after.append(b)
+        now = after
+    return distance
+
+
+def _strong(following: dict, _: list) -> Iterator[tuple]:
+    """(node, least node) of strongly connected components of two nodes or more: Tarjan's search with a stack of its own."""
+    order: dict = {}
+    low: dict = {}
+    open_: list = []
+    inside: set = set()
+    for first in following:
+        if first in order:
+            continue
+        todo = [(first, iter(following[first]))]
+        order[first] = low[first] = len(order)
+        open_.append(first)
+        inside.add(first)
+        while todo:
+            node, rest = todo[-1]
+            for b in rest:
+                if b not in order:
+                    order[b] = low[b] = len(order)
+                    open_.append(b)
+                    inside.add(b)
+                    todo.append((b, iter(following.get(b, ()))))
+                    break
+                if b in inside:
+                    low[node] = min(low[node], order[b])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == order[node]:
+                    component = []
+                    while not component or component[-1] != node:
+                        component.append(open_.pop())
+                    inside.difference_update(component)
+                    if len(component) > 1:
+                        least = min(component)
+                        yield from ((n, least) for n in component)
+
+
+def _steps(edges: DataFrame, reverse: bool) -> DataFrame:
+    """Distinct edges (_from, _to), stored."""
+    ends = ("target", "source") if reverse else ("source", "target")
+    return _kept(edges.select(*(F.col(c).alias(n) for c, n in zip(ends, ("_from", "_to"), strict=True))).distinct())
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def deduplicated(edges: DataFrame) -> DataFrame:
     """(source, target, kind): one row per edge, ``import`` over ``call``; loops dropped."""
     return edges.where("source <> target").groupBy("source", "target").agg(F.when(F.max((F.col("kind") == "import").cast("int")) == 1, "import").otherwise("call").alias("kind"))
@@ -35,10 +126,15 @@ def fan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(sums, "node", "left").select("node", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(start, node, distance) of all that each start (node) reaches, itself at 0; reverse goes against the edges."""
-    step = edges.select(*(F.col(c).alias(n) for c, n in zip(("target", "source") if reverse else ("source", "target"), ("_from", "_to"), strict=True))).distinct()
-    seen = frontier = _kept(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct())
+    step = _steps(edges, reverse)
+    starts = _kept(starts.select("node").distinct())
+    if step.count() * max(1, starts.count()) <= one_task:
+        kind = _type(step, "_from")
+        each = lambda following, begin: ((s, n, d) for s in begin for n, d in _search(following, [s]).items())
+        return _one_task(step, starts, each, f"start {kind}, node {kind}, distance int")
+    seen = frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"))
     for k in range(1, most_rounds + 1):
         found = frontier.join(step, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
         frontier = _kept(found.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(k)))
@@ -50,10 +146,13 @@ def distances(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_r
     raise RuntimeError(f"nodes are still found after {most_rounds} rounds")
 
 
-def reached(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def reached(edges: DataFrame, starts: DataFrame, reverse: bool = False, most_rounds: int = MOST_ROUNDS, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node) of all that any start reaches, starts included; one row per node whatever the number of starts."""
-    step = edges.select(*(F.col(c).alias(n) for c, n in zip(("target", "source") if reverse else ("source", "target"), ("_from", "_to"), strict=True))).distinct()
-    seen = frontier = _kept(starts.select("node").distinct())
+    step = _steps(edges, reverse)
+    starts = _kept(starts.select("node").distinct())
+    if step.count() + starts.count() <= one_task:
+        return _one_task(step, starts, lambda following, begin: ((n,) for n in _search(following, begin)), f"node {_type(step, '_from')}")
+    seen = frontier = starts
     for k in range(1, most_rounds + 1):
         found = frontier.join(step, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
         frontier = _kept(found.join(seen, "node", "left_anti"))
@@ -70,7 +169,7 @@ def unused(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     return nodes.join(reached(edges, entries), "node", "left_anti")
 
 
-def cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, cycle) of strongly connected components of two nodes or more; cycle is the least node of each.
 
     Nodes without an edge in, or without one out, are trimmed until none is left to trim. Then, round by
@@ -79,6 +178,9 @@ def cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     pairs of nodes that reach each other are never listed.
     """
     left = _kept(edges.select("source", "target").where("source <> target").distinct())
+    if left.count() <= one_task:
+        kind = _type(left, "source")
+        return _one_task(left.withColumnsRenamed({"source": "_from", "target": "_to"}), None, _strong, f"node {kind}, cycle {kind}")
     out = None
     for _ in range(most_rounds):
         while True:
@@ -99,7 +201,7 @@ def cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
             colours, changed = joined.select("node", "colour"), joined.where("_moved").select("node", "colour")
         of = lambda side: colours.select(F.col("node").alias(side), F.col("colour").alias(f"_{side}"))
         within = _kept(left.join(of("source"), "source").join(of("target"), "target").where(F.col("_source") == F.col("_target")).select("source", "target"))
-        component = reached(within, colours.where("node = colour").select("node"), reverse=True).join(colours, "node")
+        component = reached(within, colours.where("node = colour").select("node"), reverse=True, one_task=one_task).join(colours, "node")
         several = component.groupBy("colour").agg(F.count("*").alias("_n"), F.min("node").alias("cycle")).where("_n > 1")
         found = _kept(component.join(several, "colour").select("node", "cycle"))
         out = found if out is None else out.unionAll(found)

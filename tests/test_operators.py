@@ -144,7 +144,29 @@ def test_cycles_equal_a_search(spark):
         if len(own) > 1:
             expected[n] = min(own)
     edges = spark.createDataFrame(sorted(pairs), "source int, target int")
-    assert {r.node: r.cycle for r in graph.cycles(edges).collect()} == expected
+    for one_task in (0, 1000):
+        assert {r.node: r.cycle for r in graph.cycles(edges, one_task=one_task).collect()} == expected
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_distances_by_rounds_and_by_one_task_are_the_same(spark, reverse):
+    random.seed(11)
+    pairs = {(f"n{random.randrange(30)}", f"n{random.randrange(30)}") for _ in range(45)}
+    edges = spark.createDataFrame(sorted(pairs), "source string, target string")
+    starts = spark.createDataFrame([("n1",), ("n2",), ("n2",), ("elsewhere",)], "node string")
+    expected = set()
+    for s in ("n1", "n2", "elsewhere"):
+        seen, now, d = {s}, {s}, 0
+        while now:
+            expected |= {(s, n, d) for n in now}
+            now = {y if not reverse else x for x, y in pairs if (x if not reverse else y) in now} - seen
+            seen |= now
+            d += 1
+    for one_task in (0, 1000):
+        got = [tuple(r) for r in graph.distances(edges, starts, reverse, one_task=one_task).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == expected
+        assert {r.node for r in graph.reached(edges, starts, reverse, one_task=one_task).collect()} == {n for _, n, _ in expected}
 
 
 def test_dense_cycles_equal_a_search(spark):
