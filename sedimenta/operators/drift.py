@@ -96,3 +96,20 @@ def risk_changes(before: DataFrame, after: DataFrame, renames: DataFrame | None
     both = b.join(after.select("path", F.col("score").alias("after")), "path", "full")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("after") > F.col("before"), "increased").when(F.col("after") < F.col("before"), "decreased").otherwise("unchanged")
     return both.select("path", "before", "after", F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 6).alias("delta"), change.alias("change"))
+
+
+def clone_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(group_id, path, fingerprint, status) of clone occurrences (group_id, path, fingerprint) in two states.
+
+    A group on one side only is new or removed as a whole; in one that is on both, an occurrence is existing if its path and
+    fingerprint are, and is removed only if its fingerprint isn't in the group any more.
+    """
+    groups = keyed_drift(before, after, ["group_id"]).withColumnRenamed("status", "_group")
+    b = before.select("group_id", "path", "fingerprint").distinct().withColumn("_b", F.lit(True))
+    a = after.select("group_id", "path", "fingerprint").distinct().withColumn("_a", F.lit(True))
+    prints = after.select("group_id", "fingerprint").distinct().withColumn("_there", F.lit(True))
+    both = b.join(a, ["group_id", "path", "fingerprint"], "full").join(groups, "group_id").join(prints, ["group_id", "fingerprint"], "left")
+    status = (
+        F.when(F.col("_group") == "new", "new").when(F.col("_group") == "resolved", "removed").when(F.col("_b") & F.col("_a"), "existing").when(F.col("_a"), "new").when(F.col("_there").isNull(), "removed")
+    )
+    return both.select("group_id", "path", "fingerprint", status.alias("status")).where("status IS NOT NULL")

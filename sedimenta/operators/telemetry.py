@@ -69,3 +69,16 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
     apart = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(order)) > gap_seconds
     numbered = events.withColumn("_n", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "_n").agg(F.unix_timestamp(F.min(ts)).alias("start"), F.unix_timestamp(F.max(ts)).alias("end"), F.count("*").alias("n")).drop("_n")
+
+
+def valid(rows: DataFrame, allowed: dict[str, tuple[str, ...]], metric: str, labels: list[str], most: int = 4096) -> DataFrame:
+    """rows whose labels all have allowed values, null labels aside; the first ``most`` by metric and labels, a store's bound."""
+    fits = F.lit(True)
+    for name in labels:
+        fits = fits & (F.col(name).isNull() | F.col(name).isin(*allowed[name]))
+    return rows.where(fits).orderBy(metric, *labels).limit(most)
+
+
+def merged(stored: DataFrame, fresh: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Monotone counters of two stores, summed by key."""
+    return stored.unionByName(fresh).groupBy(*key).agg(F.sum(value).alias(value))

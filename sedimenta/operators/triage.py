@@ -41,3 +41,34 @@ def worst_by(df: DataFrame, group: str, rank: Column, label: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def check_severity(cognitive: Column, cyclomatic: Column, nesting: Column) -> Column:
+    return cognitive + cyclomatic + 2 * nesting
+
+
+def changed_weight(deltas: list[Column]) -> Column:
+    """Sum of what grew; an unknown delta adds nothing."""
+    out = F.lit(0.0)
+    for d in deltas:
+        out = out + F.greatest(F.coalesce(d, F.lit(0)), F.lit(0))
+    return out
+
+
+def debt_severity(after: Column, threshold: Column, delta: Column) -> Column:
+    """What is over the threshold, or, without one, what grew."""
+    return F.when(threshold.isNotNull(), F.greatest(after - threshold, F.lit(0.0))).otherwise(F.greatest(F.coalesce(delta, F.lit(0.0)), F.lit(0.0)))
+
+
+def exposed_priority(priority_: Column, exposure: Column, reachable: Column) -> Column:
+    return priority_ * exposure * (0.2 + 0.8 * reachable)
+
+
+def summary(functions: DataFrame, keys: list[str], n: int = 50) -> DataFrame:
+    """(key, rank, path, fn, value): the worst rows by each key, n at most, unknown values left out; a top-k report."""
+    out = None
+    for key in keys:
+        top = functions.where(F.col(key).isNotNull()).orderBy(F.desc(key), "path", "fn").limit(n)
+        ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc(key), "path", "fn"))).select(F.lit(key).alias("key"), "rank", "path", "fn", F.col(key).cast("double").alias("value"))
+        out = ranked if out is None else out.unionAll(ranked)
+    return out
