@@ -12,12 +12,25 @@ from pyspark.sql import functions as F
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch on its way to Python and back, unless the session has a size of its own. Rows of long texts make
+#: the default of 64 MB; a task holds a few of them in the JVM and in Python each.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared checkpoint folder; one of this machine's where none is set (tests)."""
+    _small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext.getCheckpointDir()
