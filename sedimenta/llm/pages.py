@@ -39,15 +39,18 @@ _UNWANTED = re.compile(
     r"sidebar|side|widget\w*|header|masthead|footer|foot|comments?|comment-\w+|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|search|login|signup|contentinfo|complementary)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: An article or main element with such a class, id or role is a reader's comment or a teaser.
+_NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|reply|replies|respond|ads?|advert\w*|sponsor\w*|teaser|related)(?:$|[\s_-])", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 
 def _unwanted(name: str, attributes: str) -> bool:
     if name in _OUT:
         return True
-    if name in ("body", "html", *_MAIN) or not attributes:
+    if name in ("body", "html") or not attributes:
         return False
-    return any(_UNWANTED.search(a or b or c or "") for a, b, c in _NAMES.findall(attributes))
+    pattern = _NO_ARTICLE if name in _MAIN else _UNWANTED
+    return any(pattern.search(a or b or c or "") for a, b, c in _NAMES.findall(attributes))
 
 
 def blocks(page: str) -> tuple[list[str], list[str]]:
