@@ -16,6 +16,7 @@ or null. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,21 +235,37 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Lanes of 64 bits of a wide fingerprint; tables, and bits of each, in which near copies are looked for; bits that may differ.
+#: Lanes of 64 bits of a wide fingerprint; bits that may differ.
 LANES = 4
-TABLES = 32
-TABLE_BITS = 18
 WIDE_RADIUS = 42
+#: Least bits of a table's key; fingerprints that chance brings to a bucket, about, beyond which keys have more bits.
+TABLE_BITS = 18
+CHANCE = 64
+#: Probability that two texts of similarity 0.8 meet in one of the tables, whose number follows from it; and the share of bits they differ in.
+MEET = 0.81
+DIFFER = 39 / 256
+#: A bucket with more fingerprints than this is dealt over blocks of so many, which have PIVOTS of them in common, about.
+BLOCK = 4096
+PIVOTS = 64
+#: Buckets to be dealt out are broadcast up to this number.
+BROADCAST_BUCKETS = 100_000
 #: Up to this size all pairs of a bucket are compared at once.
 _SMALL = 48
 
 
-def _tables() -> list[list[int]]:
-    """By table and lane, the mask of the bits that make its key."""
+def shape(n: int) -> tuple[int, int]:
+    """(tables, bits of a key) for n fingerprints: buckets stay small as n grows, and two similar texts meet as often."""
+    bits = max(TABLE_BITS, math.ceil(math.log2(max(n, 1) / CHANCE)))
+    return math.ceil(math.log(1 - MEET) / math.log(1 - (1 - DIFFER) ** bits)), bits
+
+
+def _tables(n: int) -> list[list[int]]:
+    """By table and lane, the mask of the bits that make its key, for n fingerprints."""
     draw = np.random.Generator(np.random.PCG64(SEED))
     out = []
-    for _ in range(TABLES):
-        chosen = draw.choice(64 * LANES, TABLE_BITS, replace=False)
+    tables, bits = shape(n)
+    for _ in range(tables):
+        chosen = draw.choice(64 * LANES, bits, replace=False)
         out.append([_signed(sum(1 << int(b % 64) for b in chosen if b // 64 == lane)) for lane in range(LANES)])
     return out
 
@@ -279,14 +296,32 @@ def _near_in_buckets(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> np
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
 
+def _dealt(keyed: DataFrame, block: int, pivots: int) -> DataFrame:
+    """keyed (key, node, ...), in which a key of more than block rows is divided into keys of about block + pivots rows."""
+    large = staged(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumnRenamed("key", "_large"))
+    found = large.count()
+    if not found:
+        return keyed
+    sized = keyed.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("key") == F.col("_large"), "left")
+    blocks = F.ceil(F.col("_n") / block)
+    own = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), blocks))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("key", b))
+    keys = F.when(F.col("_n").isNull(), F.array("key")).when(F.pmod(F.xxhash64("node", "key"), F.col("_n")) < pivots, every).otherwise(F.array(own))
+    return sized.withColumn("_keys", keys).select(F.explode("_keys").alias("key"), *(c for c in keyed.columns if c != "key"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(_rid, _least) for docs(_rid, _order, text): _least is the first row, by _order, of the row's group of near copies.
 
     A wide fingerprint has 256 bits, of which texts with a similarity (Jaccard, on shingles) of 0.8
     differ in 39 on average, with a deviation of 6; so WIDE_RADIUS finds similar texts where 64 bits couldn't
-    tell. Bands of so many differences would be too short to divide a corpus; instead each of TABLES tables
-    takes TABLE_BITS sampled bits as its key, and rows of equal keys are compared: two texts of similarity 0.8 meet
-    with probability 0.82, of 0.9 with 0.99. Texts of equal fingerprints are one node.
+    tell. Bands of so many differences would be too short to divide a corpus; instead each of 32 tables (more beyond
+    16 million fingerprints, see shape) takes 18 sampled bits as its key, and rows of equal keys are compared: two texts of
+    similarity 0.8 meet with probability 0.82, of 0.9 with 0.99. Texts of equal fingerprints are one node.
+
+    Only a large group of near copies fills a bucket beyond BLOCK fingerprints. Such a bucket is dealt over blocks by hash,
+    and its pivots, drawn by hash too, go to all of its blocks: whatever is near to one of them or to a block-mate is linked.
+    So no task holds more than a block, and a group takes time in proportion to its size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +355,8 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         found = _near_in_buckets(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)) if len(columns[0]) > 1 else np.empty((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-    cut = F.array(*(F.xxhash64(F.lit(t), *(F.col(lane).bitwiseAND(F.lit(m).cast("long")) for lane, m in zip(lanes, masks, strict=True) if m)) for t, masks in enumerate(_tables())))
-    keyed = nodes.select(F.explode(cut).alias("key"), "node", *lanes).repartition("key").sortWithinPartitions("key", "node")
+    cut = F.array(*(F.xxhash64(F.lit(t), *(F.col(lane).bitwiseAND(F.lit(m).cast("long")) for lane, m in zip(lanes, masks, strict=True) if m)) for t, masks in enumerate(_tables(nodes.count()))))
+    keyed = _dealt(nodes.select(F.explode(cut).alias("key"), "node", *lanes), BLOCK, PIVOTS).repartition("key").sortWithinPartitions("key", "node")
     roots = components(keyed.mapInArrow(link, "u bigint, v bigint")).withColumnRenamed("node", "_n")
     rooted = nodes.join(roots, nodes["node"] == roots["_n"], "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("_least"))

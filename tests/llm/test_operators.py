@@ -363,6 +363,43 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert kept & {2000, 2001, 2002} == {2000}
 
 
+def test_a_large_group_of_near_copies_is_dealt_over_blocks(spark, monkeypatch):
+    random.seed(5)
+    base = [f"w{random.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(700):
+        copy = list(base)
+        for _ in range(random.randrange(4)):
+            copy[random.randrange(300)] = f"edit{random.random()}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"w{random.randrange(5000)}" for _ in range(300))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    monkeypatch.setattr(simhash, "PIVOTS", 8)
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {0} | {1000 + i for i in range(20)}
+
+
+def test_blocks_hold_all_rows_of_a_bucket_and_share_its_pivots(spark):
+    rows = [(1, i) for i in range(1000)] + [(2, i) for i in range(30)]
+    got = Counter()
+    of: dict[int, set] = {}
+    for r in simhash._dealt(spark.createDataFrame(rows, "key long, node long"), 100, 10).collect():
+        got[r.key] += 1
+        of.setdefault(r.key, set()).add(r.node)
+    blocks = [k for k in of if k != 2]
+    assert of[2] == set(range(30)) and len(blocks) == 10
+    assert set().union(*(of[k] for k in blocks)) == set(range(1000))
+    assert all(got[k] == len(of[k]) < 180 for k in blocks)
+    assert 1 <= len(set.intersection(*(of[k] for k in blocks))) <= 40
+
+
+def test_tables_keep_the_chance_to_meet_as_the_corpus_grows():
+    for n in (0, 10**5, 10**7, 10**9, 10**11):
+        tables, bits = simhash.shape(n)
+        assert 1 - (1 - (1 - simhash.DIFFER) ** bits) ** tables >= simhash.MEET
+        assert n / 2**bits <= simhash.CHANCE
+
+
 # 6
 
 
@@ -545,6 +582,10 @@ def test_what_neighbours_share_goes_where_no_article_tells(spark):
     assert got == {i: f"text {i}" for i in range(6)} | {9: "Site name x All rights reserved"}
 
 
+def test_a_comment_marked_up_as_an_article_is_no_main_text():
+    assert pages.blocks('<article class="post"><p>text</p></article><article class="comment">no</article><article id="related-1">no</article>') == (["text"], [])
+
+
 def test_copies_of_an_article_keep_their_text(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", PAGE) for i in range(4)], "page_id long, url string, html string")
     assert {r.text for r in pages.extracted(df).collect()} == {"Title & more One boldtext line Two é < three"}
