@@ -116,13 +116,13 @@ def baseline_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SIDES}, p AS (SELECT o_custkey, o_orderpriority, nth, b.o_custkey AS hb, a.o_custkey AS ha, CASE WHEN b.o_orderstatus <> 'P' THEN b.o_totalprice END AS bp, CASE WHEN a.o_orderstatus <> 'P' THEN a.o_totalprice END AS ap FROM b FULL JOIN a USING (o_custkey, o_orderpriority, nth)),
 d AS (SELECT *, unnest(['price', 'half']) AS dimension, unnest([bp, bp / 2]) AS before, unnest([ap, ap / 2]) AS after, unnest([400000, 100000]) AS lim FROM p),
 t AS (SELECT *, CASE WHEN hb IS NULL THEN false ELSE before > lim END AS was, CASE WHEN ha IS NULL THEN false ELSE after > lim END AS now FROM d)
-SELECT dimension, CASE WHEN was IS NULL OR now IS NULL THEN 'unknown' WHEN NOT was AND now THEN 'new' WHEN was AND now THEN 'existing' ELSE 'resolved' END AS transition, count(*) AS n, round(sum(coalesce(after, 0)), 2) AS after
+SELECT dimension, CASE WHEN was IS NULL OR now IS NULL THEN 'unknown' WHEN NOT was AND now THEN 'new' WHEN was AND now THEN 'existing' ELSE 'resolved' END AS transition, count(*) AS n, CAST(sum(CAST(coalesce(after, 0) AS DECIMAL(18, 3))) AS DOUBLE) AS after
 FROM t WHERE was IS NULL OR now IS NULL OR was OR now GROUP BY 1, 2""")
 def debt_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
     sides = [s.withColumns({"price": price, "half": price / 2}) for s in _sides(spark, sf_dir)]
     found = drift.transitions(drift.paired(*sides, _KEYS, ["o_orderdate", "o_orderkey"]), _KEYS, {"price": 400_000, "half": 100_000})
-    return found.groupBy("dimension", "transition").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("after", F.lit(0.0))), 2).alias("after"))
+    return found.groupBy("dimension", "transition").agg(F.count("*").alias("n"), F.sum(F.coalesce("after", F.lit(0.0)).cast("decimal(18,3)")).cast("double").alias("after"))
 
 
 @query(f"""WITH b AS (SELECT CASE WHEN o_custkey = 7 THEN 8 ELSE o_custkey END AS path, o_orderdate, o_custkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '{CUT}' AND o_custkey <> 8),
