@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Tokens are runs of ASCII letters, digits and bytes from 0x80 on, A-Z lower-cased, so that punctuation and
-case don't tell copies apart. Every run of SEED tokens of a test item is a seed. A first pass counts in how many
-documents each seed is; of an item's seeds those are rare that are in at most RARE times as many documents as its
-lower quartile, plus RARE. This is a comparison within the item: an item that leaked into a third of the
-corpus keeps its seeds. A second pass aligns an item with the region of a document around its rare seeds, if two
-or more of them (or all it has) are there close together: a match scores 2, a mismatch or a gap -1, and the
-best local alignment is divided by that of a perfect copy. Copies with words changed, left out or put in still score.
+case don't tell copies apart. Every run of SEED tokens of a test item is a seed, however many documents have it:
+an edited item that thousands of documents share keeps its seeds like one that no other has. An item is aligned with the region
+of a document around its seeds, if two or more of them (or all it has) are there close together: a match scores
+2, a mismatch or a gap -1, and the best local alignment is divided by that of a perfect copy. Copies with words
+changed, left out or put in still score. Frequent seeds bring up regions that hold no copy; a bound that no alignment
+exceeds tells most of them without one.
 
 The items' tokens go along with the tasks: SHARD_TOKENS at most, and a larger benchmark is done in
 several passes of that size. No document's text moves, and a document's hits stay in its task.
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from sedimenta.llm.words import Hasher, slices
 
 SEED = 3
-RARE = 4
 THRESHOLD = 0.4
 SHARD_TOKENS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
@@ -64,33 +63,9 @@ class _Seeds:
         every, self.item, self.place = every[order], item[order], place[order]
         self.hashes, first = np.unique(every, return_index=True)
         self.first = np.append(first, len(every))
-        self.filter()
-
-    def filter(self) -> None:
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.hashes >> np.uint64(42)] = True
-
-    def rare(self, documents: np.ndarray) -> None:
-        """Keeps the places of seeds that are rare for their item; documents: by seed, how many have it."""
-        own = documents[np.repeat(np.arange(len(self.hashes)), np.diff(self.first))]
-        keep = np.zeros(len(own), dtype=bool)
-        for i in range(len(self.items)):
-            mine = np.flatnonzero(self.item == i) if len(self.items) < 64 else self._by_item()[i]
-            if len(mine):
-                keep[mine] = own[mine] <= RARE * np.quantile(own[mine], 0.25) + RARE
-        every = np.repeat(self.hashes, np.diff(self.first))[keep]
-        self.item, self.place = self.item[keep], self.place[keep]
-        self.hashes, first = np.unique(every, return_index=True)
-        self.first = np.append(first, len(every))
-        self.__dict__.pop("_rows", None)
-        self.left = np.bincount(self.item, minlength=len(self.items))
-        self.filter()
-
-    def _by_item(self) -> list[np.ndarray]:
-        if "_rows" not in self.__dict__:
-            order = np.argsort(self.item, kind="stable")
-            self._rows = np.split(order, np.cumsum(np.bincount(self.item, minlength=len(self.items)))[:-1])
-        return self._rows
+        self.needed = [min(2, len(np.unique(g))) for g in grams]  # so many different seeds bring an item up
 
     def found(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, seed) of all seeds in grams."""
@@ -119,6 +94,16 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def bound(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment scores more: what one side alone gains where the other has the token, and pays where it hasn't."""
+
+    def most(gains: np.ndarray) -> int:
+        sums = np.concatenate(([0], np.cumsum(gains)))
+        return int((sums - np.minimum.accumulate(sums)).max())
+
+    return min(most(np.where(np.isin(text, item), MATCH, MISS)), most(np.where(np.isin(item, text), MATCH, MISS)))
+
+
 def _regions(places: np.ndarray, at: np.ndarray, seeds: np.ndarray, m: int, needed: int, n: int) -> Iterator[tuple[int, int]]:
     """Stretches of a text of n tokens where the item may stand; places are those in the text, at those in the item."""
     order = np.argsort(places, kind="stable")
@@ -146,30 +131,6 @@ def _items(benchmark: DataFrame) -> list[_Seeds]:
     return [_Seeds(s) for s in shards if s]
 
 
-def _counted(docs: DataFrame, seeds: _Seeds) -> np.ndarray:
-    """By seed, in how many documents it is: summed in each task, then over all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds.hashes), dtype=np.int64)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
-                starts, hashes = _tokens(data)
-                at, seed = seeds.found(_HASHER.grams(hashes, SEED))
-                if len(at):
-                    text = np.searchsorted(offsets, starts[at], side="right") - 1
-                    whole = text == np.searchsorted(offsets, starts[at + SEED - 1], side="right") - 1
-                    pairs = np.unique(text[whole] * len(total) + seed[whole])
-                    total += np.bincount(pairs % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row per seed of the shard at most
-    out = np.zeros(len(seeds.hashes), dtype=np.int64)
-    for r in rows:
-        out[r["seed"]] = r["n"]
-    return out
-
-
 def _aligned(docs: DataFrame, items: DataFrame, seeds: _Seeds, threshold: float) -> DataFrame:
     def of(ids: np.ndarray, begin: int, end: int, places: np.ndarray, seed: np.ndarray) -> Iterator[tuple]:
         """Hits of one text, whose tokens are ids[begin:end]."""
@@ -179,10 +140,15 @@ def _aligned(docs: DataFrame, items: DataFrame, seeds: _Seeds, threshold: float)
         order = np.argsort(item, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
             i = int(item[rows[0]])
+            if len(rows) < seeds.needed[i]:
+                continue
             item_id, tokens = seeds.items[i]
             best = (0, 0, 0)
-            for lo, hi in _regions(place[rows], at[rows], own[rows], len(tokens), min(2, int(seeds.left[i])), end - begin):
-                score, stop = align(tokens, ids[begin + lo : begin + hi])
+            for lo, hi in _regions(place[rows], at[rows], own[rows], len(tokens), seeds.needed[i], end - begin):
+                text = ids[begin + lo : begin + hi]
+                if bound(tokens, text) < threshold * MATCH * len(tokens):
+                    continue
+                score, stop = align(tokens, text)
                 best = max(best, (score, lo, lo + stop))
             share = best[0] / (MATCH * len(tokens))
             if share >= threshold:
@@ -223,7 +189,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     out = None
     for seeds in _items(items):
-        seeds.rare(_counted(docs, seeds))
         found = _aligned(docs, items, seeds, threshold)
         out = found if out is None else out.unionAll(found)
     if out is None:

@@ -430,6 +430,26 @@ def test_leaks_edited_and_not(spark):
     assert found == {(i, i) for i in range(30)} | {(500 + k, 3) for k in range(300)}
 
 
+@pytest.mark.parametrize("shared", ["edited", "partial", "one seed"])
+def test_an_edited_item_that_many_documents_share_is_reported_in_all(spark, shared):
+    random.seed(8)
+    make = lambda n: [f"w{random.randrange(3000)}" for _ in range(n)]
+    item = ["same"] * 5 if shared == "one seed" else make(60)
+    copy = {"edited": [f"edit{k}" if k % 10 == 4 else w for k, w in enumerate(item)], "partial": item[:38], "one seed": item}[shared]
+    rows = [(k, " ".join(make(50) + copy + make(50))) for k in range(60)] + [(200 + k, " ".join(make(150))) for k in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(make(40)))], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert found == [(k, 1) for k in range(60)]
+
+
+def test_no_alignment_exceeds_the_bound():
+    random.seed(9)
+    for _ in range(300):
+        a = np.array([random.randrange(9) for _ in range(random.randrange(1, 12))], dtype=np.uint64)
+        b = np.array([random.randrange(12) for _ in range(random.randrange(1, 30))], dtype=np.uint64)
+        assert decontaminate.align(a, b)[0] <= decontaminate.bound(a, b)
+
+
 def test_leaks_in_shards_are_the_same(spark, docs, monkeypatch):
     bench = table(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
