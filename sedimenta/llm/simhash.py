@@ -17,7 +17,7 @@ or null. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +244,7 @@ CHANCE = 64
 #: Probability that two texts of similarity 0.8 meet in one of the tables, whose number follows from it; and the share of bits they differ in.
 MEET = 0.81
 DIFFER = 39 / 256
-#: A bucket with more fingerprints than this is dealt over blocks of so many, which have PIVOTS of them in common, about.
+#: A bucket with more fingerprints than this is dealt over blocks of so many, which have PIVOTS of them in common, about; what is then still apart is compared between blocks.
 BLOCK = 4096
 PIVOTS = 64
 #: Buckets to be dealt out are broadcast up to this number.
@@ -310,6 +310,43 @@ def _dealt(keyed: DataFrame, block: int, pivots: int) -> DataFrame:
     return sized.withColumn("_keys", keys).select(F.explode("_keys").alias("key"), *(c for c in keyed.columns if c != "key"))
 
 
+def _apart(keyed: DataFrame, roots: DataFrame, block: int) -> DataFrame | None:
+    """(pair, side, node, root, ...): what is left to compare of the keys of more than block rows in keyed (key, node, ...), or None.
+
+    Rows of the same root are linked already. So all rows outside a key's largest component, in blocks, are to be compared with all
+    rows of the key, in blocks: each pair of blocks is one value of pair, whose rows have side 0 and 1.
+    """
+    large = staged(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumnRenamed("key", "_large"))
+    found = large.count()
+    if not found:
+        return None
+    rows = keyed.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("key") == F.col("_large")).drop("_large")
+    named = roots.select(F.col("node").alias("_node"), "root")
+    rows = staged(rows.join(named, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"))
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("_c"))
+    main = parts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("_c", "root")).alias("_main"), F.sum("_c").alias("_all")).select("_key", F.col("_main.root").alias("_main"), (F.col("_all") - F.col("_main._c")).alias("_rest")).where("_rest > 0")
+    rows = rows.join(F.broadcast(main) if found <= BROADCAST_BUCKETS else main, F.col("key") == F.col("_key"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / block) - 1)
+    mine = lambda n: F.pmod(F.xxhash64("key", "node"), F.ceil(n / block))
+    n, rest = F.col("_n"), F.col("_rest")
+    rest_block, own_block = mine(rest), mine(n)
+    one = F.transform(upto(n), lambda j: F.struct(F.xxhash64("key", rest_block, j).alias("pair"), F.lit(0).alias("side")))
+    other = F.transform(upto(rest), lambda i: F.struct(F.xxhash64("key", i, own_block).alias("pair"), F.lit(1).alias("side")))
+    every = F.when(F.col("root") == F.col("_main"), other).otherwise(F.concat(one, other))
+    return rows.withColumn("_at", F.explode(every)).select("_at.pair", "_at.side", "root", *(c for c in keyed.columns if c != "key"))
+
+
+def _near_between(sides: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Links between roots of rows of side 0 and of side 1 whose fingerprints differ in WIDE_RADIUS bits at most."""
+    right, theirs = fps[sides == 1], roots[sides == 1]
+    found = []
+    for fp, root in zip(fps[sides == 0], roots[sides == 0], strict=True):
+        near = np.unique(theirs[np.bitwise_count(right ^ fp).sum(axis=1) <= WIDE_RADIUS])
+        near = near[near != root]
+        found.append(np.stack([np.full(len(near), root), near], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(_rid, _least) for docs(_rid, _order, text): _least is the first row, by _order, of the row's group of near copies.
 
@@ -319,9 +356,11 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     16 million fingerprints, see shape) takes 18 sampled bits as its key, and rows of equal keys are compared: two texts of
     similarity 0.8 meet with probability 0.82, of 0.9 with 0.99. Texts of equal fingerprints are one node.
 
-    Only a large group of near copies fills a bucket beyond BLOCK fingerprints. Such a bucket is dealt over blocks by hash,
-    and its pivots, drawn by hash too, go to all of its blocks: whatever is near to one of them or to a block-mate is linked.
-    So no task holds more than a block, and a group takes time in proportion to its size.
+    A large group of near copies, or a template that many texts share, fills a bucket beyond BLOCK fingerprints. Such a bucket is
+    dealt over blocks by hash, and its pivots, drawn by hash too, go to all of its blocks: whatever is near to one of them or to a
+    block-mate is linked. Then what isn't in the bucket's largest component is compared with all of the bucket, a pair of blocks at a
+    time. So all pairs of a bucket are seen or known to be linked, and no task holds more than two blocks. A group of near copies takes
+    time in proportion to its size; a bucket of texts that aren't near to one another takes the square of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +377,47 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     marked = staged(docs.select("_rid", "_order", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)))
     nodes = staged(marked.groupBy("node").agg(F.min(F.struct("_order", "_rid")).alias("_first"), *(F.min(lane).alias(lane) for lane in lanes)))
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", *lanes)]
+    def each(compare: Callable[[list[np.ndarray]], np.ndarray], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Links of whole buckets, by the first of names, in which rows stand together."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in batches:
+                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                if rest is not None:
+                    now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+                keys = now[0]
+                whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+                rest = [x[whole:] for x in now]
+                yield pairs([x[:whole] for x in now])
             if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            keys = now[0]
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            rest = [x[whole:] for x in now]
-            yield pairs([x[:whole] for x in now])
-        if rest is not None:
-            yield pairs(rest)
-
-    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        found = _near_in_buckets(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)) if len(columns[0]) > 1 else np.empty((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+                yield pairs(rest)
+
+        def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+            found = compare(columns) if len(columns[0]) > 1 else np.empty((0, 2), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+        return run
+
+    def within(columns: list[np.ndarray]) -> np.ndarray:
+        return _near_in_buckets(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64))
+
+    def between(columns: list[np.ndarray]) -> np.ndarray:
+        fps = np.stack(columns[3:], axis=1).view(np.uint64)
+        cuts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
+        return np.concatenate([_near_between(columns[1][a:b], columns[2][a:b], fps[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     cut = F.array(*(F.xxhash64(F.lit(t), *(F.col(lane).bitwiseAND(F.lit(m).cast("long")) for lane, m in zip(lanes, masks, strict=True) if m)) for t, masks in enumerate(_tables(nodes.count()))))
-    keyed = _dealt(nodes.select(F.explode(cut).alias("key"), "node", *lanes), BLOCK, PIVOTS).repartition("key").sortWithinPartitions("key", "node")
-    roots = components(keyed.mapInArrow(link, "u bigint, v bigint")).withColumnRenamed("node", "_n")
+    cut_nodes = nodes.select(F.explode(cut).alias("key"), "node", *lanes)
+    keyed = _dealt(cut_nodes, BLOCK, PIVOTS).repartition("key").sortWithinPartitions("key", "node")
+    roots = components(keyed.mapInArrow(each(within, ("key", "node", *lanes)), "u bigint, v bigint"))
+    apart = _apart(cut_nodes, roots, BLOCK)
+    if apart is not None:
+        sorted_ = apart.repartition("pair").sortWithinPartitions("pair", "side", "node")
+        more = components(sorted_.mapInArrow(each(between, ("pair", "side", "root", *lanes)), "u bigint, v bigint")).select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+        known = nodes.select("node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("_old"))
+        roots = known.join(more, "_old", "left").select("node", F.coalesce("_new", "_old").alias("root"))
+    roots = roots.withColumnRenamed("node", "_n")
     rooted = nodes.join(roots, nodes["node"] == roots["_n"], "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("_first").alias("_least"))
     return marked.join(rooted.join(least, "root").select("node", "_least"), "node").select("_rid", "_least")

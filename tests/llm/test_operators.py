@@ -379,6 +379,23 @@ def test_a_large_group_of_near_copies_is_dealt_over_blocks(spark, monkeypatch):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {0} | {1000 + i for i in range(20)}
 
 
+def test_near_copies_in_different_blocks_of_a_loose_family_are_found(spark, monkeypatch):
+    random.seed(6)
+    make = lambda n: [f"w{random.randrange(5000)}" for _ in range(n)]
+    template = make(100)
+    rows = []
+    for g in range(120):  # pairs of near copies; pairs have only the template in common
+        base = template + make(200)
+        copy = list(base)
+        copy[200] = f"edit{g}"
+        rows += [(g, " ".join(base)), (1000 + g, " ".join(copy))]
+    random.shuffle(rows)
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(simhash, "_tables", lambda n: [[0] * simhash.LANES])  # all in one bucket
+    assert {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(120))
+
+
 def test_blocks_hold_all_rows_of_a_bucket_and_share_its_pivots(spark):
     rows = [(1, i) for i in range(1000)] + [(2, i) for i in range(30)]
     got = Counter()
