@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import graph, spans
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import EDGES, PATHS, query
+from sedimenta.plans.registry import EDGES, PATHS, query, whole
 
 _E97, _E37 = EDGES.format(modulus=97), EDGES.format(modulus=37)
 _NODES = "nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges)"
@@ -22,13 +22,13 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {_E37} SELECT source, target, kind FROM edges")
-def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir, 37)
+def edge_dedupe(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    return _edges(spark, sf_dir, modulus)
 
 
 @query(f"WITH {_E37} SELECT p_partkey AS node, (SELECT count(*) FROM edges WHERE target = p_partkey) AS fan_in, (SELECT count(*) FROM edges WHERE source = p_partkey) AS fan_out FROM part")
-def dependency_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = graph.fan(A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir, 37))
+def dependency_fan(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    out = graph.fan(A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir, modulus))
     return out.select("node", F.col("fan_in").cast("long").alias("fan_in"), F.col("fan_out").cast("long").alias("fan_out"))
 
 
@@ -37,15 +37,15 @@ _REVERSE = """r(start, node, distance) AS (SELECT node, node, 0 FROM (SELECT nod
 
 
 @query(f"WITH RECURSIVE {_E97}, {_NODES}, {_REVERSE} SELECT start, node, min(distance) AS distance FROM r GROUP BY ALL")
-def impact_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def impact_distances(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
     """What depends on the twenty least parts, and how far away it is."""
-    edges = _edges(spark, sf_dir, 97)
+    edges = _edges(spark, sf_dir, modulus)
     return graph.distances(edges, _nodes(edges).orderBy("node").limit(20), reverse=True)
 
 
 @query(f"WITH RECURSIVE {_E97}, {_NODES}, {_REVERSE}, d AS (SELECT DISTINCT start, node FROM r WHERE distance > 0 AND node <> start) SELECT start, count(*) AS dependents, round(CASE WHEN (SELECT count(*) FROM nodes) <= 1 THEN 0 ELSE count(*) * 100.0::DOUBLE / ((SELECT count(*) FROM nodes) - 1) END, 6) AS blast_radius FROM d GROUP BY start")
-def impact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, 97)
+def impact_counts(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
+    edges = _edges(spark, sf_dir, modulus)
     nodes = _nodes(edges)
     counted = graph.distances(edges, nodes.orderBy("node").limit(20), reverse=True).where("distance > 0").groupBy("start").agg(F.count("*").alias("dependents"))
     all_ = nodes.agg(F.count("*").alias("_n"))
@@ -56,22 +56,22 @@ _REACH = "r(node) AS (SELECT node FROM nodes WHERE node % 50 = 1 UNION SELECT e.
 
 
 @query(f"WITH RECURSIVE {_E37}, {_NODES}, {_REACH} SELECT node FROM r")
-def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, 37)
+def reachability(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    edges = _edges(spark, sf_dir, modulus)
     return graph.reached(edges, _nodes(edges).where("node % 50 = 1"))
 
 
 @query(f"WITH RECURSIVE {_E37}, {_NODES}, {_REACH} SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM r)")
-def unused_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, 37)
+def unused_nodes(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    edges = _edges(spark, sf_dir, modulus)
     nodes = _nodes(edges)
     return graph.unused(nodes, edges, nodes.where("node % 50 = 1"))
 
 
 @query(f"""WITH RECURSIVE {_E97}, {_NODES}, r(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM r JOIN edges e ON e.source = r.b)
 SELECT x.a AS node, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) >= 2""")
-def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_edges(spark, sf_dir, 97))
+def scc_cycles(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
+    return graph.cycles(_edges(spark, sf_dir, modulus))
 
 
 @query()
@@ -86,13 +86,18 @@ r(start, node) AS (SELECT node, node FROM changed UNION SELECT r.start, e.source
 every AS (SELECT test, 4 AS tier, node AS via FROM tests JOIN changed ON node = test UNION SELECT m.test, 3, target FROM mapped m JOIN tests USING (test) JOIN changed ON node = target
  UNION SELECT r.node, 2, r.start FROM r JOIN tests ON test = r.node WHERE r.start <> r.node)
 SELECT test, max(tier) AS tier, string_agg(DISTINCT CAST(via AS VARCHAR), ',' ORDER BY via) AS via FROM every GROUP BY test""".replace("string_agg(DISTINCT CAST(via AS VARCHAR), ',' ORDER BY via)", "array_to_string(list_sort(list_distinct(list(via))), ',')"))
-def test_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir, 97)
+def test_selection(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
+    edges = _edges(spark, sf_dir, modulus)
     nodes = _nodes(edges)
     mapped = A.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("test"), (F.col("l_partkey") + 20).alias("target")).distinct()
     return graph.select_tests(nodes.where("node % 23 = 0 OR node % 130 = 3"), nodes.where("node % 10 = 3").withColumnRenamed("node", "test"), mapped, edges)
 
 
+#: Over all edges; recursive SQL that lists paths or a closure is too slow for those, so tests compare these with brute force.
+for _f, _m, _sql in ((edge_dedupe, 37, True), (dependency_fan, 37, True), (reachability, 37, True), (unused_nodes, 37, True), (impact_distances, 97, False), (impact_counts, 97, False), (scc_cycles, 97, False), (test_selection, 97, False)):
+    whole(_f, _m, _sql)
+
+
 _SPANS = """l AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) AS dt FROM events),
 s AS (SELECT g, user_id, t, sum(CASE WHEN dt > g * 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY g, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM l, (SELECT unnest([1, 6, 24]) AS g)),
 spans AS (SELECT user_id, g || ':' || user_id || ':' || min(t) AS id, min(t) AS "start", max(t) AS "end" FROM s GROUP BY g, user_id, n)"""

@@ -9,7 +9,7 @@ from sedimenta.functions import metrics as M
 from sedimenta.operators import graph, history
 from sedimenta.operators.hotspots import hotspots as hotspot_report
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, PATHS, query
+from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, PATHS, query, whole
 
 
 @query(f"""
@@ -119,11 +119,11 @@ _SCORE = """(CASE WHEN complexity IS NULL THEN 0 ELSE complexity * 20 END + CASE
 
 
 @query(f"WITH {_RISK} SELECT path, round({_SCORE}, 6) AS score, round(complexity, 6) AS complexity, round(churn, 6) AS churn, round(coverage, 6) AS coverage, round(impact, 6) AS impact, round(ownership, 6) AS ownership, round(policy, 6) AS policy FROM c")
-def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def change_risk(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
     """Five left joins on path; what isn't known drops out of the weights."""
     files = A.functions(spark, sf_dir).groupBy("path").agg(F.max("cognitive").alias("cog"), F.avg("coverage").alias("cov"))
     t = history.touched(A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)).groupBy("path").agg(F.count(F.when(history.within(90), 1)).alias("changes"), F.countDistinct("identity").alias("authors"))
-    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, 97))
+    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, modulus))
     fan_in = edges.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("fan_in"))
     policy = edges.where("target % 5 = 0").groupBy(F.col("source").alias("path")).agg(F.max(F.when(F.col("target") % 7 == 0, 4).otherwise(2)).alias("rank"))
     joined = files.join(t, "path", "left").join(fan_in, "path", "left").join(policy, "path", "left")
@@ -134,6 +134,9 @@ def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("path", F.round(M.weighted_score(parts), 6).alias("score"), *(F.round(c, 6).alias(n) for n, c in parts.items()))
 
 
+whole(change_risk, 97)
+
+
 @query(f"""WITH {COMMITS} , p AS (SELECT unnest(['BUILDING', 'MACHINERY']) AS seg),
 m AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey = 3 THEN 'team-special' WHEN c_mktsegment = 'BUILDING' THEN 'team-building' WHEN c_mktsegment = 'MACHINERY' THEN 'team-machine' ELSE lower(c_mktsegment) END AS identity FROM customer)
 SELECT identity, count(*) AS commits FROM commits JOIN m ON commits.identity = c_custkey GROUP BY m.identity""".replace("SELECT identity, count(*)", "SELECT m.identity, count(*)").replace(", p AS (SELECT unnest(['BUILDING', 'MACHINERY']) AS seg)", ""))

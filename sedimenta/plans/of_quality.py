@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import metrics as M
 from sedimenta.operators import drift, graph
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import EDGES, FUNCTIONS, query
+from sedimenta.plans.registry import EDGES, FUNCTIONS, query, whole
 
 LIMITS = {"cognitive": 7, "cyclomatic": 5, "loc": 45, "crap": 30.0}
 EFFORT_LIMITS = {"cognitive": 7, "cyclomatic": 5, "crap": 30.0}
@@ -142,8 +142,8 @@ _VIOLATIONS = """v AS (SELECT 'no_fives' AS rule, 'high' AS severity, source, ta
 
 
 @query(f"WITH {EDGES.format(modulus=37)}, {_VIOLATIONS.format(e='edges')} SELECT * FROM v")
-def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, 37)), RULES)
+def policy_violations(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    return drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, modulus)), RULES)
 
 
 _DRIFT = f"""{EDGES.format(modulus=37)}, eb AS (SELECT * FROM edges WHERE (source + target) % 3 <> 0), ea AS (SELECT * FROM edges WHERE (source + target) % 3 <> 1),
@@ -152,18 +152,22 @@ d AS (SELECT rule, source, target, CASE WHEN b.rule IS NULL THEN 'new' WHEN a.ru
 
 
 @query(f"WITH {_DRIFT} SELECT * FROM d")
-def policy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, 37))
+def policy_drift(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, modulus))
     before, after = (drift.policy_violations(edges.where((F.col("source") + F.col("target")) % 3 != k), RULES) for k in (0, 1))
     return drift.keyed_drift(before, after, ["rule", "source", "target"])
 
 
 @query(f"WITH {EDGES.format(modulus=37)}, {_VIOLATIONS.format(e='edges')} SELECT source, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, CASE max(CASE severity WHEN 'high' THEN 4 WHEN 'low' THEN 2 ELSE 1 END) WHEN 4 THEN 'high' WHEN 2 THEN 'low' ELSE 'info' END AS worst FROM v GROUP BY source")
-def policy_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, 37)), RULES)
+def policy_severities(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
+    v = drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, modulus)), RULES)
     return v.groupBy("source").agg(*(F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in ("high", "low", "info")), F.max_by("severity", M.severity_rank(F.col("severity"))).alias("worst"))
 
 
+for _f in (policy_violations, policy_drift, policy_severities):
+    whole(_f, 37)
+
+
 @query("SELECT l_partkey, l_linenumber, CAST(l_quantity AS INT) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-04-01' EXCEPT ALL SELECT l_partkey, l_linenumber, CAST(l_quantity AS INT) FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-04-01'")
 def causes_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is there after more often than before."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,14 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
+def whole(f: Callable[..., DataFrame], modulus: int, sql: bool = True) -> None:
+    """Registers f also over all edges, as its name and _all; its SQL, if that can do it, over all edges too."""
+    name = f"{f.__name__}_all"
+    QUERIES[name] = partial(f, modulus=1)
+    if sql:
+        ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(EDGES.format(modulus=modulus), EDGES.format(modulus=1))
+
+
 #: Canonical relations as DuckDB sees them; see adapters.py for Spark's.
 COMMIT_FILES = """commit_files AS (
   SELECT l_orderkey AS "commit", l_partkey AS path, CAST(sum(l_quantity) AS BIGINT) AS lines_added,
