@@ -9,7 +9,7 @@ from sedimenta.functions import metrics as M
 from sedimenta.operators import graph, history
 from sedimenta.operators.hotspots import hotspots as hotspot_report
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, PATHS, query, whole
+from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, ORACLE_SQL, PATHS, query, whole
 
 
 @query(f"""
@@ -156,6 +156,16 @@ b AS (SELECT *, CASE WHEN p1 = 20 AND (ts <= TIMESTAMP '1998-01-01') THEN 30 ELS
 SELECT p2 AS "current", count(*) AS n FROM b GROUP BY 1""")
 def rename_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 became 20 in 1996, and 20 became 30 in 1998: older rows follow both."""
-    rows = A.load(spark, sf_dir, "lineitem").where("l_partkey <= 60").select("l_orderkey", F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts")).distinct()
-    moves = spark.sql("SELECT * FROM VALUES (10L, 20L, TIMESTAMP '1996-01-01'), (20L, 30L, TIMESTAMP '1998-01-01') AS t(old, new, ts)")
+    return _renamed(A.load(spark, sf_dir, "lineitem").where("l_partkey <= 60"))
+
+
+@query(ORACLE_SQL["rename_chain"].replace(" WHERE l_partkey <= 60", ""))
+def rename_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all parts."""
+    return _renamed(A.load(spark, sf_dir, "lineitem"))
+
+
+def _renamed(lines: DataFrame) -> DataFrame:
+    rows = lines.select("l_orderkey", F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts")).distinct()
+    moves = lines.sparkSession.sql("SELECT * FROM VALUES (10L, 20L, TIMESTAMP '1996-01-01'), (20L, 30L, TIMESTAMP '1998-01-01') AS t(old, new, ts)")
     return graph.renamed(moves, rows).groupBy("current").agg(F.count("*").alias("n"))

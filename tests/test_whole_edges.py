@@ -85,3 +85,10 @@ def test_tests_selected_over_all_edges(spark, edges, backward):
         found[t] |= {(2, c) for c in changed if c != t and t in reach[c]}
     expected = {t: (max(k for k, _ in of), ",".join(map(str, sorted({c for _, c in of})))) for t, of in found.items() if of}
     assert {r.test: (r.tier, r.via) for r in QUERIES["test_selection_all"](spark, SF).collect()} == expected
+
+
+def test_all_paths_are_followed_through_renames(spark):
+    rows = {(r.l_orderkey, r.l_partkey, r.l_shipdate) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_shipdate").collect()}
+    got = {r.current: r.n for r in QUERIES["rename_chain_all"](spark, SF).collect()}
+    assert sum(got.values()) == len(rows)
+    assert set(got) | {10, 20} == {p for _, p, _ in rows} | {10, 20} and max(got) > 60
