@@ -13,8 +13,6 @@ DAY = 86_400
 WINDOWS = (30, 90, 365)
 #: Commits with more files than this count as changes but make no pairs.
 WIDEST_COMMIT = 50
-#: Pair rows beyond which a report is empty and says why, instead of being cut.
-PAIR_CEILING = 1_000_000_000
 
 
 def head(commits: DataFrame) -> DataFrame:
@@ -98,19 +96,20 @@ def module_touches(by_identity: DataFrame) -> DataFrame:
     return by_identity.withColumn("module", F.explode(ancestors(F.col("path")))).groupBy("module", "identity").agg(F.sum("touches").alias("touches"))
 
 
-def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMIT, ceiling: int = PAIR_CEILING) -> DataFrame:
+def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMIT, ceiling: int | None = None) -> DataFrame:
     """Unordered pairs (source < target) of files changed together at least so often.
 
     Pairs come from commits of at most ``widest`` files; a file's changes count all its commits. The width bounds
-    the pairs of a commit, so pairs grow in proportion to commits. Past the ceiling there are no rows at all.
+    the pairs of a commit, so pairs grow in proportion to commits. There is no ceiling unless one is given; past that there are no rows at all.
     """
     files = commit_files.select("commit", "path").distinct()
     totals = files.groupBy("path").agg(F.count("*").alias("changes"))
     narrow = files.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n")).where(F.col("n") <= widest)
-    allowed = narrow.agg((F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)) <= ceiling).alias("allowed"))
+    if ceiling is not None:
+        allowed = narrow.agg((F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)) <= ceiling).alias("allowed"))
+        narrow = narrow.crossJoin(F.broadcast(allowed)).where("allowed")
     pairs = (
-        narrow.crossJoin(F.broadcast(allowed)).where("allowed")
-        .select("paths", F.posexplode("paths").alias("i", "source"))
+        narrow.select("paths", F.posexplode("paths").alias("i", "source"))
         .select("source", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("target"))
         .groupBy("source", "target").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
     )

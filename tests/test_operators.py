@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import random
 
@@ -38,6 +39,12 @@ def test_pair_ceiling_gives_nothing_instead_of_a_part(spark):
     assert history.coupling(files, least=1, ceiling=5).count() == 0
 
 
+def test_no_pair_ceiling_unless_one_is_given(spark):
+    files = spark.createDataFrame([(1, c) for c in "abcd"], "commit int, path string")
+    assert inspect.signature(history.coupling).parameters["ceiling"].default is None  # a billion pairs are too many for a test
+    assert history.coupling(files, least=1).count() == 6
+
+
 def test_bus_factor_goes_by_half_of_the_touches(spark):
     t = spark.createDataFrame([("p", "x", 5), ("p", "y", 3), ("p", "z", 2), ("q", "x", 1)], "path string, identity string, touches long")
     assert rows(history.concentration(t)) == [("p", 3, 10, "x", 50.0, 1), ("q", 1, 1, "x", 100.0, 1)]
