@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.tables import staged
+from sedimenta.llm.tables import discard, staged
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = staged(edges.select("u", "v").where("u <> v").distinct())
     state = None
     for _ in range(most_rounds):
-        now = staged(_small(_large(now)))
+        before, now = now, staged(_small(_large(now)))
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == state:
             break

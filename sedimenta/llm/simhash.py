@@ -16,7 +16,6 @@ or null. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.llm.graph import components
-from sedimenta.llm.tables import staged
-from sedimenta.llm.words import mix, slices, split
+from sedimenta.llm.tables import row_id, staged
+from sedimenta.llm.words import Hasher, mix, slices, split
 
 SHINGLE = 3
 RADIUS = 2
@@ -38,15 +37,34 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _of_slice(data: np.ndarray, offsets: np.ndarray, n: int, lanes: int = 1) -> np.ndarray:
-    """Fingerprints (texts, lanes) of the texts of one slice; lane 0 is of the hashes themselves, others of their mixes.
+def _shingles(starts: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts with a word, first shingle of each and one more, first word and end word of each shingle).
 
-    With one lane a shingle counts as often as it is there, with several once.
+    A text of fewer than n words has one shingle, of all of them.
     """
+    first = np.searchsorted(starts, offsets)  # of each text, the first word
+    words = np.diff(first)
+    counts = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    kept = np.flatnonzero(counts)
+    at = np.zeros(len(kept) + 1, dtype=np.int64)
+    np.cumsum(counts[kept], out=at[1:])
+    begin = np.repeat(first[:-1][kept] - at[:-1], counts[kept]) + np.arange(at[-1])
+    return kept, at, begin, begin + np.repeat(np.minimum(words[kept], n), counts[kept])
+
+
+def _majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each text, a number whose bits are 1 where over half its hashes have a 1."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, at[:-1], axis=0, dtype=np.int32)
+    over = (2 * ones > np.diff(at)[:, None]).astype(np.uint8)
+    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _of_slice(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of the texts of one slice; a shingle counts as often as it is there."""
     data = _LOWER[data]
     starts, ends = split(data)
-    texts = len(offsets) - 1
-    out = np.zeros((texts, lanes), dtype=np.uint64)
+    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
     if not len(starts):
         return out
     # words of a text stand behind one another with one space between
@@ -60,31 +78,10 @@ def _of_slice(data: np.ndarray, offsets: np.ndarray, n: int, lanes: int = 1) ->
     mask[starts] = 1
     mask[ends] -= 1
     compact[inside] = data[np.cumsum(mask[:-1]).astype(bool)]
-    first = np.searchsorted(starts, offsets)  # of each text, the first word
-    words = np.diff(first)
-    counts = np.where(words >= n, words - n + 1, np.minimum(words, 1))
-    kept = np.flatnonzero(counts)
-    base = np.repeat(first[:-1][kept], counts[kept])
-    at = np.zeros(len(kept) + 1, dtype=np.int64)
-    np.cumsum(counts[kept], out=at[1:])
-    begin = base + np.arange(at[-1]) - np.repeat(at[:-1], counts[kept])
-    last = begin + np.repeat(np.minimum(words[kept], n), counts[kept]) - 1
+    kept, at, begin, end = _shingles(starts, offsets, n)
     raw, digest, seed = compact.tobytes(), xxhash.xxh64_intdigest, SEED
-    hashes = np.array([digest(raw[a:b], seed) for a, b in zip(compact_starts[begin].tolist(), (compact_starts[last + 1] - 1).tolist(), strict=True)], dtype="<u8")
-    if lanes > 1:  # similarity is between sets of shingles, however often a text has each
-        text = np.repeat(np.arange(len(kept)), counts[kept])
-        order = np.lexsort((hashes, text))
-        hashes, text = hashes[order], text[order]
-        fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])))
-        hashes = hashes[fresh]
-        counts[kept] = np.bincount(text[fresh], minlength=len(kept))
-        np.cumsum(counts[kept], out=at[1:])
-    for lane in range(lanes):
-        own = mix(hashes + np.uint64(lane)) if lane else hashes
-        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at[:-1], axis=0, dtype=np.int64)
-        over = (2 * ones > counts[kept][:, None]).astype(np.uint8)
-        out[kept, lane] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+    hashes = np.array([digest(raw[a:b], seed) for a, b in zip(compact_starts[begin].tolist(), (compact_starts[end] - 1).tolist(), strict=True)], dtype="<u8")
+    out[kept] = _majority(hashes, at)
     return out
 
 
@@ -95,28 +92,29 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             found = np.zeros(batch.num_rows, dtype=np.uint64)
             for first, end, data, offsets in slices(batch.column("text")):
-                found[first:end] = _of_slice(data, offsets, shingle)[:, 0]
+                found[first:end] = _of_slice(data, offsets, shingle)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
 
 
 class BKTree:
-    """Numbers under Hamming distance; no number twice."""
+    """Numbers of any width under Hamming distance; no number twice."""
 
     def __init__(self) -> None:
         self.root: list | None = None  # [number, {distance: node}]
 
-    def near(self, x: int, radius: int) -> list[int]:
+    def near(self, x: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, number) of all numbers within the radius of x."""
         found, todo = [], [self.root] if self.root else []
         while todo:
             value, children = todo.pop()
             d = (value ^ x).bit_count()
             if d <= radius:
-                found.append(value)
-            for k in range(max(d - radius, 1), d + radius + 1):
-                child = children.get(k)
-                if child is not None:
+                found.append((d, value))
+            low, high = d - radius, d + radius
+            for k, child in children.items():
+                if low <= k <= high:
                     todo.append(child)
         return found
 
@@ -133,25 +131,59 @@ class BKTree:
             node = child
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, root) of each value that isn't the root of its links among values."""
-    tree, root = BKTree(), {}
+class _Sets:
+    """Disjoint sets, each known by its least member."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        above = self.above
+        above.setdefault(x, x)
+        while above[x] != x:
+            above[x] = x = above[above[x]]
         return x
 
-    for x in values:
-        if x in root:
-            continue
-        root[x] = x
-        for y in tree.near(x, radius):
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def forest(values: dict[int, int], radius: int) -> list[tuple[int, int]]:
+    """(node, root) of each node that isn't the least of its component; values has the node of each number."""
+    tree, sets = BKTree(), _Sets()
+    for x, node in values.items():
+        for _, y in tree.near(x, radius):
+            sets.join(node, values[y])
+        tree.add(x)
+    return [(n, r) for n in values.values() if (r := sets.find(n)) != n]
+
+
+def nearest_links(values: dict[int, int], radius: int) -> list[tuple[int, int]]:
+    """Links between nodes: a spanning forest of all pairs within the radius that takes the nearest pairs first.
+
+    So whatever distance up to the radius is held to be near enough, the links up to it join what all such pairs join.
+    """
+    tree, sets, found = BKTree(), _Sets(), []
+    for x, node in values.items():
+        found += [(d, node, values[y]) for d, y in tree.near(x, radius)]
+        tree.add(x)
+    found.sort()
+    return [(u, v) for _, u, v in found if sets.join(u, v)]
+
+
+def links_across(left: dict[int, tuple[int, int]], right: dict[int, tuple[int, int]], radius: int) -> list[tuple[int, int]]:
+    """Links between nodes of left and of right, whose numbers have (node, root): a forest over the roots, nearest pairs first."""
+    tree, sets, found = BKTree(), _Sets(), []
+    for x in right:
         tree.add(x)
-    return [(x, r) for x in root if (r := find(x)) != x]
+    for x, (node, root) in left.items():
+        found += [(d, node, right[y][0], root, right[y][1]) for d, y in tree.near(x, radius) if right[y][1] != root]
+    found.sort()
+    return [(u, v) for _, u, v, a, b in found if sets.join(a, b)]
 
 
 def _bands(bits: list[int], n: int) -> list[list[int]]:
@@ -173,38 +205,38 @@ def _divided(entries: DataFrame, free: list[list[int]], radius: int) -> tuple[Da
             after.append([b for b in bits if b not in set(band)])
         masks.append(row)
     table = F.array(*(F.array(*(F.lit(m).cast("long") for m in row)) for row in masks))
-    cut = entries.select("fp", "shard", "path", F.posexplode(F.get(table, F.col("path"))).alias("k", "mask"))
-    return cut.select("fp", F.xxhash64("shard", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"), (F.col("path") * (radius + 1) + F.col("k")).alias("path")), after
+    cut = entries.select("fp", "node", "shard", "path", F.posexplode(F.get(table, F.col("path"))).alias("k", "mask"))
+    return cut.select("fp", "node", F.xxhash64("shard", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"), (F.col("path") * (radius + 1) + F.col("k")).alias("path")), after
 
 
 def _linked(entries: DataFrame, radius: int) -> DataFrame:
-    """Links (u, v) of each shard's forest. Shards stand together and in order; one is in memory at a time."""
+    """Links (u, v) of each shard's forest, between nodes. Shards stand together and in order; one is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, values = None, []
-
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
-
+        now, values = None, {}
         for batch in batches:
             pairs: list[tuple[int, int]] = []
             fps = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            for shard, fp in zip(batch.column("shard").to_pylist(), fps, strict=True):
+            for shard, fp, node in zip(batch.column("shard").to_pylist(), fps, batch.column("node").to_pylist(), strict=True):
                 if shard != now:
                     pairs += forest(values, radius) if len(values) > 1 else []
-                    now, values = shard, []
-                values.append(fp)
-            yield out(pairs)
-        yield out(forest(values, radius) if len(values) > 1 else [])
+                    now, values = shard, {}
+                values[fp] = node
+            yield _pairs(pairs)
+        yield _pairs(forest(values, radius) if len(values) > 1 else [])
+
+    return entries.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "u bigint, v bigint")
 
-    return entries.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "u bigint, v bigint")
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints fp whose components are those of all pairs within the radius."""
+    """Links (u, v) between the nodes of distinct (fp, node) whose components are those of all pairs within the radius."""
     found: list[DataFrame] = []
-    entries = distinct.select("fp", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("path"))
+    entries = distinct.select("fp", "node", F.lit(0).cast("long").alias("shard"), F.lit(0).alias("path"))
     free = [list(range(64))]
     for level in range(4):
         entries, free = _divided(entries, free, radius)
@@ -212,7 +244,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         sized = staged(entries.join(sizes, "shard"))
         last = level == 3
         found.append(_linked(sized if last else sized.where(F.col("_n") <= shard), radius))
-        entries = sized.where(F.col("_n") > shard).select("fp", "shard", "path")
+        entries = sized.where(F.col("_n") > shard).select("fp", "node", "shard", "path")
         if last or not entries.take(1):
             break
     out = found[0]
@@ -221,13 +253,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return out
 
 
+def numbered(nodes: DataFrame, *order: str) -> DataFrame:
+    """nodes, stored, with a column node that numbers them in order: no two alike, the first the least."""
+    return staged(nodes.orderBy(*order).withColumn("node", F.monotonically_increasing_id()))
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """A row per document: doc_id, fingerprint, component_id (the least doc_id that links reach)."""
     marked = staged(fingerprints(docs, shingle))
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("_least")))
-    roots = components(links(nodes, radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    named = rooted.join(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")), "_root").select("fp", "component_id")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
+    nodes = numbered(least.select("fp", "_least", F.col("_least").isNull().alias("_none")), "_none", "_least", "fp")
+    roots = components(links(nodes, radius)).where("node <> root").select(F.col("node").alias("_node"), "root")
+    # a component's least node has its least document, so no group is gathered for it
+    named = nodes.join(roots, nodes["node"] == roots["_node"], "left").select("fp", "_least", "root")
+    first = nodes.select(F.col("node").alias("_first"), F.col("_least").alias("_name"))
+    named = named.join(first, named["root"] == first["_first"], "left").select("fp", F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("_name")).alias("component_id"))
     return marked.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -235,74 +275,63 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Lanes of 64 bits of a wide fingerprint; bits that may differ.
+#: Lanes of 64 bits of a wide fingerprint, and bits that may differ: at a similarity of 0.8 they are 39 on average with a
+#: deviation of 6, so one such pair in 800 is beyond. What is within the radius is verified on the shingles themselves.
 LANES = 4
-WIDE_RADIUS = 42
-#: Least bits of a table's key; fingerprints that chance brings to a bucket, about, beyond which keys have more bits.
-TABLE_BITS = 18
-CHANCE = 64
-#: Probability that two texts of similarity 0.8 meet in one of the tables, whose number follows from it; and the share of bits they differ in.
-MEET = 0.81
-DIFFER = 39 / 256
-#: A bucket with more fingerprints than this is dealt over blocks of so many, which have PIVOTS of them in common, about; what is then still apart is compared between blocks.
-BLOCK = 4096
-PIVOTS = 64
-#: Buckets to be dealt out are broadcast up to this number.
-BROADCAST_BUCKETS = 100_000
-#: Up to this size all pairs of a bucket are compared at once.
-_SMALL = 48
-
-
-def shape(n: int) -> tuple[int, int]:
-    """(tables, bits of a key) for n fingerprints: buckets stay small as n grows, and two similar texts meet as often."""
-    bits = max(TABLE_BITS, math.ceil(math.log2(max(n, 1) / CHANCE)))
-    return math.ceil(math.log(1 - MEET) / math.log(1 - (1 - DIFFER) ** bits)), bits
-
-
-def _tables(n: int) -> list[list[int]]:
-    """By table and lane, the mask of the bits that make its key, for n fingerprints."""
-    draw = np.random.Generator(np.random.PCG64(SEED))
-    out = []
-    tables, bits = shape(n)
-    for _ in range(tables):
-        chosen = draw.choice(64 * LANES, bits, replace=False)
-        out.append([_signed(sum(1 << int(b % 64) for b in chosen if b // 64 == lane)) for lane in range(LANES)])
+WIDE_RADIUS = 57
+SIMILARITY = 0.8
+#: A shard is a band of ROWS min-hashes, of which a text has BANDS: two texts of similarity 0.8 share one with probability 0.995.
+BANDS = 10
+ROWS = 4
+#: A shard with more fingerprints than this is dealt over blocks of so many, which have PIVOTS of them in common, about; what is then still apart is compared between blocks.
+BLOCK = 1024
+PIVOTS = 32
+#: Shards to be dealt out are broadcast up to this number.
+BROADCAST_SHARDS = 100_000
+_HASHER = Hasher(50)
+_DRAW = np.random.Generator(np.random.PCG64(SEED))
+_SALT = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts with a word, first shingle of each and one more, hashes): of each text the distinct hashes of its shingles, in order."""
+    data = _LOWER[data]
+    starts, ends = split(data)
+    kept, at, begin, end = _shingles(starts, offsets, n)
+    hashes = _HASHER.spans(_HASHER.words(data, starts, ends), begin, end)
+    text = np.repeat(np.arange(len(kept)), np.diff(at))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    sizes = np.bincount(text[fresh], minlength=len(kept))
+    return kept, np.concatenate(([0], np.cumsum(sizes))), hashes[fresh]
+
+
+def _wide(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """(texts, LANES + BANDS): wide fingerprints and shards of the texts of one slice. Texts without word have zeros."""
+    out = np.zeros((len(offsets) - 1, LANES + BANDS), dtype=np.uint64)
+    kept, at, hashes = _sets(data, offsets, n)
+    if not len(kept):
+        return out
+    for lane in range(LANES):
+        out[kept, lane] = _majority(mix(hashes + np.uint64(lane)), at)
+    for band in range(BANDS):
+        key = np.full(len(kept), band, dtype=np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = mix(key ^ np.minimum.reduceat((hashes ^ _SALT[k]) * _ODD[k], at[:-1]))
+        out[kept, LANES + band] = key
     return out
 
 
-def _near_in_buckets(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Links between rows of equal keys, which stand together, whose fingerprints differ in WIDE_RADIUS bits at most."""
-    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    sizes, starts = np.diff(cuts), cuts[:-1]
-    found = []
-    for k in range(1, min(_SMALL, int(sizes.max(initial=0)))):  # pairs that stand k apart in buckets of moderate size
-        some = (sizes > k) & (sizes <= _SMALL)
-        counts = sizes[some] - k
-        a = np.repeat(starts[some], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        near = np.bitwise_count(fps[a] ^ fps[a + k]).sum(axis=1) <= WIDE_RADIUS
-        found.append(np.stack([nodes[a[near]], nodes[a[near] + k]], axis=1))
-    for s, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        root = np.arange(n)
-        own = fps[s : s + n]
-        for i in range(1, n):
-            near = np.flatnonzero(np.bitwise_count(own[:i] ^ own[i]).sum(axis=1) <= WIDE_RADIUS)
-            roots = np.unique(root[near])
-            if len(roots):
-                root[i] = roots[0]
-                for r in roots[1:]:
-                    root[:i][root[:i] == r] = roots[0]
-        moved = np.flatnonzero(root != np.arange(n))
-        found.append(np.stack([nodes[s + moved], nodes[s + root[moved]]], axis=1))
-    return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-
-
 def _dealt(keyed: DataFrame, block: int, pivots: int) -> DataFrame:
     """keyed (key, node, ...), in which a key of more than block rows is divided into keys of about block + pivots rows."""
     large = staged(keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumnRenamed("key", "_large"))
     found = large.count()
     if not found:
         return keyed
-    sized = keyed.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("key") == F.col("_large"), "left")
+    sized = keyed.join(F.broadcast(large) if found <= BROADCAST_SHARDS else large, F.col("key") == F.col("_large"), "left")
     blocks = F.ceil(F.col("_n") / block)
     own = F.xxhash64("key", F.pmod(F.xxhash64("key", "node"), blocks))
     every = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: F.xxhash64("key", b))
@@ -320,12 +349,12 @@ def _apart(keyed: DataFrame, roots: DataFrame, block: int) -> DataFrame | None:
     found = large.count()
     if not found:
         return None
-    rows = keyed.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("key") == F.col("_large")).drop("_large")
+    rows = keyed.join(F.broadcast(large) if found <= BROADCAST_SHARDS else large, F.col("key") == F.col("_large")).drop("_large")
     named = roots.select(F.col("node").alias("_node"), "root")
     rows = staged(rows.join(named, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node"))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("_c"))
     main = parts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("_c", "root")).alias("_main"), F.sum("_c").alias("_all")).select("_key", F.col("_main.root").alias("_main"), (F.col("_all") - F.col("_main._c")).alias("_rest")).where("_rest > 0")
-    rows = rows.join(F.broadcast(main) if found <= BROADCAST_BUCKETS else main, F.col("key") == F.col("_key"))
+    rows = rows.join(F.broadcast(main) if found <= BROADCAST_SHARDS else main, F.col("key") == F.col("_key"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(n / block) - 1)
     mine = lambda n: F.pmod(F.xxhash64("key", "node"), F.ceil(n / block))
     n, rest = F.col("_n"), F.col("_rest")
@@ -333,100 +362,137 @@ def _apart(keyed: DataFrame, roots: DataFrame, block: int) -> DataFrame | None:
     one = F.transform(upto(n), lambda j: F.struct(F.xxhash64("key", rest_block, j).alias("pair"), F.lit(0).alias("side")))
     other = F.transform(upto(rest), lambda i: F.struct(F.xxhash64("key", i, own_block).alias("pair"), F.lit(1).alias("side")))
     every = F.when(F.col("root") == F.col("_main"), other).otherwise(F.concat(one, other))
-    return rows.withColumn("_at", F.explode(every)).select("_at.pair", "_at.side", "root", *(c for c in keyed.columns if c != "key"))
+    return rows.withColumn("_at", F.explode(every)).select(F.col("_at.pair").alias("key"), F.col("_at.side").alias("side"), "root", *(c for c in keyed.columns if c != "key"))
+
+
+_LANES = [f"f{k}" for k in range(LANES)]
+
+
+def _numbers(batch: pa.RecordBatch) -> list[int]:
+    """The wide fingerprints of a batch, each as one number."""
+    raw = np.stack([batch.column(lane).to_numpy() for lane in _LANES], axis=1).astype("<i8").tobytes()
+    return [int.from_bytes(raw[i : i + 8 * LANES], "little") for i in range(0, len(raw), 8 * LANES)]
+
+
+def _by_shard(rows: DataFrame, compare: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """Links (u, v) of compare on the rows (number, node, side, root) of each key, one key in memory at a time; keys of one row are left out."""
+    columns = [c for c in ("side", "root") if c in rows.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            rest = [batch.column(c).to_pylist() for c in columns]
+            for key, *row in zip(batch.column("key").to_pylist(), _numbers(batch), batch.column("node").to_pylist(), *rest, strict=True):
+                if key != now:
+                    found += compare(held) if len(held) > 1 else []
+                    now, held = key, []
+                held.append(row)
+            yield _pairs(found)
+        yield _pairs(compare(held) if len(held) > 1 else [])
+
+    placed = rows.select("key", *_LANES, "node", *columns).repartition("key").sortWithinPartitions("key", "node")
+    return placed.mapInArrow(run, "u bigint, v bigint").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _near_between(sides: np.ndarray, roots: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    """Links between roots of rows of side 0 and of side 1 whose fingerprints differ in WIDE_RADIUS bits at most."""
-    right, theirs = fps[sides == 1], roots[sides == 1]
-    found = []
-    for fp, root in zip(fps[sides == 0], roots[sides == 0], strict=True):
-        near = np.unique(theirs[np.bitwise_count(right ^ fp).sum(axis=1) <= WIDE_RADIUS])
-        near = near[near != root]
-        found.append(np.stack([np.full(len(near), root), near], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of rows (node, text): 32 bits of each distinct shingle's hash, in order, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [b""] * batch.num_rows
+            for first, _, data, offsets in slices(batch.column("text")):
+                kept, at, hashes = _sets(data, offsets, shingle)
+                short = (hashes >> np.uint64(32)).astype("<u4")
+                for k, i in enumerate(kept.tolist()):
+                    out[first + i] = np.unique(short[at[k] : at[k + 1]]).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node bigint, shingles binary")
+
+
+def alike(one: bytes, other: bytes) -> float:
+    """Similarity (Jaccard) of two sets of _shingle_sets."""
+    a, b = np.frombuffer(one, dtype="<u4"), np.frombuffer(other, dtype="<u4")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, shingles) are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [alike(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(_rid, _least) for docs(_rid, _order, text): _least is the first row, by _order, of the row's group of near copies.
+def _shards(bands: list[str]) -> Column:
+    return F.array(*(F.xxhash64(F.lit(k), b) for k, b in enumerate(bands)))
 
-    A wide fingerprint has 256 bits, of which texts with a similarity (Jaccard, on shingles) of 0.8
-    differ in 39 on average, with a deviation of 6; so WIDE_RADIUS finds three quarters of such pairs where 64 bits couldn't
-    tell. Bands of so many differences would be too short to divide a corpus; instead each of 32 tables (more beyond
-    16 million fingerprints, see shape) takes 18 sampled bits as its key, and rows of equal keys are compared. With the radius'
-    loss two texts of similarity 0.8 are linked directly with probability 0.62, of 0.85 with 0.87, of 0.9 with 0.97; links aren't
-    verified on the shingles. Texts of equal fingerprints are one node.
 
-    A large group of near copies, or a template that many texts share, fills a bucket beyond BLOCK fingerprints. Such a bucket is
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(_r1, _r2) of the rows docs(_r1, _r2, _order, text) that are the first, by _order, of their group of near copies.
+
+    Groups are the components of all pairs of a similarity (Jaccard, on distinct lower-cased shingles) of 0.8 or more. Pairs are
+    searched by wide SimHash fingerprints, 256 bits over the distinct shingles, in BK-trees. At such a radius neither one tree nor
+    bands of bits can divide a corpus, so a tree's shard is a band of min-hashes. A shard gives a spanning forest of its near pairs,
+    nearest first, never all of them; its links are then verified on the shingles, and only verified ones join. Texts of
+    equal fingerprints are one node. Of pairs of 0.8 some 0.5 % share no shard and 0.1 % are beyond the radius; of pairs of 0.85, next to none.
+
+    A large group of near copies, or a template that many texts share, fills a shard beyond BLOCK fingerprints. Such a shard is
     dealt over blocks by hash, and its pivots, drawn by hash too, go to all of its blocks: whatever is near to one of them or to a
-    block-mate is linked. Then what isn't in the bucket's largest component is compared with all of the bucket, a pair of blocks at a
-    time. So all pairs of a bucket are seen or known to be linked, and no task holds more than two blocks. A group of near copies takes
-    time in proportion to its size; a bucket of texts that aren't near to one another takes the square of it.
+    block-mate is linked. Then what isn't in the shard's largest component is compared with all of the shard, a pair of blocks at a
+    time. So all pairs of a shard are seen or known to be linked, and no task holds more than two blocks. A group of near copies takes
+    time in proportion to its size; a shard of texts that aren't near to one another takes the square of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, LANES), dtype=np.uint64)
+            out = np.zeros((batch.num_rows, LANES + BANDS), dtype=np.uint64)
             for first, end, data, offsets in slices(batch.column("text")):
-                out[first:end] = _of_slice(data, offsets, shingle, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column("_rid"), batch.column("_order"), *(pa.array(out[:, k].view(np.int64)) for k in range(LANES))], names=["_rid", "_order", *lanes])
-
-    lanes = [f"f{k}" for k in range(LANES)]
-    schema = docs.select("_rid", "_order").schema
-    for lane in lanes:
-        schema = schema.add(lane, "long")
-    marked = staged(docs.select("_rid", "_order", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)))
-    nodes = staged(marked.groupBy("node").agg(F.min(F.struct("_order", "_rid")).alias("_first"), *(F.min(lane).alias(lane) for lane in lanes)))
-
-    def each(compare: Callable[[list[np.ndarray]], np.ndarray], names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Links of whole buckets, by the first of names, in which rows stand together."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest = None
-            for batch in batches:
-                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-                if rest is not None:
-                    now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-                keys = now[0]
-                whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-                rest = [x[whole:] for x in now]
-                yield pairs([x[:whole] for x in now])
-            if rest is not None:
-                yield pairs(rest)
-
-        def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-            found = compare(columns) if len(columns[0]) > 1 else np.empty((0, 2), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
-
-        return run
-
-    def within(columns: list[np.ndarray]) -> np.ndarray:
-        return _near_in_buckets(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64))
-
-    def between(columns: list[np.ndarray]) -> np.ndarray:
-        fps = np.stack(columns[3:], axis=1).view(np.uint64)
-        cuts = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
-        return np.concatenate([_near_between(columns[1][a:b], columns[2][a:b], fps[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-
-    cut = F.array(*(F.xxhash64(F.lit(t), *(F.col(lane).bitwiseAND(F.lit(m).cast("long")) for lane, m in zip(lanes, masks, strict=True) if m)) for t, masks in enumerate(_tables(nodes.count()))))
-    cut_nodes = nodes.select(F.explode(cut).alias("key"), "node", *lanes)
-    keyed = _dealt(cut_nodes, BLOCK, PIVOTS).repartition("key").sortWithinPartitions("key", "node")
-    roots = components(keyed.mapInArrow(each(within, ("key", "node", *lanes)), "u bigint, v bigint"))
-    apart = _apart(cut_nodes, roots, BLOCK)
+                out[first:end] = _wide(data, offsets, shingle)
+            own = [batch.column(c) for c in ("_r1", "_r2", "_order")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(out[:, k].view(np.int64)) for k in range(LANES + BANDS))], names=["_r1", "_r2", "_order", *_LANES, *bands])
+
+    bands = [f"b{k}" for k in range(BANDS)]
+    schema = docs.select("_r1", "_r2", "_order").schema
+    for name in (*_LANES, *bands):
+        schema = schema.add(name, "long")
+    marked = docs.select("_r1", "_r2", "_order", "text").mapInArrow(run, schema)
+    first = F.min(F.struct("_order", "_r1", "_r2")).alias("_first")
+    nodes = numbered(marked.groupBy(*_LANES).agg(first, *(F.min(b).alias(b) for b in bands)), "_first")
+    keyed = nodes.select(F.explode(_shards(bands)).alias("key"), "node", *_LANES)
+    found = staged(_by_shard(_dealt(keyed, BLOCK, PIVOTS), lambda rows: nearest_links(dict(rows), WIDE_RADIUS)))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        chosen = nodes.join(ends, "node", "left_semi").select("node", F.col("_first._r1").alias("_r1"), F.col("_first._r2").alias("_r2"))
+        texts = docs.select("_r1", "_r2", "text").join(chosen, ["_r1", "_r2"]).dropDuplicates(["node"])
+        return staged(_shingle_sets(texts, shingle))
+
+    near = staged(_verified(found, sets_of(found), similarity))
+    roots = components(near)
+    apart = _apart(keyed, roots, BLOCK)
     if apart is not None:
-        sorted_ = apart.repartition("pair").sortWithinPartitions("pair", "side", "node")
-        more = components(sorted_.mapInArrow(each(between, ("pair", "side", "root", *lanes)), "u bigint, v bigint")).select(F.col("node").alias("_old"), F.col("root").alias("_new"))
-        known = nodes.select("node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("_old"))
-        roots = known.join(more, "_old", "left").select("node", F.coalesce("_new", "_old").alias("root"))
-    roots = roots.withColumnRenamed("node", "_n")
-    rooted = nodes.join(roots, nodes["node"] == roots["_n"], "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_first").alias("_least"))
-    return marked.join(rooted.join(least, "root").select("node", "_least"), "node").select("_rid", "_least")
+
+        def across(rows: list[tuple]) -> list[tuple[int, int]]:
+            sides = [{number: (node, root) for number, node, side, root in rows if side == s} for s in (0, 1)]
+            return links_across(*sides, WIDE_RADIUS)
+
+        more = staged(_by_shard(apart, across))
+        roots = components(near.unionAll(_verified(more, sets_of(more), similarity)))
+    gone = roots.where("node <> root").select("node")
+    return nodes.join(gone, "node", "left_anti").select(F.col("_first._r1").alias("_r1"), F.col("_first._r2").alias("_r2"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with one row of each group of near copies: the one of the least doc_id (null last)."""
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"))
-    keyed = docs.select(F.xxhash64(F.lit("row"), "doc_id", "text").alias("_rid"), order.alias("_order"), "text", F.struct("*").alias("_row"))
-    stay = near_copies(keyed, shingle).where(F.col("_rid") == F.col("_least._rid")).select("_rid").distinct()
-    return keyed.select("_rid", "_row").join(stay, "_rid", "left_semi").dropDuplicates(["_rid"]).select("_row.*")
+    keyed = docs.select(*row_id(), order.alias("_order"), "text", F.struct("*").alias("_row"))
+    stay = near_copies(keyed, shingle)
+    return keyed.select("_r1", "_r2", "_row").join(stay, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select("_row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of an Arrow batch on its way to Python and back, unless the session has a size of its own. Rows of long texts make
-#: the default of 64 MB; a task holds a few of them in the JVM and in Python each.
+#: the default of 64 MB; a task holds a few of them in the JVM and in Python each. It is the session's setting that is lowered.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -29,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; one of this machine's where none is set (tests)."""
+    """A new path in the shared checkpoint folder. One of this machine's where none is set, in local mode only."""
     _small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: stored tables need a folder that driver and executors share")
         base = kept or tempfile.mkdtemp(prefix="sedimenta-")
         if not kept:
             spark.sparkContext.setCheckpointDir(base)
@@ -44,7 +47,23 @@ def staged(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: later reads neither recompute it nor need the executor that made it."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what staged wrote for df, which nothing reads any more. Other tables are left alone."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def row_id() -> tuple[Column, Column]:
+    """_r1 and _r2: 128 bits of a row's doc_id and text. Rows alike in both have the same."""
+    return tuple(F.xxhash64(F.lit(salt), "doc_id", "text").alias(name) for name, salt in (("_r1", "row"), ("_r2", "and row")))
 
 
 def words_of(text: Column) -> Column:

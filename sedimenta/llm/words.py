@@ -70,6 +70,13 @@ class Hasher:
         np.cumsum(words * up[:-1], out=sums[1:])
         return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
 
+    def spans(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash for each run words[begin[i]:end[i]]."""
+        up, down = self.of_words.upto(len(words) + 1)
+        sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * up[:-1], out=sums[1:])
+        return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
 
 def split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each word."""

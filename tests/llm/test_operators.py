@@ -318,7 +318,7 @@ def test_links_of_dense_clusters_equal_brute_force(spark, shard):
     values = sorted(values)
     expected = brute_components(values, 2)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard)
+    found = simhash.links(spark.createDataFrame([(v, v) for v in signed], "fp long, node long"), 2, shard)
     roots = {r.node: r.root for r in components(found).collect()}
     of = {}
     for v, g in zip(signed, expected, strict=True):
@@ -334,7 +334,7 @@ def test_bk_tree_follows_only_edges_within_the_radius():
     for v in values:
         tree.add(v)
     for q in values[:50]:
-        assert sorted(tree.near(q, 2)) == sorted(v for v in values if (v ^ q).bit_count() <= 2)
+        assert sorted(tree.near(q, 2)) == sorted((d, v) for v in values if (d := (v ^ q).bit_count()) <= 2)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -392,7 +392,7 @@ def test_near_copies_in_different_blocks_of_a_loose_family_are_found(spark, monk
     random.shuffle(rows)
     monkeypatch.setattr(simhash, "BLOCK", 20)
     monkeypatch.setattr(simhash, "PIVOTS", 2)
-    monkeypatch.setattr(simhash, "_tables", lambda n: [[0] * simhash.LANES])  # all in one bucket
+    monkeypatch.setattr(simhash, "_shards", lambda bands: F.array(F.lit(0).cast("long")))  # all in one shard
     assert {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(120))
 
 
@@ -410,11 +410,47 @@ def test_blocks_hold_all_rows_of_a_bucket_and_share_its_pivots(spark):
     assert 1 <= len(set.intersection(*(of[k] for k in blocks))) <= 40
 
 
-def test_tables_keep_the_chance_to_meet_as_the_corpus_grows():
-    for n in (0, 10**5, 10**7, 10**9, 10**11):
-        tables, bits = simhash.shape(n)
-        assert 1 - (1 - (1 - simhash.DIFFER) ** bits) ** tables >= simhash.MEET
-        assert n / 2**bits <= simhash.CHANCE
+def test_shards_give_forests_and_never_all_pairs():
+    random.seed(8)
+    base = random.getrandbits(256)
+    values = {base ^ (1 << i) ^ (1 << 200 + i % 50): 100 - i for i in range(100)}
+    assert len(values) == 100
+    assert len(simhash.nearest_links(values, 57)) == 99
+    assert {r for _, r in simhash.forest(values, 57)} == {1}
+
+
+def test_nearest_links_join_what_all_pairs_join_at_every_distance():
+    random.seed(9)
+    values = {random.getrandbits(24): i for i in range(150)}
+    numbers = {i: x for x, i in values.items()}
+    found = simhash.nearest_links(values, 8)
+    for radius in range(1, 9):
+        sets = simhash._Sets()
+        for u, v in found:
+            if (numbers[u] ^ numbers[v]).bit_count() <= radius:
+                sets.join(u, v)
+        assert [sets.find(i) for i in range(150)] == brute_components([numbers[i] for i in range(150)], radius)
+
+
+def test_only_texts_of_similarity_08_are_near_copies(spark):
+    """Pairs around the threshold: all of 0.8 or more are found, none below."""
+    random.seed(10)
+    rows, sets = [], {}
+    for g in range(300):
+        base = [f"w{random.randrange(9000)}" for _ in range(120)]
+        copy = list(base)
+        for _ in range(random.randrange(1, 9)):
+            copy[random.randrange(120)] = f"e{random.random()}"
+        rows += [(g, " ".join(base)), (1000 + g, " ".join(copy))]
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    near = {g for g in range(300) if len(sets[g] & sets[1000 + g]) >= 0.8 * len(sets[g] | sets[1000 + g])}
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {g for g in range(300) if 1000 + g not in kept}
+    assert 60 < len(near) < 240
+    assert found <= near
+    assert len(found) >= 0.97 * len(near)
 
 
 # 6
