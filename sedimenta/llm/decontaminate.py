@@ -9,10 +9,12 @@ changed, left out or put in still score. Frequent seeds bring up regions that ho
 exceeds tells most of them without one.
 
 The items' tokens go along with the tasks: SHARD_TOKENS at most, and a larger benchmark is done in
-several passes of that size. No document's text moves, and a document's hits stay in its task.
+several passes of that size, each stored before the driver reads the next. No document's text moves, and a document's hits stay
+in its task.
 
-Null texts are empty. An item with fewer than SEED tokens can't be told from chance and never matches. Repeated
-items each match; repeated rows are each reported. Columns other than doc_id and text, and item_id and text, aren't read.
+Null texts are empty. An item with fewer than SEED tokens can't be told from chance inside a text: it matches a text of exactly
+its tokens. An item without tokens never matches. Repeated items each match; repeated rows are each reported. An item_id may be of
+any type, null too. Columns other than doc_id and text, and item_id and text, aren't read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from sedimenta.llm.tables import staged
 from sedimenta.llm.words import Hasher, slices
 
 SEED = 3
@@ -52,9 +55,13 @@ def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Seeds:
     """Items of one shard: their tokens, and sorted seed hashes with all places where they stand."""
 
-    items: list[tuple[int | None, np.ndarray]]
+    items: list[tuple[object, np.ndarray]]
 
     def __post_init__(self) -> None:
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, t) in enumerate(self.items):
+            if len(t) < SEED:
+                self.short.setdefault(t.tobytes(), []).append(k)
         grams = [_HASHER.grams(t, SEED) for _, t in self.items]
         every = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -115,69 +122,84 @@ def _regions(places: np.ndarray, at: np.ndarray, seeds: np.ndarray, m: int, need
             yield max(0, int((p - a).min()) - slack), min(n, int((p - a).max()) + m + slack)
 
 
-def _items(benchmark: DataFrame) -> list[_Seeds]:
-    """All items, in shards. What is collected is the benchmark itself, an iterator's partition at a time."""
-    shards: list[list] = [[]]
+def _shards(benchmark: DataFrame) -> Iterator[_Seeds]:
+    """All items, a shard at a time: no more than one, and a partition of the benchmark, is in the driver."""
+    held: list = []
     size = 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         _, tokens = _tokens(np.frombuffer((r["text"] or "").encode(), dtype=np.uint8))
-        if len(tokens) < SEED:
+        if not len(tokens):
             continue
         if size and size + len(tokens) > SHARD_TOKENS:
-            shards.append([])
-            size = 0
-        shards[-1].append((r["item_id"], tokens))
+            yield _Seeds(held)
+            held, size = [], 0
+        held.append((r["item_id"], tokens))
         size += len(tokens)
-    return [_Seeds(s) for s in shards if s]
+    if held:
+        yield _Seeds(held)
+
+
+def _of_text(seeds: _Seeds, threshold: float, ids: np.ndarray, begin: int, end: int, places: np.ndarray, seed: np.ndarray) -> Iterator[tuple]:
+    """(item, score, first token, end token) of one text, whose tokens are ids[begin:end]."""
+    spread = np.diff(seeds.first)[seed]
+    which = np.repeat(seeds.first[seed], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+    item, at, place, own = seeds.item[which], seeds.place[which], np.repeat(places, spread) - begin, np.repeat(seed, spread)
+    order = np.argsort(item, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+        i = int(item[rows[0]])
+        if len(rows) < seeds.needed[i]:
+            continue
+        tokens = seeds.items[i][1]
+        best = (0, 0, 0)
+        for lo, hi in _regions(place[rows], at[rows], own[rows], len(tokens), seeds.needed[i], end - begin):
+            text = ids[begin + lo : begin + hi]
+            if bound(tokens, text) < threshold * MATCH * len(tokens):
+                continue
+            score, stop = align(tokens, text)
+            best = max(best, (score, lo, lo + stop))
+        share = best[0] / (MATCH * len(tokens))
+        if share >= threshold:
+            yield i, share, max(best[1], best[2] - 2 * len(tokens)), best[2]
+
+
+def _hits(column: pa.Array, seeds: _Seeds, threshold: float) -> tuple[list[int], list[tuple]]:
+    """(rows, hits) of a column of texts."""
+    out, rows = [], []
+    for first, _, data, offsets in slices(column):
+        starts, hashes = _tokens(data)
+        bounds = np.searchsorted(starts, offsets)
+        if seeds.short:
+            words = np.diff(bounds)
+            for t in np.flatnonzero((words > 0) & (words < SEED)).tolist():
+                for i in seeds.short.get(hashes[bounds[t] : bounds[t + 1]].tobytes(), ()):
+                    rows.append(first + t)
+                    out.append((i, 1.0, 0, int(words[t])))
+        at, seed = seeds.found(_HASHER.grams(hashes, SEED))
+        if not len(at):
+            continue
+        text = np.searchsorted(bounds, at, side="right") - 1
+        whole = at + SEED <= bounds[text + 1]
+        at, seed, text = at[whole], seed[whole], text[whole]
+        for mine in np.split(np.arange(len(at)), np.flatnonzero(np.diff(text)) + 1):
+            if len(mine):
+                t = int(text[mine[0]])
+                for hit in _of_text(seeds, threshold, hashes, int(bounds[t]), int(bounds[t + 1]), at[mine], seed[mine]):
+                    rows.append(first + t)
+                    out.append(hit)
+    return rows, out
 
 
 def _aligned(docs: DataFrame, items: DataFrame, seeds: _Seeds, threshold: float) -> DataFrame:
-    def of(ids: np.ndarray, begin: int, end: int, places: np.ndarray, seed: np.ndarray) -> Iterator[tuple]:
-        """Hits of one text, whose tokens are ids[begin:end]."""
-        spread = np.diff(seeds.first)[seed]
-        which = np.repeat(seeds.first[seed], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-        item, at, place, own = seeds.item[which], seeds.place[which], np.repeat(places, spread) - begin, np.repeat(seed, spread)
-        order = np.argsort(item, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-            i = int(item[rows[0]])
-            if len(rows) < seeds.needed[i]:
-                continue
-            item_id, tokens = seeds.items[i]
-            best = (0, 0, 0)
-            for lo, hi in _regions(place[rows], at[rows], own[rows], len(tokens), seeds.needed[i], end - begin):
-                text = ids[begin + lo : begin + hi]
-                if bound(tokens, text) < threshold * MATCH * len(tokens):
-                    continue
-                score, stop = align(tokens, text)
-                best = max(best, (score, lo, lo + stop))
-            share = best[0] / (MATCH * len(tokens))
-            if share >= threshold:
-                yield item_id, share, max(best[1], best[2] - 2 * len(tokens)), best[2]
-
-    kinds = [docs.schema["doc_id"], items.schema["item_id"]]
-    schema = docs.select("doc_id").schema.add(kinds[1]).add("score", "double").add("first_token", "long").add("end_token", "long")
+    kind = items.schema["item_id"]
+    schema = docs.select("doc_id").schema.add(kind).add("score", "double").add("first_token", "long").add("end_token", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([i for i, _ in seeds.items], to_arrow_type(kind.dataType))
         for batch in batches:
-            out, rows = [], []
-            for first, _, data, offsets in slices(batch.column("text")):
-                starts, hashes = _tokens(data)
-                at, seed = seeds.found(_HASHER.grams(hashes, SEED))
-                if not len(at):
-                    continue
-                bounds = np.searchsorted(starts, offsets)
-                text = np.searchsorted(bounds, at, side="right") - 1
-                whole = at + SEED <= bounds[text + 1]
-                at, seed, text = at[whole], seed[whole], text[whole]
-                for mine in np.split(np.arange(len(at)), np.flatnonzero(np.diff(text)) + 1):
-                    if len(mine):
-                        t = int(text[mine[0]])
-                        for hit in of(hashes, int(bounds[t]), int(bounds[t + 1]), at[mine], seed[mine]):
-                            rows.append(first + t)
-                            out.append(hit)
+            rows, out = _hits(batch.column("text"), seeds, threshold)
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int64()), *(pa.array(c, k) for c, k in zip(columns[1:], (pa.float64(), pa.int64(), pa.int64()), strict=True))],
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), names.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], (pa.float64(), pa.int64(), pa.int64()), strict=True))],
                 names=["doc_id", "item_id", "score", "first_token", "end_token"],
             )
 
@@ -186,18 +208,34 @@ def _aligned(docs: DataFrame, items: DataFrame, seeds: _Seeds, threshold: float)
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document and item with score (1 is a perfect copy) from threshold on, and where it stands in the text's tokens."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    out = None
-    for seeds in _items(items):
-        found = _aligned(docs, items, seeds, threshold)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        out = docs.select("doc_id").where(F.lit(False)).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("end_token"))
-    return out
+    done: list[DataFrame] = []
+    last = None
+    for seeds in _shards(benchmark):
+        if last is not None:
+            done.append(staged(last))
+        last = _aligned(docs, benchmark, seeds, threshold)
+    if last is None:
+        last = _aligned(docs, benchmark, _Seeds([]), threshold)
+    for found in done:
+        last = found.unionAll(last)
+    return last
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that hold a leak."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.struct("*").alias("_row"))
-    found = leaks(keyed.select("doc_id", "text"), benchmark, threshold).select("doc_id").distinct()
-    return keyed.select("doc_id", "_row").join(found, "doc_id", "left_anti").select("_row.*")
+    """docs, whatever their columns, without those that hold a leak. Rows stay in their tasks."""
+
+    def without(rows: DataFrame, seeds: _Seeds) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = np.ones(batch.num_rows, dtype=bool)
+                stay[_hits(batch.column("text"), seeds, threshold)[0]] = False
+                yield batch.filter(pa.array(stay))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out, shards = docs, 0
+    for seeds in _shards(benchmark):
+        if shards:
+            out = staged(out)
+        out, shards = without(out, seeds), shards + 1
+    return out

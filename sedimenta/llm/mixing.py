@@ -7,13 +7,14 @@ often as its source's size goes into the target. For the rest, documents go by a
 -ln(u) / weight, least first, with u a hash of doc_id and weight the document's quality, as far as their
 prefix sum goes into the rest; the document in which it ends gives the words that are missing.
 
-The prefix sums are of two levels: sizes are summed by source and bin of the key, and only the bin in
-which a source's rest ends is looked into by document. What a source takes is then
-one least key, so documents never move for it, however large a source is.
+The prefix sums descend by radix: sizes are summed by source and the leading bits of the key, then, only within the value in
+which a source's rest ends, by the next LEVEL_BITS bits, until that value is one key. So whatever the weights make of
+the keys, no task holds more of a source than 2 ** LEVEL_BITS sums, and what a source takes is one last key:
+documents never move for it, however large a source is.
 
 Null and empty texts have size 0 and are never taken. Sources go by code point, null last; a source of
-size 0 has target 0. Rows with equal doc_id and text have equal keys and are taken together. Reruns agree, as nothing but
-the rows decides. An empty table gives no rows.
+size 0 has target 0. Rows with equal doc_id and text have equal keys; if the rest ends in them, each gives the same number of
+words. Reruns agree, as nothing but the rows decides. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from sedimenta.llm.tables import n_words_of, staged
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2
-BINS = 1024
+#: Keys are kept as whole numbers of 2 ** -KEY_BITS, of 62 bits at most; rows of the same key go by a hash of 64 bits.
+KEY_BITS = 52
+LEVEL_BITS = 12
 #: Sources up to this number are broadcast to the documents; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 SEED = "mix"
@@ -64,45 +67,65 @@ def mixed(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), weight: Colum
     """
     columns = tuple(c for c in columns if c not in ("size", "source_size", "target", "taken"))
     w = quality_of(F.col("text")) if weight is None else weight
-    tie = F.xxhash64("doc_id", "text")
-    base = docs.select(F.struct(*columns).alias("_row"), F.col("source").alias("_source"), n_words_of(F.col("text")).alias("_size"), key_of(F.col("doc_id"), w).alias("_key"), tie.alias("_tie"))
-    small = base if "text" not in columns else base.drop("_row")
-    small = staged(small.withColumn("_bin", F.floor((1 - F.exp(-F.col("_key"))) * BINS)))
-    if "text" not in columns:
-        base = small.drop("_bin")
-    binned = small.groupBy("_source", "_bin").agg(F.sum("_size").alias("_n")).select(F.col("_source").alias("source"), "_bin", "_n")
-    of_source = targets(binned.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, budget, cap)
+    key = F.least(key_of(F.col("doc_id"), w) * float(1 << KEY_BITS), F.lit(float(1 << 62) - 1024)).cast("long")
+    base = docs.select(F.struct(*columns).alias("_row"), F.col("source").alias("_source"), n_words_of(F.col("text")).alias("_size"), key.alias("_key"), F.xxhash64("doc_id", "text").alias("_tie"))
+    base = staged(base)  # a text is measured once
+    rows = base.select("_source", "_size", "_key", "_tie").where("_size > 0")
+    sizes = base.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    of_source = targets(sizes, weights, budget, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    planned = of_source.select("source", "source_size", "target", epochs.cast("long").alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    # the bin in which the rest ends, and what comes before it
-    upto = F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
-    running = binned.withColumn("_before", upto - F.col("_n"))
-    ends = running.join(planned, running["source"].eqNullSafe(planned["source"])).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_n"))).select(running["source"].alias("_s"), "_bin", "_before", "_rest")
-    inside = small.join(ends, small["_source"].eqNullSafe(ends["_s"]) & (small["_bin"] == ends["_bin"])).select("_s", "_key", "_tie", "_size", "_before", "_rest")
-    sums = F.sum("_size").over(Window.partitionBy("_s").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, -1))
-    begun = inside.withColumn("_missing", F.floor(F.col("_rest") - F.col("_before") - F.coalesce(sums, F.lit(0)))).where("_missing > 0 AND _size > 0")
-    last = begun.groupBy("_s").agg(F.max(F.struct("_key", "_tie")).alias("_last"), F.min_by(F.least("_missing", "_size"), F.struct(-F.col("_key"), -F.col("_tie"), F.col("_missing"))).alias("_missing"))
-    starts = ends.select("_s", F.col("_bin").alias("_cut"))
-    told = planned.join(starts, planned["source"].eqNullSafe(starts["_s"]), "left").drop("_s")
-    told = staged(told.join(last, told["source"].eqNullSafe(last["_s"]), "left").drop("_s"))
-    side = F.broadcast(told) if told.count() <= BROADCAST_SOURCES else told
-    bin_ = F.floor((1 - F.exp(-F.col("_key"))) * BINS)
-    # no cut: the rest is 0, or all of the source
-    here = F.struct("_key", "_tie")
-    size = F.col("_size")
+    planned = staged(of_source.select("source", "source_size", "target", epochs.cast("long").alias("_epochs")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")))
+    few = planned.count() <= BROADCAST_SOURCES
+    cuts = _cuts(rows, planned.where("_rest > 0").select(F.col("source").alias("_s"), F.col("_rest").alias("_left")), few)
+    told = planned.join(cuts, planned["source"].eqNullSafe(cuts["_s"]), "left").drop("_s")
+    size, here, last = F.col("_size"), F.struct("_key", "_tie"), F.struct(F.col("_last_key"), F.col("_last_tie"))
     drawn = (
         F.when(F.col("_rest") <= 0, F.lit(0))
-        .when(F.col("_cut").isNull(), size)
-        .when(bin_ != F.col("_cut"), F.when(bin_ < F.col("_cut"), size).otherwise(F.lit(0)))
-        .when(here < F.col("_last"), size)
-        .when(here == F.col("_last"), F.col("_missing"))
+        .when(F.col("_last_key").isNull(), size)  # the rest is all of the source
+        .when(here < last, size)
+        .when(here == last, F.least(size, F.col("_each")))
         .otherwise(F.lit(0))
     )
-    return base.join(side, base["_source"].eqNullSafe(side["source"])).select(
+    return base.join(F.broadcast(told) if few else told, base["_source"].eqNullSafe(told["source"])).select(
         "_row.*", size.alias("size"), "source_size", "target", (size * F.col("_epochs") + drawn).cast("long").alias("taken")
     )
 
 
+def _levels() -> list[tuple[str, int]]:
+    """(column, shift) of each level of the descent: its value is the column without so many bits."""
+    return [(c, max(0, top - LEVEL_BITS * k)) for c, top in (("_key", 62 - LEVEL_BITS), ("_tie", 64 - LEVEL_BITS)) for k in range(-(-top // LEVEL_BITS) + 1)]
+
+
+def _cuts(rows: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
+    """(_s, _last_key, _last_tie, _each): the key at which a source's sum of sizes passes its goal _left, and what each row of it gives.
+
+    A source whose sum doesn't pass its goal has no row.
+    """
+    found, here = [], rows
+    for column, shift in _levels():
+        side = F.broadcast(goals) if few else goals
+        on = here["_source"].eqNullSafe(goals["_s"])
+        if "_value" in goals.columns:
+            on &= (F.col("_at") == F.col("_value")) & F.col("_key").between(F.col("_low"), F.col("_high"))
+        inside = here.join(side, on).select("_s", "_left", "_size", "_key", "_tie", F.shiftright(column, shift).alias("_at"))
+        sums = inside.groupBy("_s", "_at").agg(
+            F.sum("_size").alias("_n"), F.count("*").alias("_rows"), F.first("_left").alias("_left"),
+            *(f(c).alias(f"{name}{c}") for c in ("_key", "_tie") for name, f in (("_min", F.min), ("_max", F.max))),
+        )
+        before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        passed = staged(sums.withColumn("_before", before).where("_before <= _left AND _left < _before + _n"))
+        one = "_min_key = _max_key AND _min_tie = _max_tie"
+        found.append(passed.where(one).select("_s", F.col("_min_key").alias("_last_key"), F.col("_min_tie").alias("_last_tie"), F.floor((F.col("_left") - F.col("_before")) / F.col("_rows")).alias("_each")))
+        goals = passed.where(f"NOT ({one})").select("_s", (F.col("_left") - F.col("_before")).alias("_left"), F.col("_at").alias("_value"), F.col("_min_key").alias("_low"), F.col("_max_key").alias("_high"))
+        if not goals.take(1):
+            break
+        here = rows.withColumn("_at", F.shiftright(column, shift))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
 #: The registered query in DuckDB.
 ORACLE_SQL = f"""
 WITH d AS (

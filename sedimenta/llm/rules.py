@@ -3,8 +3,8 @@
 Everything that touches rows is a column expression. A document's votes are small integers; the
 fit needs only how many documents there are of each combination of votes, which is at most
 3 ** len(RULES) rows however large the corpus, and covers all of it. The expectation-maximisation
-runs over these counts and gives each rule's accuracy on good and on bad text; the posterior
-probability is then again a column expression.
+runs over these counts and gives each rule's accuracy on good text and on each kind of bad text; the
+posterior probability is then again a column expression.
 
 Null and empty texts have no words and fail the base rules. Rows repeat as they are, and columns
 other than doc_id and text aren't read. On an empty table there is nothing to fit and no row.
@@ -117,59 +117,71 @@ def votes(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Weights:
-    """Prior probability of good text, and for each rule how often it votes against good and against bad text, where it votes."""
+    """Of each class its share, and how often each rule that votes votes against its texts. Class 0 is good text.
 
-    prior: float
-    against_good: tuple[float, ...]
-    against_bad: tuple[float, ...]
+    Junk is of many kinds, which break other rules each; in one class of bad text the rules wouldn't be independent. So each
+    rule has a class of bad text, of the kind that it knows.
+    """
 
-    def log_odds(self, rule: int, vote: int) -> float:
-        g, b = self.against_good[rule], self.against_bad[rule]
-        return 0.0 if vote == 0 else math.log(g / b) if vote < 0 else math.log((1 - g) / (1 - b))
+    shares: tuple[float, ...]
+    against: tuple[tuple[float, ...], ...]
 
+    def gain(self, kind: int, rule: int, vote: int) -> float:
+        """What a vote adds to the log odds of that kind of bad text against good text."""
+        q, good = self.against[kind][rule], self.against[0][rule]
+        return 0.0 if vote == 0 else math.log(q / good) if vote < 0 else math.log((1 - q) / (1 - good))
 
-FALSE_ALARMS = 0.005
-CAUGHT = 1 / 3
 
+#: Where the estimates start, which tells the classes apart: the share of good text, how often a rule votes against good text,
+#: against its own kind of bad text, and against another kind.
+START = (0.85, 0.002, 0.9, 0.05)
+#: Votes at the start's rates, and a text of each class, that are counted besides those there are: without them a class of
+#: no text has no rate. They don't grow with the corpus.
+PSEUDO = 2.0
 
-def maximise(counts: dict[tuple[int, ...], int], rounds: int = 100) -> Weights:
-    """Expectation-maximisation over the counts of vote combinations.
 
-    Bounds name the classes and keep the bad one from being a single kind of junk: a rule votes
-    against at most FALSE_ALARMS of the good texts, against at most CAUGHT of the bad ones, as each
-    knows one kind, and at least twice as often against bad ones.
-    """
+def start() -> Weights:
+    k = len(RULES)
+    good, wrong, own, other = START
+    kinds = (tuple(own if i == j else other for i in range(k)) for j in range(k))
+    return Weights((good, *((1 - good) / k,) * k), ((wrong,) * k, *kinds))
+
+
+def maximise(counts: dict[tuple[int, ...], int], rounds: int = 300) -> Weights:
+    """Expectation-maximisation over the counts of vote combinations. Nothing bounds the rates but the pseudo-counts."""
     k = len(RULES)
     total = sum(counts.values())
-    now = Weights(0.85, (0.004,) * k, (0.3,) * k)
-    if not total:
-        return now
-    for _ in range(rounds):
-        good = {v: posterior(now, v) for v in counts}
-        seen = [[1e-9] * k for _ in range(2)]
-        against = [[1e-9] * k for _ in range(2)]
+    now = first = start()
+    for _ in range(rounds if total else 0):
+        mass = [0.0] * (k + 1)
+        seen = [[0.0] * k for _ in mass]
+        against = [[0.0] * k for _ in mass]
         for v, n in counts.items():
-            for c, p in enumerate((good[v], 1 - good[v])):
+            for c, p in enumerate(classes(now, v)):
+                mass[c] += n * p
                 for j, x in enumerate(v):
                     if x:
                         seen[c][j] += n * p
                         if x < 0:
                             against[c][j] += n * p
-        # one vote each way for every rule: rare rules stay near their prior
-        g = [min(FALSE_ALARMS, max(1e-4, (against[0][j] + 0.03) / (seen[0][j] + 1))) for j in range(k)]
-        b = [min(CAUGHT, max(2 * g[j], (against[1][j] + 0.4) / (seen[1][j] + 1))) for j in range(k)]
-        prior = min(0.98, max(0.5, sum(n * good[v] for v, n in counts.items()) / total))
-        after = Weights(prior, tuple(g), tuple(b))
-        done = max(abs(x - y) for x, y in zip((now.prior, *now.against_good, *now.against_bad), (prior, *g, *b), strict=True)) < 1e-7
+        rates = tuple(tuple((against[c][j] + PSEUDO * first.against[c][j]) / (seen[c][j] + PSEUDO) for j in range(k)) for c in range(k + 1))
+        after = Weights(tuple((m + 1) / (total + k + 1) for m in mass), rates)
+        moved = max(abs(x - y) for old, new in zip(now.against, rates, strict=True) for x, y in zip(old, new, strict=True))
         now = after
-        if done:
+        if moved < 1e-8:
             break
     return now
 
 
+def classes(weights: Weights, vote: tuple[int, ...]) -> list[float]:
+    """Probability of each class."""
+    z = [math.log(p / weights.shares[0]) + sum(weights.gain(c, j, x) for j, x in enumerate(vote)) for c, p in enumerate(weights.shares)]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
 def posterior(weights: Weights, vote: tuple[int, ...]) -> float:
-    z = math.log(weights.prior / (1 - weights.prior)) + sum(weights.log_odds(j, x) for j, x in enumerate(vote))
-    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+    return classes(weights, vote)[0]
 
 
 def fit(voted: DataFrame) -> Weights:
@@ -180,11 +192,14 @@ def fit(voted: DataFrame) -> Weights:
 
 def probability(weights: Weights) -> Column:
     """Posterior probability of good text, from the vote columns."""
-    z = F.lit(math.log(weights.prior / (1 - weights.prior)))
-    for j, r in enumerate(RULES):
-        vote = F.col(f"_vote_{r.name}")
-        z = z + F.when(vote < 0, weights.log_odds(j, -1)).when(vote > 0, weights.log_odds(j, 1)).otherwise(0.0)
-    return 1 / (1 + F.exp(-z))
+    bad = F.lit(0.0)
+    for c in range(1, len(weights.shares)):
+        z = F.lit(math.log(weights.shares[c] / weights.shares[0]))
+        for j, r in enumerate(RULES):
+            vote = F.col(f"_vote_{r.name}")
+            z = z + F.when(vote < 0, weights.gain(c, j, -1)).when(vote > 0, weights.gain(c, j, 1)).otherwise(0.0)
+        bad = bad + F.exp(z)
+    return 1 / (1 + bad)
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -43,10 +43,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/sedimenta-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: later reads neither recompute it nor need the executor that made it."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
+#: Shuffle files of a write that has ended are of no use any more; without this they stay until the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, *parts: str) -> DataFrame:
+    """df, written to the shared folder and read again: later reads neither recompute it nor need the executor that made it.
+
+    parts are columns of few values whose rows are stored apart.
+    """
+    path, conf = scratch(df.sparkSession), df.sparkSession.conf
+    kept = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    finally:
+        conf.set(_CLEAN, kept)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -197,9 +197,25 @@ def test_substrings_by_batches_equal_all_that_was_there_so_far(spark, docs):
         seen.update(tuple(w[i : i + 35]) for w in split.values() for i in range(len(w) - 34))
         for d, w in split.items():
             assert got[d] == len({j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)})
-        if k == 1:
-            index.compact()
-            assert len(index.runs) == 1
+        assert len(index.runs) == 1
+
+
+def test_batches_are_merge_joined_with_all_runs_and_compacted(spark, docs):
+    index = substrings.Index(spark)
+    got = {r.doc_id: r._n_removed for r in substrings.cut(docs, index=index, batches=4).collect()}
+    assert index.joined == 1 + 2 + 3
+    assert len(index.runs) == 1
+    assert got == {r.doc_id: r._n_removed for r in substrings.cut(docs, batches=1).collect()}
+    plan = index.runs[0].select("m").hint("merge").join(index.runs[0].select(F.col("m").alias("m")), "m", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_documents_whose_ids_share_a_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "row_id", lambda: (F.lit(7).cast("long").alias("_r1"), F.xxhash64("doc_id", "text").alias("_r2")))
+    random.seed(3)
+    make = lambda n: " ".join(f"w{random.randrange(9**6)}" for _ in range(n))
+    shared = make(50)
+    check_cut(spark.createDataFrame([(1, make(60)), (2, f"{make(40)} {shared}"), (3, f"{shared} {make(40)}"), (4, make(200))], "doc_id long, text string"))
 
 
 def test_cut_text_holds_the_kept_words(docs):
@@ -254,6 +270,17 @@ def test_mix_of_odd_texts(odd, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mix_ends_in_ties_and_in_tiny_keys(spark):
+    """Rows alike share the rest evenly; weights that crowd keys together don't change the sums."""
+    same = spark.createDataFrame([(None, "one two three", "en", "s", 1)] * 500 + [(i, "four five", "en", "t", 1) for i in range(400)], DOCS)
+    taken, target = check_mix(same)
+    assert abs(taken["t"] - target["t"]) <= 1 and 0 <= target["s"] - taken["s"] <= 500
+    rows = [(i, "a b c d e", "en", "st"[i % 2], 1) for i in range(3000)]
+    for weight in (1e-9, 0.05, 1e6):
+        got = mixing.mixed(spark.createDataFrame(rows, DOCS), ("doc_id", "source"), weight=F.lit(weight), budget=0.7).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect()
+        assert all(abs(r.n - r.t) <= 5 for r in got)
+
+
 def test_mix_draws_by_weight(spark):
     rows = [(i, "one two three four", "en", "s" if i < 4000 else "t", 1) for i in range(4400)]
     df = spark.createDataFrame(rows, DOCS)
@@ -511,6 +538,30 @@ def test_leaks_in_shards_are_the_same(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == whole
 
 
+def test_short_items_and_items_of_any_id(spark):
+    docs = spark.createDataFrame([(1, "Yes."), (2, "yes it is"), (3, None), (4, "no, no"), (4, "no, no"), (5, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "yes"), ("b", "NO no!"), ("b", "NO no!"), (None, "yes it is"), ("c", ""), ("d", None), ("e", "?")], "item_id string, text string")
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == sorted([(1, "a", 1.0), (2, None, 1.0), *[(4, "b", 1.0)] * 4], key=str)
+    assert sorted(r.doc_id for r in decontaminate.cleaned(docs, bench).collect()) == [3, 5]
+
+
+def test_leaks_equal_aligning_every_item_with_every_text(spark, docs):
+    """Brute force: the whole text against every item, without seeds, regions or bounds."""
+    tokens = lambda t: decontaminate._tokens(np.frombuffer((t or "").encode(), dtype=np.uint8))[1]
+    items = [(r.item_id, tokens(r.text)) for r in table(spark, SF, "benchmark").collect()]
+    expected = {}
+    for r in docs.collect():
+        t = tokens(r.text)
+        for item_id, i in items:
+            share = decontaminate.align(i, t)[0] / (2 * len(i)) if len(t) else 0
+            if share >= decontaminate.THRESHOLD:
+                expected[r.doc_id, item_id] = share
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, table(spark, SF, "benchmark")).collect()}
+    assert expected
+    assert got == expected
+
+
 def test_decontamination_of_nothing(spark, odd, none):
     bench = table(spark, SF, "benchmark")
     assert decontaminate.leaks(none, bench).count() == 0
@@ -525,17 +576,19 @@ def test_decontamination_of_nothing(spark, odd, none):
 def test_gradients_equal_differences():
     net = toxicity.Network.new(3)
     draw = np.random.Generator(np.random.PCG64(1))
-    ids = draw.integers(1, toxicity.BUCKETS, (toxicity.WINDOW, 3, toxicity._KINDS)).astype(np.int32)
-    ids[20:, 1] = 0
-    there = (ids[:, :, :1] > 0).astype(np.float32)
+    x = draw.standard_normal((toxicity.WINDOW, 3, toxicity.INPUT)).astype(np.float32)
+    there = np.ones((toxicity.WINDOW, 3, 1), dtype=np.float32)
+    there[20:, 1] = 0
+    x *= there
     y = np.array([1, 0, 1], dtype=np.float32)
 
     def loss():
-        z = toxicity._forward(net, net.embed[ids].sum(axis=2), there).astype(np.float64)
+        z = toxicity._forward(net, x, there).astype(np.float64)
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
-    grads, _ = toxicity._gradients(net, ids, there, y)
-    for part, grad in zip(net.parts(), grads, strict=True):
+    grads, dx = toxicity._gradients(net, x, there, y)
+    dx *= there
+    for part, grad in zip([*net.parts(), x], [*grads, dx], strict=True):
         for _ in range(4):
             at = tuple(draw.integers(0, s) for s in part.shape)
             kept = part[at]
@@ -568,14 +621,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == y for r, y in held) >= 0.95 * len(held)
 
 
-def test_every_window_is_scored(spark):
-    words_ = np.zeros((1000, toxicity._KINDS), np.int32)
+def words_of(*texts):
+    raw = [t.encode() + b" " for t in texts]
+    return toxicity._words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([*map(len, raw)]))))
+
+
+def test_every_window_is_scored():
     for n in (0, 1, 23, 24, 25, 40, 41, 999):
-        covered = {k for b in toxicity._windows(n) for k in range(b, b + toxicity.WINDOW)}
-        assert set(range(n)) <= covered
-        counts = max(1, -(-(n - toxicity.WINDOW + toxicity.STRIDE) // toxicity.STRIDE))
-        assert len(toxicity._windows(n)) == counts
-    assert toxicity._scores(toxicity.Network.new(1), words_[:0], np.array([0, 0, 0])).shape == (2,)
+        text, begins = toxicity._begins(np.array([0, n, n + 30]))
+        mine = begins[text == 0]
+        assert set(range(n)) <= {k for b in mine for k in range(b, b + toxicity.WINDOW)}
+        assert len(mine) == max(1, -(-(n - toxicity.WINDOW + toxicity.STRIDE) // toxicity.STRIDE))
+    net = toxicity.Network.new(1)
+    assert toxicity._scores(net, words_of("", "")).shape == (2,)
+    texts = [" ".join(f"w{i * j % 97}" for i in range(700)) for j in range(1, 12)]
+    alone = [float(toxicity._scores(net, words_of(t))[0]) for t in texts]
+    assert np.allclose(toxicity._scores(net, words_of(*texts)), alone, atol=1e-5)
+
+
+def test_all_characters_of_a_word_are_inputs():
+    """A stem is known wherever it stands in a word, and characters aren't bytes."""
+    runs = lambda w: set(words_of(w).features[toxicity._WHOLE :].tolist())
+    assert len(runs("über") & runs("donaudampfschifffahrtsüber")) == 2
+    assert runs("Ünterquatsch") == runs("ünterquatsch,")
+    assert len(words_of("x" * 5000).features) == toxicity._WHOLE + 4998
+    assert len(words_of("日本語").features) == toxicity._WHOLE + 1
 
 
 def test_toxicity_of_odd_texts(spark, odd, none):
@@ -609,18 +679,36 @@ def test_rules_count_as_brute_force(docs, odd, none):
     assert rules.judged(none).count() == 0
 
 
-def test_expectation_maximisation_finds_the_rules_accuracy():
+def test_expectation_maximisation_finds_shares_and_accuracies():
+    """Junk of three kinds, each known by one rule; a rule that is often wrong; no bound decides a rate."""
     random.seed(8)
     k = len(rules.RULES)
-    counts = Counter()
-    for _ in range(20_000):
-        good = random.random() < 0.8
-        counts[tuple(0 if random.random() < 0.2 else -1 if random.random() < (0.004 if good else 0.3) else 1 for _ in range(k))] += 1
+    kinds = {1: 0.1, 3: 0.05, 4: 0.08}
+    counts, truth = Counter(), Counter()
+    for _ in range(40_000):
+        kind = random.choices([None, *kinds], [1 - sum(kinds.values()), *kinds.values()])[0]
+        rate = [0.03 if j == 6 else 0.001 for j in range(k)]
+        if kind is not None:
+            rate = [0.9 if j == kind else 0.5 if j == 6 else 0.1 for j in range(k)]
+        vote = tuple(0 if random.random() < 0.1 else -1 if random.random() < r else 1 for r in rate)
+        counts[vote] += 1
+        truth[vote, kind is None] += 1
     w = rules.maximise(dict(counts))
-    assert abs(w.prior - 0.8) < 0.05
-    assert all(abs(b - 0.3) < 0.06 for b in w.against_bad)
-    assert all(g <= rules.FALSE_ALARMS for g in w.against_good)
-    assert rules.maximise({}).prior == 0.85
+    right = sum(n for (v, good), n in truth.items() if (rules.posterior(w, v) >= 0.5) == good)
+    assert right >= 0.96 * 40_000
+    assert abs(w.shares[0] - (1 - sum(kinds.values()))) < 0.03
+    for kind, share in kinds.items():
+        assert abs(w.shares[kind + 1] - share) < 0.03
+        assert w.against[kind + 1][kind] > 0.8
+    assert rules.maximise({}) == rules.start()
+
+
+def test_posterior_column_equals_the_fit(spark, docs):
+    voted = rules.votes(rules.features(docs))
+    weights = rules.fit(voted)
+    names = [f"_vote_{r.name}" for r in rules.RULES]
+    for r in voted.select(*names, rules.probability(weights).alias("p")).distinct().collect():
+        assert abs(r.p - rules.posterior(weights, tuple(r)[:-1])) < 1e-9
 
 
 def test_rules_agree_with_labels(docs, spark):
