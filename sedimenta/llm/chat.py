@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,25 +70,13 @@ class Tokens:
     def encode(self, text: str) -> list[int]:
         if self.coder is None:
             return list(text.encode("utf-8", "surrogatepass"))
+        if len(text) <= _STRETCH:
+            return self.coder.encode_ordinary(text)
         return [t for at in range(0, len(text), _STRETCH) for t in self.coder.encode_ordinary(text[at : at + _STRETCH])]
 
     def decode(self, ids: list[int]) -> str:
-        """Text with the marks written out."""
-        out, run = [], []
-
-        def flush() -> None:
-            if run:
-                out.append((bytes(run) if self.coder is None else self.coder.decode_bytes(run)))
-                run.clear()
-
-        for t in ids:
-            if t < self.size:
-                run.append(t)
-            else:
-                flush()
-                out.append(_MARKS[t - self.size].encode())
-        flush()
-        return b"".join(out).decode("utf-8", "surrogatepass")
+        """Text without marks."""
+        return (bytes(ids) if self.coder is None else self.coder.decode_bytes(ids)).decode("utf-8", "surrogatepass")
 
 
 @dataclass
@@ -96,8 +85,9 @@ class _Node:
     depth: int
     start: int
     position: int
-    tokens: list[int]
+    tokens: np.ndarray
     loss: tuple[int, int] | None
+    attends: list[tuple[int, int]]  # the ancestors' intervals, neighbours as one
 
 
 @dataclass
@@ -106,29 +96,20 @@ class _Pack:
     members: list[tuple[int | None, int]] = field(default_factory=list)
     size: int = 0
 
-    def row(self) -> dict:
-        nodes = []
-        for n in self.nodes:
-            attends, at = [], n.parent
-            while at >= 0:
-                a = self.nodes[at]
-                if attends and attends[-1][0] == a.start + len(a.tokens):
-                    attends[-1][0] = a.start  # neighbours are one interval
-                else:
-                    attends.append([a.start, a.start + len(a.tokens)])
-                at = a.parent
-            loss = n.loss
-            nodes.append({
-                "parent": n.parent, "depth": n.depth, "start": n.start, "n_tokens": len(n.tokens), "first_position": n.position,
-                "attends": [{"start": s, "end": e} for s, e in reversed(attends)],
-                "loss_start": n.start + loss[0] if loss else None, "loss_end": n.start + loss[1] if loss else None,
-            })
-        return {
-            "tokens": [t for n in self.nodes for t in n.tokens],
-            "position_ids": [n.position + k for n in self.nodes for k in range(len(n.tokens))],
-            "nodes": nodes,
-            "members": [{"conv_id": c, "leaf": leaf} for c, leaf in self.members],
-        }
+    def add(self, parent: int, tokens: np.ndarray, loss: tuple[int, int] | None) -> int:
+        above = self.nodes[parent] if parent >= 0 else None
+        attends: list[tuple[int, int]] = []
+        if above:
+            attends = list(above.attends)
+            end = above.start + len(above.tokens)
+            if attends and attends[-1][1] == above.start:
+                attends[-1] = (attends[-1][0], end)
+            else:
+                attends.append((above.start, end))
+        position = above.position + len(above.tokens) if above else 0
+        self.nodes.append(_Node(parent, above.depth + 1 if above else 0, self.size, position, tokens, loss, attends))
+        self.size += len(tokens)
+        return len(self.nodes) - 1
 
 
 _INTERVAL = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -147,10 +128,39 @@ PACK_DDL = (
 )
 
 
-def _segment(tokens: Tokens, role: str, text: str) -> tuple[list[int], tuple[int, int] | None]:
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)), values)
+
+
+def _rows(packs_: list[_Pack]) -> pa.RecordBatch:
+    """A row per pack, see PACK_SCHEMA."""
+    nodes = [n for p in packs_ for n in p.nodes]
+    number = lambda values: pa.array(values, pa.int32())
+    sizes = np.array([len(n.tokens) for n in nodes], dtype=np.int64)
+    tokens = np.concatenate([np.empty(0, np.int32), *(n.tokens for n in nodes)])
+    first = np.array([n.position for n in nodes], dtype=np.int64)
+    positions = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+    spans = [a for n in nodes for a in n.attends]
+    intervals = pa.StructArray.from_arrays([number([a for a, _ in spans]), number([b for _, b in spans])], names=["start", "end"])
+    of_nodes = pa.StructArray.from_arrays(
+        [
+            number([n.parent for n in nodes]), number([n.depth for n in nodes]), number([n.start for n in nodes]), number(sizes), number(first),
+            _lists([len(n.attends) for n in nodes], intervals),
+            number([n.start + n.loss[0] if n.loss else None for n in nodes]), number([n.start + n.loss[1] if n.loss else None for n in nodes]),
+        ],
+        fields=list(PACK_SCHEMA.field("nodes").type.value_type),
+    )
+    members = [m for p in packs_ for m in p.members]
+    of_members = pa.StructArray.from_arrays([pa.array([c for c, _ in members], pa.int64()), number([leaf for _, leaf in members])], names=["conv_id", "leaf"])
+    pack_sizes = [p.size for p in packs_]
+    columns = [_lists(pack_sizes, number(tokens)), _lists(pack_sizes, number(positions)), _lists([len(p.nodes) for p in packs_], of_nodes), _lists([len(p.members) for p in packs_], of_members)]
+    return pa.RecordBatch.from_arrays(columns, schema=PACK_SCHEMA)
+
+
+def _segment(tokens: Tokens, role: str, text: str) -> tuple[np.ndarray, tuple[int, int] | None]:
     head = [tokens.mark(0), tokens.mark(1), *tokens.encode(escape(role)), tokens.mark(2)]
     body = tokens.encode(escape(text))
-    return [*head, *body, tokens.mark(3)], (len(head), len(head) + len(body)) if role == "assistant" else None
+    return np.array([*head, *body, tokens.mark(3)], dtype=np.int32), (len(head), len(head) + len(body)) if role == "assistant" else None
 
 
 def packs(conversations: DataFrame, ranks: bytes | None = None, pattern: str | None = None, pack_tokens: int = PACK_TOKENS, pack_members: int = PACK_MEMBERS) -> DataFrame:
@@ -165,70 +175,110 @@ def packs(conversations: DataFrame, ranks: bytes | None = None, pattern: str | N
         tokens = Tokens(ranks, pattern)
         pack, path = _Pack(), []  # path: (role, text, node) of the last conversation
         for batch in batches:
-            done = []
-            for conv, turns in zip(batch.column("conv_id"), batch.column("turns"), strict=True):
-                said = [(t["role"], t["text"]) for t in turns.as_py()]
+            done: list[_Pack] = []
+            turns = batch.column("turns")
+            bounds, flat = turns.offsets.to_pylist(), turns.values
+            every = list(zip(flat.field("role").to_pylist(), flat.field("text").to_pylist(), strict=True))
+            for conv, begin, end in zip(batch.column("conv_id").to_pylist(), bounds, bounds[1:], strict=False):
+                said = every[begin:end]
                 same = 0
                 while same < min(len(path), len(said)) and path[same][:2] == said[same]:
                     same += 1
                 fresh = [_segment(tokens, *s) for s in said[same:]]
                 if pack.members and (pack.size + sum(len(t) for t, _ in fresh) > pack_tokens or len(pack.members) >= pack_members):
-                    done.append(pack.row())
+                    done.append(pack)
                     pack, path, same = _Pack(), [], 0
                     fresh = [_segment(tokens, *s) for s in said]
                 del path[same:]
                 for s, (ids, loss) in zip(said[same:], fresh, strict=True):
-                    parent = path[-1][2] if path else -1
-                    above = pack.nodes[parent] if path else None
-                    pack.nodes.append(_Node(parent, len(path), pack.size, above.position + len(above.tokens) if above else 0, ids, loss))
-                    pack.size += len(ids)
-                    path.append((*s, len(pack.nodes) - 1))
-                pack.members.append((conv.as_py(), path[-1][2] if path else -1))
+                    path.append((*s, pack.add(path[-1][2] if path else -1, ids, loss)))
+                pack.members.append((conv, path[-1][2] if path else -1))
             if done:
-                yield pa.RecordBatch.from_pylist(done, schema=PACK_SCHEMA)
+                yield _rows(done)
         if pack.members:
-            yield pa.RecordBatch.from_pylist([pack.row()], schema=PACK_SCHEMA)
+            yield _rows([pack])
 
     return ordered.mapInArrow(run, PACK_DDL)
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation."""
-    found = re.findall(r"<s>\[ROLE\](.*?)\[/ROLE\](.*?)</s>", formatted, re.DOTALL)
-    if "".join(f"<s>[ROLE]{r}[/ROLE]{t}</s>" for r, t in found) != formatted:
-        raise ValueError("not a formatted conversation")
-    return [(unescape(r), unescape(t)) for r, t in found]
+READ_DDL = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
 
 
-READ_DDL = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint"
+class _Reader:
+    """One pack, read as a model sees it: a conversation is what its last node may attend to, in the order of position ids."""
+
+    def __init__(self, coder: Tokens, tokens: np.ndarray, positions: np.ndarray, loss: np.ndarray) -> None:
+        self.coder, self.tokens, self.positions, self.loss = coder, tokens, positions, loss
+        self.marks = np.flatnonzero(tokens >= coder.size)
+        self.texts: dict[int, tuple[str, str]] = {}  # by first token: (escaped, unescaped)
+
+    def text(self, begin: int, end: int) -> tuple[str, str]:
+        if begin not in self.texts:
+            escaped = self.coder.decode(self.tokens[begin:end].tolist())
+            self.texts[begin] = escaped, unescape(escaped)
+        return self.texts[begin]
+
+    def conversation(self, intervals: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], str, int, int]:
+        """(role and text of each turn, all text under the loss mask, characters of the formatted text, tokens)."""
+        turns, loss, chars, at = [], [], 0, 0
+        for begin, end in intervals:
+            if not np.array_equal(self.positions[begin:end], np.arange(at, at + end - begin)):
+                raise ValueError("position ids don't follow on")
+            at += end - begin
+            marks = self.marks[np.searchsorted(self.marks, begin) : np.searchsorted(self.marks, end)].tolist()
+            kinds = (self.tokens[marks] - self.coder.size).tolist()
+            if kinds != [0, 1, 2, 3] * (len(marks) // 4):
+                raise ValueError("not a formatted conversation")
+            for k in range(0, len(marks), 4):
+                (role_, role), (text_, text) = (self.text(marks[k + i] + 1, marks[k + i + 1]) for i in (1, 2))
+                turns.append((role, text))
+                chars += len(role_) + len(text_) + sum(map(len, _MARKS))
+                masked = self.loss[marks[k] : marks[k + 3] + 1]
+                inside = self.loss[marks[k + 2] + 1 : marks[k + 3]]
+                if masked.any():
+                    if not inside.all() or masked.sum() != len(inside):
+                        raise ValueError("the loss mask isn't one text")
+                    loss.append(text)
+        return turns, "".join(loss), chars, at
 
 
 def read_back(packed: DataFrame, ranks: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """A row per conversation with digests of what its tokens and its loss mask say."""
+    """A row per conversation with digests of what its tokens and its loss mask say.
+
+    A conversation is put together from the intervals that its leaf attends to, never from its nodes' parents; position ids that
+    don't go on from one to the next are an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Tokens(ranks, pattern)
         names = [x.split()[0] for x in READ_DDL.split(", ")]
+        whole = lambda array: array.to_numpy(zero_copy_only=False)
         for batch in batches:
             out = []
-            for pack in batch.to_pylist():
-                ids = pack["tokens"]
-                nodes = pack["nodes"]
-                texts: dict[int, tuple[str, str | None]] = {}
-                for k, n in enumerate(nodes):
-                    own = coder.decode(ids[n["start"] : n["start"] + n["n_tokens"]])
-                    texts[k] = own, None if n["loss_start"] is None else coder.decode(ids[n["loss_start"] : n["loss_end"]])
-                for member in pack["members"]:
-                    chain, at = [], member["leaf"]
-                    while at >= 0:
-                        chain.append(at)
-                        at = nodes[at]["parent"]
-                    chain.reverse()
-                    formatted = "".join(texts[k][0] for k in chain)
-                    turns = parse(formatted)
-                    loss = "".join(unescape(texts[k][1]) for k in chain if texts[k][1] is not None)
+            lists = {c: batch.column(c) for c in ("tokens", "position_ids", "nodes", "members")}
+            bounds = {c: x.offsets.to_pylist() for c, x in lists.items()}
+            tokens, positions = whole(lists["tokens"].values), whole(lists["position_ids"].values)
+            nodes, members = lists["nodes"].values, lists["members"].values
+            start, size = (nodes.field(c).to_pylist() for c in ("start", "n_tokens"))
+            loss_start, loss_end = (nodes.field(c).to_pylist() for c in ("loss_start", "loss_end"))
+            attends = nodes.field("attends")
+            spans = list(zip(attends.values.field("start").to_pylist(), attends.values.field("end").to_pylist(), strict=True))
+            of_node = attends.offsets.to_pylist()
+            convs, leaves = (members.field(c).to_pylist() for c in ("conv_id", "leaf"))
+            for p in range(batch.num_rows):
+                t0, t1 = bounds["tokens"][p : p + 2]
+                n0, n1 = bounds["nodes"][p : p + 2]
+                mask = np.zeros(t1 - t0, dtype=bool)
+                for n in range(n0, n1):
+                    if loss_start[n] is not None:
+                        mask[loss_start[n] : loss_end[n]] = True
+                reader = _Reader(coder, tokens[t0:t1], positions[t0:t1], mask)
+                for m in range(*bounds["members"][p : p + 2]):
+                    leaf = n0 + leaves[m]
+                    seen = [] if leaves[m] < 0 else [*spans[of_node[leaf] : of_node[leaf + 1]], (start[leaf], start[leaf] + size[leaf])]
+                    turns, loss, chars, n_tokens = reader.conversation(seen)
                     digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((member["conv_id"], len(turns), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted), sum(nodes[k]["n_tokens"] for k in chain)))
+                    out.append((convs[m], len(turns), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), chars, n_tokens))
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

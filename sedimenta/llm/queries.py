@@ -11,12 +11,12 @@ from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules
 from sedimenta.llm.tables import table
 
 
-#: Byte-level vocabulary as tiktoken ranks; without the file, tokens are bytes.
+#: Byte-level vocabulary as tiktoken ranks. None: tokens are bytes.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    ranks = Path(tokenizer).read_bytes() if Path(tokenizer).exists() else None  # under 1 MB, sent with the task
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    ranks = Path(tokenizer).read_bytes() if tokenizer else None  # under 1 MB, sent with the task
     said = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id AS bigint) AS conv_id", "cast(turn AS bigint) AS turn", "role", "text")
     marks = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], said.schema)

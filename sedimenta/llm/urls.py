@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.tables import let
 
-BUCKETS = 2048
+BUCKETS = 4096
 GRAMS = (3, 4)
-THRESHOLD = 0.75
+THRESHOLD = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the registered query: (host and path, verdict).
@@ -36,19 +36,30 @@ _GOOD_HOSTS = """library.example.org museum.example.net university.example.org a
     science.example.net history.example.org gardening.example.net recipes.example.org weather.example.net
     docs.example.org wiki.example.net blog.travel.example.org m.journal.example.net www.cityhall.example.org
     health.example.net music.example.org physics.example.net school.example.org books.example.net
-    theory.example.org thinking.example.net other.example.org nature.example.net motion.example.org
-    m.theatre.example.net blog.nation.example.org www.thread.example.net station.example.org weaving.example.net""".split()
-_BAD_HOSTS = """casino.example.net casino-royal.example.org win-casino.example.net cheap-pills.example.org
-    pills-online.example.net buy-pills.example.org adult.example.net adult-video.example.org xxx.example.net
-    adult-x.example.org ads.example.net track.example.org ads-track.example.net ad-tracker.example.org
-    spam.example.net spam-farm.example.org link-farm.example.net free-bets.example.org bets-free.example.net
-    bet-win.example.org free-win.example.net poker-bets.example.org cheap-loans.example.net viagra.example.org
-    blog.casino-win.example.net www.spam-farm.example.net m.ads-track.example.org m.free-casino.example.net
-    www.cheap-viagra.example.org blog.free-pills.example.net""".split()
+    www.transit-authority.example.org hospital.example.net blog.letters.example.org astronomy.example.net m.parliament.example.org
+    www.northern-herald.example.net theatre.example.org forestry.example.net engineers.example.org www.mathematics.example.net
+    m.cathedral.example.net blog.painting.example.org railway.example.net handwriting.example.org www.botany.example.org
+    lighthouse.example.net registry.example.org blog.seamstress.example.net m.harbour.example.org whittling.example.net
+    riverside.example.net trustees.example.org parks.example.net violins.example.org planets.example.net housing.example.org
+    www.sailing.example.net ceramics.example.org blog.orchard.example.net m.gazette.example.org economics.example.net
+    authors.example.org kitchen.example.net pathology.example.org climate.example.net www.heritage.example.org
+    teachers.example.org www.orchestra.example.net translation.example.org m.statistics.example.net blog.athletics.example.org""".split()
+_BAD_HOSTS = """casino.example.net grand-casino.example.org casinobonus.example.net casino-slots.example.org slots.example.org
+    jackpot.example.net roulette-online.example.org poker-room.example.net betting.example.org sportbets.example.net bets24.example.org
+    lottery-winner.example.net pills.example.org pillshop.example.net diet-pills.example.org pharmacy-discount.example.net
+    viagra.example.org rx-meds.example.net adult.example.org adultchat.example.net adult-videos.example.org xxx.example.net
+    porn.example.org webcam-girls.example.net escorts.example.org ads.example.net adserver.example.org popup-ads.example.net
+    ads-network.example.org track.example.net tracker.example.org click-track.example.net pixel-track.example.org spam.example.net
+    spammers.example.org bulk-spam.example.net link-farm.example.org backlinks.example.net cheap-loans.example.org payday-loans.example.net
+    cheap-watches.example.org replica-watches.example.net warez.example.org keygen-crack.example.net freebies.example.org
+    casino-games.example.net live-casino.example.org vegas-casino.example.net instant-win.example.org win-cash.example.net
+    pills-express.example.org adult-dating.example.net spam-mail.example.org track-clicks.example.net free-slots.example.org
+    www.free-ringtones.example.net m.win-prizes.example.org blog.cheap-meds.example.net m.casino-club.example.org www.spam-links.example.org""".split()
 _PATHS = """/en/1204 /de/88 /fr/4410.html /es/73/ /en/articles/rivers /about /2019/04/harvest /en/30211?page=2 /wiki/Tides
     /de/51240.html""".split()
 
-#: Small labelled table: (url, 1 to block). Each host stands with three paths that say nothing.
+#: Small labelled table, written by hand from the usual topics of block lists and none of the hosts that it is to judge:
+#: (url, 1 to block). Each host stands with three paths that say nothing.
 LABELLED = tuple(
     (f"http://{host}{_PATHS[(i + k) % len(_PATHS)]}", y)
     for y, hosts in ((0, _GOOD_HOSTS), (1, _BAD_HOSTS))

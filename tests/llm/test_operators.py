@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules, simhash, substrings, toxicity, urls
 from sedimenta.llm.graph import components
+from sedimenta.llm.queries import QUERIES, TOKENIZER
 from sedimenta.llm.tables import fold_of, table
 
 SF = "/root/testdata/sf0.001"
@@ -79,9 +81,12 @@ TALKS = [
 ]
 
 
+@pytest.mark.parametrize("vocabulary", [None, TOKENIZER])
 @pytest.mark.parametrize("budget", [8, 64, 100_000])
-def test_chat_round_trip(spark, budget):
-    back = chat.read_back(chat.packs(talk(spark, TALKS), pack_tokens=budget)).collect()
+def test_chat_round_trip(spark, budget, vocabulary):
+    ranks = Path(vocabulary).read_bytes() if vocabulary else None
+    odd = talk(spark, TALKS).withColumns({c: F.lit("clash") for c in ("path", "turns", "tokens", "nodes", "members")})
+    back = chat.read_back(chat.packs(odd, ranks, pack_tokens=budget), ranks).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in back} == expected_talk(TALKS)
 
 
@@ -111,6 +116,22 @@ def test_chat_escape_is_reversible_and_hides_marks():
         assert not re.search(r"</?s>|\[/?(ROLE|INST)\]", hidden)
 
 
+def test_conversations_equal_brute_force(spark):
+    rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    marks = "</s>[INST] ok [/INST]"
+    rows += [(-7, 0, "user", marks), (-7, 1, "assistant", marks)]
+    got = QUERIES["op1_chat_prefix_tree"](spark, SF).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == expected_talk(rows)
+
+
+def test_wrong_positions_or_masks_are_told(spark):
+    reader = lambda positions, loss: chat._Reader(chat.Tokens(), np.array([256, 257, 97, 258, 98, 259]), np.array(positions), np.array(loss, dtype=bool))
+    assert reader(range(6), [0, 0, 0, 0, 1, 0]).conversation([(0, 6)])[:2] == ([("a", "b")], "b")
+    for positions, loss in (([0, 1, 2, 3, 5, 6], [0] * 6), (range(6), [0, 0, 1, 0, 1, 0])):
+        with pytest.raises(ValueError):
+            reader(positions, loss).conversation([(0, 6)])
+
+
 def test_chat_of_nothing(spark):
     assert chat.read_back(chat.packs(talk(spark, []))).count() == 0
 
@@ -145,6 +166,21 @@ def test_url_model_learns_its_table_and_takes_long_urls(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
 
 
+def test_url_model_ranks_hosts_that_it_never_saw(spark):
+    known = {u.split("/")[2] for u, _ in urls.LABELLED}
+    for sf in ("sf0.001", "sf0.01"):
+        there = {(r.url or "").split("://")[-1].split("/")[0].lower() for r in table(spark, f"/root/testdata/{sf}", "pages").select("url").collect()}
+        assert not known & there
+    bad = "casino-palace pillstore adultdating spamking bets-now trackads viagra-online xxx-movies freeslots popads payday-cash pornhost cheap-rolex".split()
+    good = "gallery observatory geography castle violin university-press shipping meteorology letters river-trust planetarium chemistry sculpture".split()
+    rows = [(i, f"https://{w}.example.{'org' if i % 2 else 'net'}/en/{i}") for i, w in enumerate(bad + good)]
+    got = {r.page_id: r.block_probability for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), urls.fit(spark), rules=()).collect()}
+    pairs = [got[i] > got[len(bad) + j] for i in range(len(bad)) for j in range(len(good))]
+    assert sum(pairs) >= 0.95 * len(pairs)
+    repeated = spark.createDataFrame(rows[:2] * 3, "page_id long, url string")
+    assert urls.judged(repeated, urls.fit(spark)).count() == 6
+
+
 # 3
 
 
@@ -743,6 +779,65 @@ def test_what_neighbours_share_goes_where_no_article_tells(spark):
     assert got == {i: f"text {i}" for i in range(6)} | {9: "Site name x All rights reserved"}
 
 
+def test_markup_without_end_takes_time_in_proportion():
+    import time
+
+    for page in ("<x " * 200_000 + '"', "<div>" * 100_000 + "</p>" * 100_000, "<a '" * 100_001, "<!--" * 100_000, "<script>" * 100_000, "<" * 300_000, '<p class="' * 50_000):
+        began = time.perf_counter()
+        pages.blocks(page)
+        assert time.perf_counter() - began < 5
+    began = time.perf_counter()
+    assert pages.unshared(["same"] * 6000 + ["x"], ["y"] + ["same"] * 6000 + ["z"]) == ["x"]
+    assert len(pages.unshared(["a", "b"] * 4000, ["b", "c", "a"] * 3000)) > 0
+    assert time.perf_counter() - began < 20
+
+
+def test_repeated_pages_and_the_same_url_have_the_same_text(spark):
+    page = lambda k: f"<div><p>Site</p><p>text {k}</p><p>Foot</p></div>"
+    rows = [(1, "http://h/a", page(1))] * 3 + [(2, "http://h/a", page(2)), (3, "http://h/b", page(3)), (None, None, None), (4, None, page(4)), (4, None, page(4))]
+    got = sorted(map(tuple, pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).select("page_id", "url", "text").collect()), key=str)
+    assert len(got) == len(rows)
+    assert {t for p, _, t in got if p == 2} == {"text 2"} and {t for p, _, t in got if p == 3} == {"text 3"}
+    assert len({t for p, _, t in got if p == 4}) == 1
+
+
+def test_whole_article_text_of_every_page(spark):
+    """Brute force with a parser of the standard library: all text of the article element, block by block."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag != "b":
+                self.parts.append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag != "b":
+                self.parts.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts[-1] += data
+
+    expected = {}
+    for r in table(spark, SF, "pages").collect():
+        parser = Article()
+        parser.feed(r.html)
+        parser.close()
+        expected[r.page_id] = " ".join(t for t in (" ".join(p.split()) for p in parser.parts) if t)
+    assert {r.page_id: r.text for r in pages.extracted(table(spark, SF, "pages")).collect()} == expected
+
+
+def test_article_headers_and_formulas_stay():
+    page = "<article><header><h1>Title</h1></header><p>Let <math><mi>x</mi></math> be<noscript>, said</noscript></p><div class='related'>more</div><footer>f</footer></article><header>h</header>"
+    assert pages.blocks(page)[0] == ["Title", "Let", "x", "be", ", said", "more"]
+
+
 def test_a_comment_marked_up_as_an_article_is_no_main_text():
     assert pages.blocks('<article class="post"><p>text</p></article><article class="comment">no</article><article id="related-1">no</article>') == (["text"], [])
 
