@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import compression, decontaminate, mixing, simhash, substrings
-from sedimenta.llm.tables import fold_of, staged, table
+from sedimenta.llm.tables import discard, fold_of, staged, table
+
+
+def _classifier(docs: DataFrame, spark: SparkSession, sf_dir: str) -> compression.Model:
+    """Labels of the held-out fold aren't learnt."""
+    return compression.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 4) != 2)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier takes for good text; labels of the held-out fold aren't learnt."""
-    model = compression.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 4) != 2)
-    return compression.accepted(docs, model)
+    """Documents that the compression classifier takes for good text."""
+    return compression.accepted(docs, _classifier(docs, spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +39,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how many words it takes of each, repeats counted."""
-    return mixing.mixed(docs, tuple(docs.columns)).where("taken > 0")
+    """The documents that the mix takes, with how many words it takes of each, repeats counted.
+
+    Documents weigh as the classifier scores them. It is learnt from all documents again, as stages hand on the columns of documents only
+    and hardly any bad text is left here.
+    """
+    weight = "_weight"
+    while weight in docs.columns:
+        weight += "_"
+    weighed = compression.weighed(docs, _classifier(table(spark, sf_dir, "documents"), spark, sf_dir), weight)
+    return mixing.mixed(weighed, tuple(docs.columns), F.col(weight)).where("taken > 0")
 
 
 STAGES = [
@@ -54,5 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
