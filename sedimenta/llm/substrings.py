@@ -210,7 +210,8 @@ def cut(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), index: Index |
         each = each.groupBy("m", "span").agg(F.sum("n").alias("n"))
     each = staged(each)
     least = each.groupBy("m").agg((F.min("n") == 1).alias("several"))
-    part = staged(mixed.join(each.join(least, "m"), ["m", "span"]).select("rid", "at", "m", "span", "n", "several"))
+    each = staged(each.join(least, "m"))  # stored, so that the next join is by both columns and can be split
+    part = staged(mixed.join(each, ["m", "span"]).select("rid", "at", "m", "span", "n", "several"))
     lone = part.where("n = 1").select("rid", "at", "n")
     # one anchor stands for all with its stretch, as many times as there are
     first = lambda rows: rows.groupBy("m", "span").agg(F.min(F.struct("rid", "at")).alias("first"), F.lit(2).cast("long").alias("n")).select("first.rid", "first.at", "n")
