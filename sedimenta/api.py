@@ -106,8 +106,8 @@ def impact(edges: DataFrame, target: object) -> DataFrame:
     return graph.distances(edges, start, reverse=True).where("distance > 0").select("node", "distance").orderBy("distance", "node")
 
 
-def select_tests(changed_files: DataFrame, tests: DataFrame, mapped: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.select_tests(changed_files, tests, mapped, edges)
+def select_tests(changed_files: DataFrame, tests: DataFrame, files: DataFrame, edges: DataFrame, always_run: tuple[str, ...] = ()) -> DataFrame:
+    return graph.select_tests(changed_files, tests, files, edges, always_run)
 
 
 def test_targets(functions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ SEVERITIES = ("unknown", "info", "low", "medium", "high", "critical")
 MINUTES = {"cognitive": 8, "cyclomatic": 4, "nesting": 10, "crap": 12}
 #: Highest share of minutes per loc * 30 for the grades A to D.
 BANDS = ((0.05, "A"), (0.10, "B"), (0.20, "C"), (0.50, "D"))
-RISK_WEIGHTS = {"complexity": 20, "churn": 15, "coverage": 20, "impact": 20, "ownership": 10, "policy": 15}
+# Fixed values of the risk model: the weight of each component, what a policy severity counts, and from where on a measure counts in full.
+RISK_WEIGHTS = {"complexity": 20, "crap": 15, "churn": 20, "impact": 20, "ownership": 10, "policy": 15}
+POLICY_RISK = {"info": 30.0, "warning": 60.0, "error": 100.0}
+FULL = {"cognitive": 30.0, "cyclomatic": 20.0, "crap": 30.0, "changes": 20.0}
 
 
 def crap(cyclomatic: Column, coverage: Column) -> Column:
@@ -63,22 +66,25 @@ def effort(limits: dict[str, float]) -> dict[str, Column]:
 
 
 def maintainability_rating(minutes: Column, loc: Column) -> Column:
-    """Grade of minutes / (loc * 30); null without code."""
-    share = minutes / (loc * 30)
+    """Grade of minutes / (loc * 30); without code nothing is to be mended, which is an A."""
+    share = F.when(loc > 0, minutes / (loc * 30)).otherwise(F.lit(0.0))
     out = F.lit("E")
     for bound, grade in reversed(BANDS):
         out = F.when(share <= bound, grade).otherwise(out)
-    return F.when(loc > 0, out)
+    return out
 
 
 def severity_of_label(label: Column) -> Column:
-    lower = F.lower(F.trim(label))
-    return F.when(lower.isin("moderate"), "medium").when(lower.isin("important"), "high").when(lower.isin(*SEVERITIES), lower).otherwise("unknown")
+    """Of a scanner's label, in any case; what isn't known is unknown."""
+    lower = F.lower(label)
+    named = F.when(lower == "critical", "critical").when(lower.isin("high", "error"), "high")
+    return named.when(lower.isin("medium", "moderate", "warning"), "medium").when(lower.isin("low", "note"), "low").otherwise("unknown")
 
 
 def severity_of_score(score: Column) -> Column:
-    """Bands of a 0-10 score; none or out of range is unknown."""
-    return F.when(score.isNull() | (score < 0) | (score > 10), "unknown").when(score == 0, "info").when(score < 4, "low").when(score < 7, "medium").when(score < 9, "high").otherwise("critical")
+    """Bands of a 0-10 score, open at both ends; none, or one that isn't finite, is unknown."""
+    finite = score.isNotNull() & ~F.isnan(score.cast("double")) & (F.abs(score) != float("inf"))
+    return F.when(~finite, "unknown").when(score < 4, "low").when(score < 7, "medium").when(score < 9, "high").otherwise("critical")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -102,6 +108,22 @@ def weighted_score(components: dict[str, Column], weights: dict[str, int] | None
     return F.when(below > 0, top / below).otherwise(F.lit(0.0))
 
 
+def risk_components(cognitive: Column, cyclomatic: Column, crap: Column, changes: Column, blast_percent: Column, concentration: Column, policy: Column) -> dict[str, Column]:
+    """The six components, 0 to 100. Files always have complexity, impact and policy, none being 0; the others may be unknown."""
+    level = F.lit(0.0)
+    for name, value in POLICY_RISK.items():
+        level = F.when(policy == name, value).otherwise(level)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return {
+        "complexity": F.greatest(saturated(none(cognitive), FULL["cognitive"]), saturated(none(cyclomatic), FULL["cyclomatic"])),
+        "crap": F.when(crap.isNotNull(), saturated(crap, FULL["crap"])),
+        "churn": F.when(changes.isNotNull(), saturated(changes, FULL["changes"])),
+        "impact": F.least(F.coalesce(blast_percent, F.lit(0.0)), F.lit(100.0)),
+        "ownership": concentration,
+        "policy": level,
+    }
+
+
 def saturated(value: Column, full: float) -> Column:
     """0 to 100; 100 from full on."""
     return F.least(F.greatest(value / full, F.lit(0.0)), F.lit(1.0)) * 100

@@ -9,6 +9,7 @@ counted first: up to ONE_TASK_EDGES of them are searched by one task, and more b
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,16 +17,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.functions.paths import language, matches
+
 #: Rounds after which a search that still finds nodes is an error, not a result.
 MOST_ROUNDS = 10_000
 #: Edges, or edges times starts, up to which one task searches a graph.
 ONE_TASK_EDGES = 200_000
+#: Edges and nodes up to which one task counts what depends on every node: it holds a bit for each pair of nodes.
+COUNTED_EDGES, COUNTED_NODES = 1_000_000, 40_000
 
 
 def _kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set: rounds are stored where driver and executors can read them")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="sedimenta-"))
     return df.checkpoint()
 
@@ -66,8 +73,8 @@ def _search(following: dict, begin: list) -> dict:
     return distance
 
 
-def _strong(following: dict, _: list) -> Iterator[tuple]:
-    """(node, least node) of strongly connected components of two nodes or more: Tarjan's search with a stack of its own."""
+def _components(following: dict) -> Iterator[list]:
+    """Strongly connected components, each behind all that it reaches: Tarjan's search with a stack of its own."""
     order: dict = {}
     low: dict = {}
     open_: list = []
@@ -99,9 +106,32 @@ def _strong(following: dict, _: list) -> Iterator[tuple]:
                     while not component or component[-1] != node:
                         component.append(open_.pop())
                     inside.difference_update(component)
-                    if len(component) > 1:
-                        least = min(component)
-                        yield from ((n, least) for n in component)
+                    yield component
+
+
+def _strong(following: dict, _: list) -> Iterator[tuple]:
+    """(node, least node) of strongly connected components of two nodes or more."""
+    for component in _components(following):
+        if len(component) > 1:
+            least = min(component)
+            yield from ((n, least) for n in component)
+
+
+def _reach_counts(following: dict, _: list) -> Iterator[tuple]:
+    """(node, how many others it reaches): a component reaches its own nodes and all that its successors reach, as bits of a number."""
+    bit: dict = {}
+    reach: dict = {}
+    for component in _components(following):
+        for n in component:
+            bit[n] = len(bit)
+        bits = 0
+        for n in component:
+            bits |= 1 << bit[n]
+            for b in following.get(n, ()):
+                bits |= reach.get(b, 0)
+        for n in component:
+            reach[n] = bits
+            yield n, bits.bit_count() - 1
 
 
 def _steps(edges: DataFrame, reverse: bool) -> DataFrame:
@@ -212,18 +242,88 @@ def cycles(edges: DataFrame, most_rounds: int = MOST_ROUNDS, one_task: int = ONE
     return out
 
 
-def select_tests(changed: DataFrame, tests: DataFrame, mapped: DataFrame, edges: DataFrame) -> DataFrame:
-    """(test, tier, via): tests to run for changed (node) files; a higher tier is stronger evidence.
+def impact_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, direct_dependents, blast_radius, blast_radius_percent) of every node, zeros included.
+
+    The blast radius is how many other nodes depend on a node, however far away; its percentage is of all other nodes.
+    """
+    step = _steps(edges.where("source <> target"), reverse=True)
+    nodes = _kept(nodes.select("node").distinct())
+    total = nodes.count()
+    kind = _type(step, "_from")
+    if step.count() <= COUNTED_EDGES and total <= COUNTED_NODES:
+        counted = _one_task(step, None, _reach_counts, f"node {kind}, blast_radius bigint")
+    else:
+        counted = distances(edges, nodes, reverse=True).where("distance > 0").groupBy(F.col("start").alias("node")).agg(F.count("*").alias("blast_radius"))
+    direct = step.groupBy(F.col("_from").alias("node")).agg(F.count("*").alias("direct_dependents"))
+    known = nodes.join(direct, "node", "left").join(counted, "node", "left").na.fill(0, ["direct_dependents", "blast_radius"])
+    percent = F.col("blast_radius") * 100.0 / (total - 1) if total > 1 else F.lit(0.0)
+    return known.select("node", "direct_dependents", "blast_radius", F.round(percent, 6).alias("blast_radius_percent"))
+
+
+# Extensions of files that can't change what a program does.
+DOCUMENTATION = ("md", "markdown", "rst", "adoc", "txt", "pdf", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "bmp")
+TIERS = ("graph", "directory", "all")
+
+
+def _selection(changed: DataFrame, tests: DataFrame, files: DataFrame, edges: DataFrame, always_run: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows (test, tier, via), reasons (path, tier, reason)); see select_tests."""
+    path = F.col("path")
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    known = files.select(F.col("path").alias("_file"), F.lit(True).alias("_known"), *([F.col("parse_error")] if "parse_error" in files.columns else [F.lit(False).alias("parse_error")]))
+    why = (
+        F.when(matches(path, always_run), "always run").when(extension.isin(*DOCUMENTATION), "documentation").when(language(path).isNull(), "unsupported extension")
+        .when(F.coalesce("parse_error", F.lit(False)), "parse error").when(F.col("_known").isNull(), "not in graph").otherwise("seed")
+    )
+    judged = _kept(changed.select("path").distinct().join(known, path == F.col("_file"), "left").select("path", why.alias("why")))
+    candidates = tests.select(F.col("path").alias("test"), F.lit(True).alias("named"))
+    if "declares_tests" in files.columns:
+        candidates = candidates.unionAll(files.where("declares_tests").select("path", F.lit(False)))
+    candidates = _kept(candidates.groupBy("test").agg(F.max("named").alias("named")))
+    seeds = judged.where("why = 'seed'").select(F.col("path").alias("node"))
+    reach = _kept(distances(edges, seeds, reverse=True).select(F.col("node").alias("test"), F.col("start").alias("via")).join(candidates, "test", "left_semi"))
+    uncovered = seeds.join(reach, F.col("node") == F.col("via"), "left_anti").select(F.col("node").alias("path"), F.lit("no test found").alias("why"))
+    stuck = judged.where("why IN ('unsupported extension', 'parse error', 'not in graph')").unionAll(uncovered)
+    named = candidates.where("named").select("test")
+    top = lambda c: F.when(F.contains(c, F.lit("/")), F.substring_index(c, "/", 1))
+    in_top = named.withColumn("_top", top(F.col("test")))
+    beneath = stuck.withColumn("_in", top(F.col("path")))
+    # a file at the root has all tests below it; each other one those of its top directory
+    directory = beneath.where("_in IS NOT NULL").join(in_top, F.col("_in") == F.col("_top")).unionByName(beneath.where("_in IS NULL").join(in_top, F.lit(True)))
+    rows = (
+        reach.select("test", F.lit(0).alias("tier"), "via")
+        .unionAll(directory.select("test", F.lit(1), "path"))
+        .unionAll(judged.where("why = 'always run'").join(named, F.lit(True)).select("test", F.lit(2), "path"))
+    )
+    reasons = stuck.withColumn("tier", F.lit(1)).unionByName(judged.where("why = 'always run'").withColumn("tier", F.lit(2)))
+    return rows, reasons.select("path", "tier", F.concat(F.col("why"), F.lit(": "), "path").alias("reason"))
+
+
+def select_tests(changed: DataFrame, tests: DataFrame, files: DataFrame, edges: DataFrame, always_run: tuple[str, ...] = ()) -> DataFrame:
+    """(test, tier, via): the tests to run for changed (path), each with its strongest tier and the changed files that select it.
+
+    A changed file that matches a glob of always_run selects all of tests (path): tier all. Documentation selects nothing. A file
+    in no known language, with a parse error, or not among files (path; parse_error, declares_tests) selects the tests of its top
+    directory: tier directory; so does one that no test depends on. Every other one selects the tests that depend on it, itself included: tier graph.
+    Besides tests, files that declare tests are found by way of the graph.
+    """
+    rows, _ = _selection(changed, tests, files, edges, always_run)
+    names = F.array(*map(F.lit, TIERS))
+    return rows.groupBy("test").agg(F.get(names, F.max("tier")).alias("tier"), F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+
+
+def selection_totals(changed: DataFrame, tests: DataFrame, files: DataFrame, edges: DataFrame, always_run: tuple[str, ...] = ()) -> DataFrame:
+    """One row: test_files, selected, ratio, escalation (the strongest tier above the graph's, or null), and the sorted reasons.
 
-    4: the test itself changed. 3: a recorded map (test, target) names a changed file. 2: the test reaches a changed
-    file through dependencies. ``via`` lists the changed files that select it, by comma.
+    A selected file that tests doesn't name counts as a test file, so the ratio is 1 at most; without tests it is 0.
     """
-    t4 = tests.join(changed, F.col("test") == F.col("node")).select("test", F.lit(4).alias("tier"), F.col("node").alias("via"))
-    t3 = mapped.join(tests, "test", "left_semi").join(changed, F.col("target") == F.col("node")).select("test", F.lit(3).alias("tier"), F.col("node").alias("via"))
-    reach = distances(edges, changed, reverse=True).where("distance > 0")
-    t2 = reach.join(tests, F.col("node") == F.col("test")).select("test", F.lit(2).alias("tier"), F.col("start").alias("via"))
-    every = t4.unionAll(t3).unionAll(t2)
-    return every.groupBy("test").agg(F.max("tier").alias("tier"), F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+    rows, reasons = _selection(changed, tests, files, edges, always_run)
+    chosen = rows.select("test").distinct()
+    named = tests.select(F.col("path").alias("test")).distinct()
+    counts = chosen.agg(F.count("*").alias("selected")).crossJoin(named.unionAll(chosen).distinct().agg(F.count("*").alias("test_files")))
+    told = reasons.agg(F.get(F.array(*map(F.lit, TIERS)), F.max("tier")).alias("escalation"), F.array_join(F.array_sort(F.collect_set("reason")), ";").alias("reasons"))
+    ratio = F.round(F.coalesce(F.try_divide(F.col("selected").cast("double"), F.col("test_files")), F.lit(0.0)), 6)
+    return counts.crossJoin(told).select("test_files", "selected", ratio.alias("ratio"), "escalation", "reasons")
 
 
 def renamed(renames: DataFrame, touched: DataFrame, most_hops: int = 64) -> DataFrame:

@@ -58,11 +58,20 @@ def touches(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     return commit_files.select("commit", "path").distinct().join(commits, "commit").groupBy("path", "identity").agg(F.count("*").alias("touches"))
 
 
-def concentration(by_identity: DataFrame, key: str = "path") -> DataFrame:
+def concentration(by_identity: DataFrame, key: str = "path", paths: DataFrame | None = None) -> DataFrame:
     """Per key: authors, total touches, the top author's share, and the bus factor.
 
-    The bus factor is the least number of authors, by touches and then identity, that have half of the touches.
+    The bus factor is the least number of authors, by touches and then identity, that have half of the touches. With paths, a
+    key that nobody touched has a row too: no authors, no touches, and nothing known of the rest.
     """
+    found = _concentration(by_identity, key)
+    if paths is None:
+        return found
+    every = paths.select(key).distinct().join(found, key, "left")
+    return every.withColumns({c: F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)) for c in ("authors", "touches")})
+
+
+def _concentration(by_identity: DataFrame, key: str) -> DataFrame:
     of_key = Window.partitionBy(key)
     ranked = of_key.orderBy(F.desc("touches"), F.asc("identity"))
     told = by_identity.withColumns({
@@ -104,7 +113,9 @@ def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMI
     """
     files = commit_files.select("commit", "path").distinct()
     totals = files.groupBy("path").agg(F.count("*").alias("changes"))
-    narrow = files.groupBy("commit").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n")).where(F.col("n") <= widest)
+    # a commit's width is known before its paths are gathered, so a wide one is never in one place
+    widths = files.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= widest)
+    narrow = files.join(widths, "commit").groupBy("commit").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.max("n").alias("n"))
     if ceiling is not None:
         allowed = narrow.agg((F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)) <= ceiling).alias("allowed"))
         narrow = narrow.crossJoin(F.broadcast(allowed)).where("allowed")
@@ -142,7 +153,9 @@ def coupled_with(commit_files: DataFrame, target: object, least: int = 2, widest
 def resolved_identities(commits: DataFrame, mailmap: DataFrame) -> DataFrame:
     """commits with identity by mailmap(ord, old_name, old_email, new_identity): a rule with a name beats one of the email alone, then the first wins."""
     rules = mailmap.select(F.lower("old_email").alias("_email"), F.lower("old_name").alias("_name"), "new_identity", F.struct(F.col("old_name").isNull().alias("later"), "ord").alias("_order"))
-    keyed = commits.withColumn("_row", F.monotonically_increasing_id())
-    fits = (F.lower("email") == F.col("_email")) & (F.col("_name").isNull() | (F.col("_name") == F.lower("author")))
-    best = keyed.join(rules, fits).groupBy("_row").agg(F.min_by("new_identity", "_order").alias("_new"))
-    return keyed.join(best, "_row", "left").withColumn("identity", F.coalesce("_new", F.lower("email"))).drop("_row", "_new")
+    # an author's rule is looked up once, however many commits there are
+    people = commits.select(F.lower("email").alias("_mail"), F.lower("author").alias("_person")).distinct()
+    fits = (F.col("_mail") == F.col("_email")) & (F.col("_name").isNull() | (F.col("_name") == F.col("_person")))
+    best = people.join(rules, fits).groupBy("_mail", "_person").agg(F.min_by("new_identity", "_order").alias("_new"))
+    same = F.lower("email").eqNullSafe(F.col("_mail")) & F.lower("author").eqNullSafe(F.col("_person"))
+    return commits.join(best, same, "left").withColumn("identity", F.coalesce("_new", F.lower("email"))).drop("_mail", "_person", "_new")

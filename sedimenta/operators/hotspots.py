@@ -13,7 +13,7 @@ def hotspots(functions: DataFrame, commits: DataFrame, commit_files: DataFrame,
 
     A file without history keeps its row with unknown changes and score; it ranks as score 0. Ties go
     by complexity, then path. Coverage is the mean weighted by lines (one at least); null if no
-    function's coverage is known. The limit is part of the report, which says whether it cut rows.
+    function's coverage is known. The limit is part of the report; ``truncated`` says whether it cut rows.
     """
     weight = F.greatest(F.col("loc"), F.lit(1)).cast("double")
     files = functions.groupBy("path").agg(
@@ -24,8 +24,10 @@ def hotspots(functions: DataFrame, commits: DataFrame, commit_files: DataFrame,
     )
     changes = history.touched(commits, commit_files).groupBy("path").agg(F.count(F.when(history.within(days), 1)).alias("changes"))
     ranked = files.join(changes, "path", "left").withColumn("score", F.col("max_cognitive").cast("long") * F.col("changes"))
+    cut = ranked.agg((F.count("*") > limit).alias("truncated"))
     return (
-        ranked.orderBy(F.coalesce("score", F.lit(0)).desc(), F.desc("max_cognitive"), F.desc("max_cyclomatic"), F.asc("path"))
+        ranked.crossJoin(F.broadcast(cut))
+        .orderBy(F.coalesce("score", F.lit(0)).desc(), F.desc("max_cognitive"), F.desc("max_cyclomatic"), F.asc("path"))
         .limit(limit)
-        .select("path", "max_cognitive", "max_cyclomatic", "functions", F.round("coverage", 6).alias("coverage"), "changes", "score")
+        .select("path", "max_cognitive", "max_cyclomatic", "functions", F.round("coverage", 6).alias("coverage"), "changes", "score", "truncated")
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.metrics import severity_rank
 
-STATUSES = ("killed", "survived", "no_coverage", "timeout", "runtime_error", "compile_error", "ignored", "pending")
+STATUSES = ("killed", "timed_out", "survived", "no_coverage", "ignored", "compile_error", "error", "unknown")
 
 
 def merged(findings: DataFrame, key: list[str], report: str, first: list[str]) -> DataFrame:
@@ -49,18 +49,29 @@ def vulnerability_gate(findings: DataFrame, least: str) -> DataFrame:
     return gate(findings, least, new_only=True).where(~F.col("reachable").eqNullSafe(F.lit(False)))
 
 
-def mutation_status(raw):
-    """Normalised status of a mutant; what isn't known is pending."""
-    plain = F.lower(F.translate(raw, "_- ", ""))
-    known = {"killed": "killed", "survived": "survived", "nocoverage": "no_coverage", "timeout": "timeout", "timedout": "timeout", "runtimeerror": "runtime_error", "memoryerror": "runtime_error", "compileerror": "compile_error", "nonviable": "compile_error", "ignored": "ignored"}
-    out = F.lit("pending")
-    for name, status in known.items():
+# How tools spell a mutant's status, without underscores and hyphens, in lower case.
+SPELLINGS = {
+    "killed": "killed", "timedout": "timed_out", "timeout": "timed_out", "survived": "survived", "nocoverage": "no_coverage", "ignored": "ignored", "pending": "ignored",
+    "nonviable": "compile_error", "compileerror": "compile_error", "runerror": "error", "runtimeerror": "error", "memoryerror": "error",
+}
+
+
+def mutation_status(raw: Column) -> Column:
+    """Normalised status of a mutant, see SPELLINGS; any other spelling is unknown."""
+    plain = F.lower(F.translate(raw, "_-", ""))
+    out = F.lit("unknown")
+    for name, status in SPELLINGS.items():
         out = F.when(plain == name, status).otherwise(out)
     return out
 
 
-def mutation_summary(mutants: DataFrame, by: str) -> DataFrame:
-    """Counts by status and the score: detected / (detected + undetected) in percent, unknown without either."""
-    detected = F.sum(F.col("status").isin("killed", "timeout").cast("long"))
-    undetected = F.sum(F.col("status").isin("survived", "no_coverage").cast("long"))
-    return mutants.groupBy(by).agg(*(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES), F.count("*").alias("mutants"), F.round(F.try_divide(detected * 100.0, detected + undetected), 6).alias("score"))
+def mutation_summary(mutants: DataFrame, by: str, path: str = "path") -> DataFrame:
+    """Per group: counts by status, all mutants, those without a path, those that are scored, and the score.
+
+    The score is the share of killed and timed out ones among these and the survived and uncovered, in percent; unknown without any.
+    """
+    counted = mutants.groupBy(by).agg(
+        *(F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES), F.count("*").alias("mutants"), F.count(F.when(F.col(path).isNull(), 1)).alias("unresolved"),
+        F.count(F.when(F.col("status").isin("killed", "timed_out", "survived", "no_coverage"), 1)).alias("scored_mutants"),
+    )
+    return counted.withColumn("score", F.round(F.try_divide((F.col("killed") + F.col("timed_out")) * 100.0, F.col("scored_mutants")), 6))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCEPT, ACT = 0.4, 0.6
+# What a role weighs, and what stands for a judgment that is missing.
+ROLES = {"critical_path": 1.0, "core_domain": 0.9, "adapter_or_integration": 0.6, "tooling_or_script": 0.4, "unclear": 0.5}
+NO_ROLE, NO_INHERENT, NO_ATTENTION = 0.5, 1.5, 1.0
 
 
 def normalized(df: DataFrame, value: str) -> DataFrame:
@@ -15,13 +18,22 @@ def normalized(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("normalized", scaled).drop("_lo", "_hi")
 
 
+def role_weight(role: Column) -> Column:
+    out = F.lit(NO_ROLE)
+    for name, weight in ROLES.items():
+        out = F.when(role == name, weight).otherwise(out)
+    return out
+
+
 def priority(weight: Column, role: Column, inherent: Column, attention: Column) -> Column:
-    """weight * role * (0.2 + 0.8 (1 - inherent / 3)) * attention."""
-    return weight * role * (0.2 + 0.8 * (1 - inherent / 3)) * attention
+    """weight * the role's weight * (0.2 + 0.8 (1 - inherent / 3)) * attention; judgments that are missing have defaults."""
+    known = F.coalesce(inherent, F.lit(NO_INHERENT))
+    return weight * role_weight(role) * (0.2 + 0.8 * (1 - known / 3)) * F.coalesce(attention, F.lit(NO_ATTENTION))
 
 
-def bucket(value: Column) -> Column:
-    return F.when(value < ACCEPT, "accept").when(value < ACT, "review").otherwise("act")
+def bucket(attention: Column, confidence: Column) -> Column:
+    """Little attention is standing debt, little confidence goes to review, and all else, unknown values too, is acted on."""
+    return F.when(attention < ACCEPT, "accept").when(confidence < ACT, "review").otherwise("act")
 
 
 def equal_width(df: DataFrame, value: str, bins: int = 10) -> DataFrame:

@@ -57,11 +57,10 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"))
 
 
-def raw_edges(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
-    """(source, target, kind): a part and the next one in an order; the sparser, the larger the modulus."""
+def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, kind): a part and the next one in an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = load(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0)
-    return lines.select(
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("source"),
         F.lead("l_partkey").over(order).alias("target"),
         F.when(F.col("l_linenumber") % 2 == 0, "import").otherwise("call").alias("kind"),

@@ -46,11 +46,11 @@ def severity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
 
 
-@query(f"""WITH {FINDINGS}, c AS (SELECT path, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in M.SEVERITIES)} FROM findings WHERE rule < 4 GROUP BY path)
+@query(f"""WITH {FINDINGS}, c AS (SELECT path, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in M.SEVERITIES)} FROM findings GROUP BY path)
 SELECT path, CASE WHEN critical > 0 THEN 'E' WHEN high > 0 THEN 'D' WHEN medium > 0 THEN 'C' WHEN low > 0 OR info > 0 THEN 'B' WHEN unknown > 0 THEN NULL ELSE 'A' END AS rating FROM c""")
 def security_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = {s: F.count(F.when(F.col("severity") == s, 1)) for s in M.SEVERITIES}
-    rows = A.findings(spark, sf_dir).where("rule < 4").groupBy("path").agg(*(c.alias(s) for s, c in counts.items()))
+    rows = A.findings(spark, sf_dir).groupBy("path").agg(*(c.alias(s) for s, c in counts.items()))
     return rows.select("path", M.security_rating({s: F.col(s) for s in M.SEVERITIES}).alias("rating"))
 
 
@@ -76,36 +76,56 @@ def vulnerability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.vulnerability_gate(_evidence(spark, sf_dir), "medium").select("event_id", "severity", "reachable")
 
 
-_RAW = ["Killed", "SURVIVED", "No_Coverage", "TimedOut", "memory-error", "NonViable", "Ignored", "other"]
+#: How tools spell a status, and what that is.
+_RAW = {
+    "Killed": "killed", "SURVIVED": "survived", "No_Coverage": "no_coverage", "TimedOut": "timed_out", "TIME-OUT": "timed_out", "memory_error": "error", "RunError": "error", "RuntimeError": "error",
+    "Non-Viable": "compile_error", "CompileError": "compile_error", "Ignored": "ignored", "Pending": "ignored", "run error": "unknown", "other": "unknown", "": "unknown",
+}
 
 
-@query(f"""WITH m AS (SELECT user_id AS path, ['killed', 'survived', 'no_coverage', 'timeout', 'runtime_error', 'compile_error', 'ignored', 'pending'][1 + event_id % 8] AS status FROM events)
-SELECT path, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in security.STATUSES)}, count(*) AS mutants,
-round(count(*) FILTER (WHERE status IN ('killed', 'timeout')) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE status IN ('killed', 'timeout', 'survived', 'no_coverage')), 0), 6) AS score FROM m GROUP BY path""")
+@query(f"""WITH m AS (SELECT user_id, CASE WHEN event_id % 11 > 0 THEN user_id END AS path, {list(_RAW.values())!r}[1 + event_id % {len(_RAW)}] AS status FROM events)
+SELECT user_id, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in security.STATUSES)}, count(*) AS mutants, count(*) FILTER (WHERE path IS NULL) AS unresolved,
+count(*) FILTER (WHERE status IN ('killed', 'timed_out', 'survived', 'no_coverage')) AS scored_mutants,
+round(count(*) FILTER (WHERE status IN ('killed', 'timed_out')) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE status IN ('killed', 'timed_out', 'survived', 'no_coverage')), 0), 6) AS score FROM m GROUP BY user_id""")
 def mutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.get(F.array(*map(F.lit, _RAW)), (F.col("event_id") % 8).cast("int"))
-    return security.mutation_summary(A.load(spark, sf_dir, "events").select(F.col("user_id").alias("path"), security.mutation_status(raw).alias("status")), "path")
+    raw = F.get(F.array(*map(F.lit, _RAW)), (F.col("event_id") % len(_RAW)).cast("int"))
+    path = F.when(F.col("event_id") % 11 > 0, F.col("user_id"))
+    return security.mutation_summary(A.load(spark, sf_dir, "events").select("user_id", path.alias("path"), security.mutation_status(raw).alias("status")), "user_id")
 
 
-_PRIORITY = """d AS (SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)), e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM d),
-p AS (SELECT doc_id, CASE WHEN hi > lo THEN (n_chars - lo)::DOUBLE / (hi - lo) ELSE 0.5 END AS normalized, quality, toxic FROM d, e),
-q AS (SELECT doc_id, normalized, normalized * CASE WHEN toxic = 1 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END * (0.2::DOUBLE + 0.8::DOUBLE * (1 - quality / 3.0::DOUBLE)) * 1.0::DOUBLE AS priority FROM p)"""
+_LABELS = ["CRITICAL", "high", "Error", "medium", "MODERATE", "warning", "low", "Note", "info", "important", ""]
 
 
-def _priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"SELECT {_LABELS!r}[1 + event_id % {len(_LABELS)}] AS label, ['critical', 'high', 'high', 'medium', 'medium', 'medium', 'low', 'low', 'unknown', 'unknown', 'unknown'][1 + event_id % {len(_LABELS)}] AS severity, count(*) AS n FROM events GROUP BY ALL")
+def severity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("event_id") % len(_LABELS)).cast("int"))
+    return A.load(spark, sf_dir, "events").select(label.alias("label"), M.severity_of_label(label).alias("severity")).groupBy("label", "severity").agg(F.count("*").alias("n"))
+
+
+_ROLES = ["critical_path", "core_domain", "adapter_or_integration", "tooling_or_script", "unclear", "invented", None]
+_PRIORITY = """d AS (SELECT doc_id, n_chars, quality, ['critical_path', 'core_domain', 'adapter_or_integration', 'tooling_or_script', 'unclear', 'invented', NULL][1 + doc_id % 7] AS role,
+  CASE WHEN doc_id % 5 > 0 THEN (doc_id % 4)::DOUBLE END AS inherent, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS attention, CASE WHEN doc_id % 2 > 0 THEN (doc_id % 11) / 11.0::DOUBLE END AS confidence FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM d), p AS (SELECT *, CASE WHEN hi > lo THEN (n_chars - lo)::DOUBLE / (hi - lo) ELSE 0.5 END AS normalized FROM d, e),
+q AS (SELECT *, normalized * CASE role WHEN 'critical_path' THEN 1.0::DOUBLE WHEN 'core_domain' THEN 0.9::DOUBLE WHEN 'adapter_or_integration' THEN 0.6::DOUBLE WHEN 'tooling_or_script' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END
+  * (0.2::DOUBLE + 0.8::DOUBLE * (1 - coalesce(inherent, 1.5) / 3.0::DOUBLE)) * coalesce(attention, 1.0) AS priority FROM p)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.load(spark, sf_dir, "documents").select("doc_id", "n_chars").join(A.load(spark, sf_dir, "labels"), "doc_id")
-    role = F.when(F.col("toxic") == 1, 1.0).otherwise(0.6)
-    return triage.normalized(d, "n_chars").withColumn("priority", triage.priority(F.col("normalized"), role, F.col("quality").cast("double"), F.lit(1.0)))
+    k = F.col("doc_id")
+    some = lambda every, n, over: F.when(k % every > 0, (k % n).cast("double") / over)
+    judged = d.withColumns({"role": F.get(F.array(*map(F.lit, _ROLES)), (k % 7).cast("int")), "inherent": some(5, 4, 1), "attention": some(3, 10, 10), "confidence": some(2, 11, 11)})
+    return triage.normalized(judged, "n_chars").withColumn("priority", triage.priority(F.col("normalized"), F.col("role"), F.col("inherent"), F.col("attention")))
 
 
 @query(f"WITH {_PRIORITY} SELECT doc_id, round(normalized, 6) AS normalized, round(priority, 6) AS priority FROM q")
 def trio_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priority(spark, sf_dir).select("doc_id", F.round("normalized", 6).alias("normalized"), F.round("priority", 6).alias("priority"))
+    return _judged(spark, sf_dir).select("doc_id", F.round("normalized", 6).alias("normalized"), F.round("priority", 6).alias("priority"))
 
 
-@query(f"WITH {_PRIORITY} SELECT CASE WHEN normalized < 0.4 THEN 'accept' WHEN normalized < 0.6 THEN 'review' ELSE 'act' END AS bucket, count(*) AS n FROM q GROUP BY 1")
+@query(f"WITH {_PRIORITY} SELECT doc_id, CASE WHEN attention < 0.4 THEN 'accept' WHEN confidence < 0.6 THEN 'review' ELSE 'act' END AS bucket FROM q")
 def triage_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priority(spark, sf_dir).groupBy(triage.bucket(F.col("normalized")).alias("bucket")).agg(F.count("*").alias("n"))
+    return _judged(spark, sf_dir).select("doc_id", triage.bucket(F.col("attention"), F.col("confidence")).alias("bucket"))
 
 
 @query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), b AS (SELECT CAST(least(9, floor((l_extendedprice - lo) / ((hi - lo) / 10))) AS INT) AS bin FROM lineitem, e)

@@ -5,97 +5,118 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.operators import graph, spans
+from sedimenta.operators import graph, history, spans
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import EDGES, PATHS, query, whole
+from sedimenta.plans.registry import EDGES, PATHS, query
 
-_E97, _E37 = EDGES.format(modulus=97), EDGES.format(modulus=37)
+_E = EDGES
 _NODES = "nodes AS (SELECT source AS node FROM edges UNION SELECT target FROM edges)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
-    return graph.deduplicated(A.raw_edges(spark, sf_dir, modulus))
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.deduplicated(A.raw_edges(spark, sf_dir))
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("node")).union(edges.select(F.col("target").alias("node"))).distinct()
 
 
-@query(f"WITH {_E37} SELECT source, target, kind FROM edges")
-def edge_dedupe(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    return _edges(spark, sf_dir, modulus)
+@query(f"WITH {_E} SELECT source, target, kind FROM edges")
+def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
 
 
-@query(f"WITH {_E37} SELECT p_partkey AS node, (SELECT count(*) FROM edges WHERE target = p_partkey) AS fan_in, (SELECT count(*) FROM edges WHERE source = p_partkey) AS fan_out FROM part")
-def dependency_fan(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    out = graph.fan(A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir, modulus))
+@query(f"WITH {_E} SELECT p_partkey AS node, (SELECT count(*) FROM edges WHERE target = p_partkey) AS fan_in, (SELECT count(*) FROM edges WHERE source = p_partkey) AS fan_out FROM part")
+def dependency_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = graph.fan(A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir))
     return out.select("node", F.col("fan_in").cast("long").alias("fan_in"), F.col("fan_out").cast("long").alias("fan_out"))
 
 
-_REVERSE = """r(start, node, distance) AS (SELECT node, node, 0 FROM (SELECT node FROM nodes ORDER BY node LIMIT 20)
-  UNION SELECT r.start, e.source, r.distance + 1 FROM r JOIN edges e ON e.target = r.node WHERE r.distance < 60)"""
+#: Files of the newest commits, which a report is asked about.
+NEWEST_DAYS = 2
+_NEWEST = f"newest AS (SELECT DISTINCT l_partkey AS node FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE epoch(o_orderdate) >= (SELECT max(epoch(o_orderdate)) FROM orders) - {NEWEST_DAYS} * 86400)"
 
 
-@query(f"WITH RECURSIVE {_E97}, {_NODES}, {_REVERSE} SELECT start, node, min(distance) AS distance FROM r GROUP BY ALL")
-def impact_distances(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    """What depends on the twenty least parts, and how far away it is."""
-    edges = _edges(spark, sf_dir, modulus)
-    return graph.distances(edges, _nodes(edges).orderBy("node").limit(20), reverse=True)
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.touched(A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)).where(history.within(NEWEST_DAYS)).select(F.col("path").alias("node")).distinct()
 
 
-@query(f"WITH RECURSIVE {_E97}, {_NODES}, {_REVERSE}, d AS (SELECT DISTINCT start, node FROM r WHERE distance > 0 AND node <> start) SELECT start, count(*) AS dependents, round(CASE WHEN (SELECT count(*) FROM nodes) <= 1 THEN 0 ELSE count(*) * 100.0::DOUBLE / ((SELECT count(*) FROM nodes) - 1) END, 6) AS blast_radius FROM d GROUP BY start")
-def impact_counts(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    edges = _edges(spark, sf_dir, modulus)
-    nodes = _nodes(edges)
-    counted = graph.distances(edges, nodes.orderBy("node").limit(20), reverse=True).where("distance > 0").groupBy("start").agg(F.count("*").alias("dependents"))
-    all_ = nodes.agg(F.count("*").alias("_n"))
-    return counted.crossJoin(F.broadcast(all_)).select("start", "dependents", F.round(F.when(F.col("_n") <= 1, 0.0).otherwise(F.col("dependents") * 100.0 / (F.col("_n") - 1)), 6).alias("blast_radius"))
+@query()
+def impact_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What depends on the files of the newest commits, and how far away it is; recursive SQL would list paths, so tests search by hand."""
+    return graph.distances(_edges(spark, sf_dir), _newest(spark, sf_dir), reverse=True)
+
+
+IMPACT = """closure(node, other) AS (SELECT target, source FROM edges UNION SELECT c.node, e.source FROM closure c JOIN edges e ON e.target = c.other),
+blast AS (SELECT node, count(*) FILTER (WHERE other <> node) AS blast_radius FROM closure GROUP BY node),
+direct AS (SELECT target AS node, count(*) AS direct_dependents FROM edges GROUP BY 1),
+impact AS (SELECT p_partkey AS node, coalesce(direct_dependents, 0) AS direct_dependents, coalesce(blast_radius, 0) AS blast_radius,
+  round(coalesce(blast_radius, 0) * 100.0::DOUBLE / ((SELECT count(*) FROM part) - 1), 6) AS blast_radius_percent FROM part LEFT JOIN blast ON blast.node = p_partkey LEFT JOIN direct ON direct.node = p_partkey)"""
+
+
+@query(f"WITH RECURSIVE {_E}, {IMPACT} SELECT * FROM impact")
+def impact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.impact_counts(_edges(spark, sf_dir), A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")))
 
 
 _REACH = "r(node) AS (SELECT node FROM nodes WHERE node % 50 = 1 UNION SELECT e.target FROM r JOIN edges e ON e.source = r.node)"
 
 
-@query(f"WITH RECURSIVE {_E37}, {_NODES}, {_REACH} SELECT node FROM r")
-def reachability(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    edges = _edges(spark, sf_dir, modulus)
+@query(f"WITH RECURSIVE {_E}, {_NODES}, {_REACH} SELECT node FROM r")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
     return graph.reached(edges, _nodes(edges).where("node % 50 = 1"))
 
 
-@query(f"WITH RECURSIVE {_E37}, {_NODES}, {_REACH} SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM r)")
-def unused_nodes(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    edges = _edges(spark, sf_dir, modulus)
+@query(f"WITH RECURSIVE {_E}, {_NODES}, {_REACH} SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM r)")
+def unused_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
     nodes = _nodes(edges)
     return graph.unused(nodes, edges, nodes.where("node % 50 = 1"))
 
 
-@query(f"""WITH RECURSIVE {_E97}, {_NODES}, r(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM r JOIN edges e ON e.source = r.b)
+@query(f"""WITH RECURSIVE {_E}, r(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM r JOIN edges e ON e.source = r.b)
 SELECT x.a AS node, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) >= 2""")
-def scc_cycles(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    return graph.cycles(_edges(spark, sf_dir, modulus))
+def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_edges(spark, sf_dir))
 
 
-@query()
-def scc_cycles_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the denser graph, whose closure is too large to list; tests compare it with another algorithm."""
-    return graph.cycles(_edges(spark, sf_dir, 37))
-
-
-@query(f"""WITH RECURSIVE {_E97}, {_NODES}, tests AS (SELECT node AS test FROM nodes WHERE node % 10 = 3), changed AS (SELECT node FROM nodes WHERE node % 23 = 0 OR node % 130 = 3),
-mapped AS (SELECT DISTINCT l_partkey AS test, l_partkey + 20 AS target FROM lineitem),
-r(start, node) AS (SELECT node, node FROM changed UNION SELECT r.start, e.source FROM r JOIN edges e ON e.target = r.node),
-every AS (SELECT test, 4 AS tier, node AS via FROM tests JOIN changed ON node = test UNION SELECT m.test, 3, target FROM mapped m JOIN tests USING (test) JOIN changed ON node = target
- UNION SELECT r.node, 2, r.start FROM r JOIN tests ON test = r.node WHERE r.start <> r.node)
-SELECT test, max(tier) AS tier, string_agg(DISTINCT CAST(via AS VARCHAR), ',' ORDER BY via) AS via FROM every GROUP BY test""".replace("string_agg(DISTINCT CAST(via AS VARCHAR), ',' ORDER BY via)", "array_to_string(list_sort(list_distinct(list(via))), ',')"))
-def test_selection(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    edges = _edges(spark, sf_dir, modulus)
-    nodes = _nodes(edges)
-    mapped = A.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("test"), (F.col("l_partkey") + 20).alias("target")).distinct()
-    return graph.select_tests(nodes.where("node % 23 = 0 OR node % 130 = 3"), nodes.where("node % 10 = 3").withColumnRenamed("node", "test"), mapped, edges)
+#: Parts as paths: seven directories and the root; some are tests, documents, of no known language, or not in the graph.
+_FILES = """files AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 97 = 0 THEN '' ELSE 'd' || p_partkey % 7 || '/' END || CASE WHEN p_partkey % 10 = 3 THEN 'test_' ELSE 'f' END || p_partkey
+  || CASE WHEN p_partkey % 17 = 0 THEN '.md' WHEN p_partkey % 19 = 0 THEN '.odd' ELSE '.py' END AS path FROM part)"""
+ALWAYS_RUN = ("d5/f*1.py",)
+_SELECTION = f"""{_E}, {_FILES}, {_NEWEST}, named AS (SELECT path AS test, node FROM files WHERE node % 10 = 3),
+changed AS (SELECT node, path, CASE WHEN regexp_matches(path, '^d5/f[^/]*1[.]py$') THEN 'always run' WHEN path LIKE '%.md' THEN 'documentation' WHEN path LIKE '%.odd' THEN 'unsupported extension'
+  WHEN node % 13 = 5 THEN 'parse error' WHEN node % 29 = 0 THEN 'not in graph' ELSE 'seed' END AS why FROM newest JOIN files USING (node)),
+declared AS (SELECT node, path AS test FROM files WHERE node % 10 = 3 OR node % 31 = 7 AND node % 29 <> 0),
+r(start, node) AS (SELECT node, node FROM changed WHERE why = 'seed' UNION SELECT r.start, e.source FROM r JOIN edges e ON e.target = r.node),
+reach AS (SELECT test, f.path AS via, start FROM r JOIN declared USING (node) JOIN files f ON f.node = start),
+stuck AS (SELECT path, why FROM changed WHERE why NOT IN ('always run', 'documentation', 'seed') UNION ALL SELECT path, 'no test found' FROM changed WHERE why = 'seed' AND node NOT IN (SELECT start FROM reach)),
+every AS (SELECT test, 0 AS tier, via FROM reach UNION ALL SELECT test, 1, path FROM stuck, named WHERE path NOT LIKE '%/%' OR split_part(test, '/', 1) = split_part(path, '/', 1) AND test LIKE '%/%'
+  UNION ALL SELECT test, 2, path FROM changed, named WHERE why = 'always run'),
+reasons AS (SELECT why || ': ' || path AS reason, 1 AS tier FROM stuck UNION ALL SELECT why || ': ' || path, 2 FROM changed WHERE why = 'always run')"""
+
+
+def _selection(spark: SparkSession, sf_dir: str) -> tuple:
+    part = F.col("p_partkey")
+    name = F.concat(F.when(part % 97 == 0, "").otherwise(F.concat(F.lit("d"), part % 7, F.lit("/"))), F.when(part % 10 == 3, "test_").otherwise("f"), part, F.when(part % 17 == 0, ".md").when(part % 19 == 0, ".odd").otherwise(".py"))
+    files = A.load(spark, sf_dir, "part").select(part.alias("node"), name.alias("path"))
+    of = lambda side: files.select(F.col("node").alias(f"_{side}"), F.col("path").alias(f"{side}_path"))
+    edges = _edges(spark, sf_dir).join(of("source"), F.col("source") == F.col("_source")).join(of("target"), F.col("target") == F.col("_target")).select(F.col("source_path").alias("source"), F.col("target_path").alias("target"))
+    known = files.where("node % 29 <> 0").select("path", (F.col("node") % 13 == 5).alias("parse_error"), (F.col("node") % 31 == 7).alias("declares_tests"))
+    return _newest(spark, sf_dir).join(files, "node").select("path"), files.where("node % 10 = 3").select("path"), known, edges, ALWAYS_RUN
+
+
+@query(f"WITH RECURSIVE {_SELECTION} SELECT test, ['graph', 'directory', 'all'][1 + max(tier)] AS tier, array_to_string(list_sort(list_distinct(list(via))), ',') AS via FROM every GROUP BY test")
+def test_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.select_tests(*_selection(spark, sf_dir))
 
 
-#: Over all edges; recursive SQL that lists paths or a closure is too slow for those, so tests compare these with brute force.
-for _f, _m, _sql in ((edge_dedupe, 37, True), (dependency_fan, 37, True), (reachability, 37, True), (unused_nodes, 37, True), (impact_distances, 97, False), (impact_counts, 97, False), (scc_cycles, 97, False), (test_selection, 97, False)):
-    whole(_f, _m, _sql)
+@query(f"""WITH RECURSIVE {_SELECTION}, s AS (SELECT count(DISTINCT test) AS selected FROM every), t AS (SELECT count(*) AS test_files FROM (SELECT test FROM named UNION SELECT test FROM every))
+SELECT test_files, selected, round(CASE WHEN test_files = 0 THEN 0 ELSE selected::DOUBLE / test_files END, 6) AS ratio, (SELECT ['graph', 'directory', 'all'][1 + max(tier)] FROM reasons) AS escalation,
+(SELECT coalesce(array_to_string(list_sort(list_distinct(list(reason))), ';'), '') FROM reasons) AS reasons FROM s, t""")
+def selection_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.selection_totals(*_selection(spark, sf_dir))
 
 
 _SPANS = """l AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) AS dt FROM events),
@@ -194,11 +215,11 @@ def basename_unique_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.by_basename(nation.select(F.col("n_name").alias("name")), known)
 
 
-@query(f"""WITH {PATHS}, d AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS directory FROM paths WHERE c_custkey % 7 = 0 AND c_custkey < 80 OR c_custkey = 5)
+@query(f"""WITH {PATHS}, d AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS directory FROM paths WHERE c_custkey % 7 = 0 OR c_custkey = 5)
 SELECT path, (SELECT arg_max(directory, length(directory)) FROM d WHERE path LIKE directory || '/%') AS directory FROM (SELECT DISTINCT path FROM paths)""")
 def nearest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = A.paths(spark, sf_dir)
     part = lambda n: F.element_at(F.split("path", "/"), n)
-    some = known.where("c_custkey % 7 = 0 AND c_custkey < 80 OR c_custkey = 5")
+    some = known.where("c_custkey % 7 = 0 OR c_custkey = 5")
     directories = some.select(F.when(F.col("c_custkey") % 7 == 0, F.concat_ws("/", part(1), part(2))).otherwise(part(1)).alias("directory")).distinct()
     return spans.nearest_ancestor(known.select("path").distinct(), directories)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import metrics as M
-from sedimenta.operators import graph, history
+from sedimenta.operators import graph, history, risk
 from sedimenta.operators.hotspots import hotspots as hotspot_report
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, ORACLE_SQL, PATHS, query, whole
+from sedimenta.plans.of_graphs import IMPACT
+from sedimenta.plans.registry import ANCESTORS, COMMIT_FILES, COMMITS, EDGES, FUNCTIONS, HEAD, PATHS, query
 
 
 @query(f"""
@@ -19,7 +20,7 @@ ch AS (SELECT path, count(*) FILTER (WHERE h - epoch(o_orderdate) <= 365 * 86400
 f AS (SELECT path, max(cognitive) AS max_cognitive, max(cyclomatic) AS max_cyclomatic, count(*) AS functions,
         round(sum(CASE WHEN coverage IS NOT NULL THEN greatest(loc, 1) * coverage END) / sum(CASE WHEN coverage IS NOT NULL THEN greatest(loc, 1) END), 6) AS coverage
       FROM functions GROUP BY 1)
-SELECT path, max_cognitive, max_cyclomatic, functions, coverage, changes, CAST(max_cognitive AS BIGINT) * changes AS score
+SELECT path, max_cognitive, max_cyclomatic, functions, coverage, changes, CAST(max_cognitive AS BIGINT) * changes AS score, (SELECT count(*) > 50 FROM f) AS truncated
 FROM f LEFT JOIN ch USING (path)
 ORDER BY coalesce(CAST(max_cognitive AS BIGINT) * changes, 0) DESC, max_cognitive DESC, max_cyclomatic DESC, path LIMIT 50
 """)
@@ -59,9 +60,11 @@ FROM r GROUP BY {key}"""
 
 
 @query(f"""WITH {COMMITS}, t AS (SELECT path, identity, count(*) AS touches FROM (SELECT DISTINCT l_orderkey AS "commit", l_partkey AS path FROM lineitem) JOIN commits USING ("commit") GROUP BY ALL),
-{_CONCENTRATION.format(key="path")}""")
+{_CONCENTRATION.format(key="path").replace("\nSELECT path, count(*) AS authors", ",\no AS (SELECT path, count(*) AS authors")})
+SELECT p_partkey AS path, coalesce(authors, 0) AS authors, coalesce(touches, 0) AS touches, top_author, top_share, bus_factor FROM part LEFT JOIN o ON path = p_partkey""")
 def ownership_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.concentration(history.touches(A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)))
+    """Parts that no order has are files that nobody touched."""
+    return history.concentration(history.touches(A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)), "path", A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("path")))
 
 
 @query(f"""WITH {PATHS}, p AS (SELECT path, o_orderpriority AS identity, count(*) AS n FROM orders JOIN paths ON o_custkey = c_custkey GROUP BY ALL),
@@ -103,38 +106,42 @@ def coupling_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coupled_with(A.commit_files(spark, sf_dir), 1)
 
 
-_RISK = f"""{COMMIT_FILES}, {HEAD}, {FUNCTIONS}, {EDGES.format(modulus=97)},
-fi AS (SELECT path, max(cognitive) AS cog, avg(coverage) AS coverage FROM functions GROUP BY path),
-ch AS (SELECT path, count(*) FILTER (WHERE h - epoch(o_orderdate) <= 90 * 86400) AS changes, count(DISTINCT o_custkey) AS authors
-       FROM commit_files JOIN orders ON o_orderkey = "commit", head GROUP BY path),
-im AS (SELECT target AS path, count(*) AS fan_in FROM edges GROUP BY 1),
-po AS (SELECT source AS path, max(CASE WHEN target % 7 = 0 THEN 4 ELSE 2 END) AS rank FROM edges WHERE target % 5 = 0 GROUP BY 1),
-c AS (SELECT fi.path, least(cog / 30.0::DOUBLE, 1) * 100 AS complexity, CASE WHEN changes IS NOT NULL THEN least(changes / 20.0::DOUBLE, 1) * 100 END AS churn, (1 - coverage) * 100 AS coverage,
-        CASE WHEN fan_in IS NOT NULL THEN least(fan_in / 10.0::DOUBLE, 1) * 100 END AS impact, CASE WHEN authors IS NOT NULL THEN CASE WHEN authors = 1 THEN 100 ELSE 100.0::DOUBLE / authors END END AS ownership, rank * 20.0::DOUBLE AS policy
-      FROM fi LEFT JOIN ch USING (path) LEFT JOIN im USING (path) LEFT JOIN po USING (path))"""
-_SCORE = """(CASE WHEN complexity IS NULL THEN 0 ELSE complexity * 20 END + CASE WHEN churn IS NULL THEN 0 ELSE churn * 15 END + CASE WHEN coverage IS NULL THEN 0 ELSE coverage * 20 END
-  + CASE WHEN impact IS NULL THEN 0 ELSE impact * 20 END + CASE WHEN ownership IS NULL THEN 0 ELSE ownership * 10 END + CASE WHEN policy IS NULL THEN 0 ELSE policy * 15 END)
-  / (CASE WHEN complexity IS NULL THEN 0 ELSE 20 END + CASE WHEN churn IS NULL THEN 0 ELSE 15 END + CASE WHEN coverage IS NULL THEN 0 ELSE 20 END
-  + CASE WHEN impact IS NULL THEN 0 ELSE 20 END + CASE WHEN ownership IS NULL THEN 0 ELSE 10 END + CASE WHEN policy IS NULL THEN 0 ELSE 15 END)"""
-
-
-@query(f"WITH {_RISK} SELECT path, round({_SCORE}, 6) AS score, round(complexity, 6) AS complexity, round(churn, 6) AS churn, round(coverage, 6) AS coverage, round(impact, 6) AS impact, round(ownership, 6) AS ownership, round(policy, 6) AS policy FROM c")
-def change_risk(spark: SparkSession, sf_dir: str, modulus: int = 97) -> DataFrame:
-    """Five left joins on path; what isn't known drops out of the weights."""
-    files = A.functions(spark, sf_dir).groupBy("path").agg(F.max("cognitive").alias("cog"), F.avg("coverage").alias("cov"))
-    t = history.touched(A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)).groupBy("path").agg(F.count(F.when(history.within(90), 1)).alias("changes"), F.countDistinct("identity").alias("authors"))
-    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, modulus))
-    fan_in = edges.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("fan_in"))
-    policy = edges.where("target % 5 = 0").groupBy(F.col("source").alias("path")).agg(F.max(F.when(F.col("target") % 7 == 0, 4).otherwise(2)).alias("rank"))
-    joined = files.join(t, "path", "left").join(fan_in, "path", "left").join(policy, "path", "left")
-    parts = {
-        "complexity": M.saturated(F.col("cog"), 30.0), "churn": F.when(F.col("changes").isNotNull(), M.saturated(F.col("changes"), 20.0)), "coverage": (1 - F.col("cov")) * 100,
-        "impact": F.when(F.col("fan_in").isNotNull(), M.saturated(F.col("fan_in"), 10.0)), "ownership": 100.0 / F.col("authors"), "policy": F.col("rank") * 20.0,
-    }
-    return joined.select("path", F.round(M.weighted_score(parts), 6).alias("score"), *(F.round(c, 6).alias(n) for n, c in parts.items()))
-
-
-whole(change_risk, 97)
+_RISK = f"""{COMMIT_FILES}, {HEAD}, {FUNCTIONS}, {EDGES}, {IMPACT},
+fi AS (SELECT path, max(cognitive) AS cog, max(cyclomatic) AS cyc, max(CAST(cyclomatic AS DOUBLE) * cyclomatic * power(1 - coverage, 3) + cyclomatic) AS crap FROM functions GROUP BY path),
+ch AS (SELECT path, count(*) FILTER (WHERE h - epoch(o_orderdate) <= 90 * 86400) AS changes FROM commit_files JOIN orders ON o_orderkey = "commit", head GROUP BY path),
+ow AS (SELECT path, round(max(n)::DOUBLE / sum(n) * 100, 6) AS share FROM (SELECT path, o_custkey, count(*) AS n FROM commit_files JOIN orders ON o_orderkey = "commit" GROUP BY ALL) GROUP BY path),
+po AS (SELECT source AS path, max(CASE WHEN target % 7 = 0 THEN 100.0::DOUBLE WHEN target % 7 = 1 THEN 60 ELSE 30 END) AS policy FROM edges WHERE target % 5 = 0 GROUP BY 1),
+c AS (SELECT fi.path, 100 * greatest(least(cog / 30.0::DOUBLE, 1), least(cyc / 20.0::DOUBLE, 1)) AS complexity, 100 * least(crap / 30.0::DOUBLE, 1) AS crap, 100 * least(changes / 20.0::DOUBLE, 1) AS churn,
+        least(coalesce(blast_radius_percent, 0), 100) AS impact, share AS ownership, coalesce(policy, 0) AS policy
+      FROM fi LEFT JOIN ch USING (path) LEFT JOIN impact ON node = path LEFT JOIN ow USING (path) LEFT JOIN po USING (path)),
+s AS (SELECT *, complexity * 20 + coalesce(crap * 15, 0) + coalesce(churn * 20, 0) + impact * 20 + coalesce(ownership * 10, 0) + policy * 15 AS weighted,
+        20 + 20 + 15 + CASE WHEN crap IS NULL THEN 0 ELSE 15 END + CASE WHEN churn IS NULL THEN 0 ELSE 20 END + CASE WHEN ownership IS NULL THEN 0 ELSE 10 END AS weights FROM c),
+risk AS (SELECT path, round(weighted / weights, 4) AS score, round(complexity, 6) AS complexity, round(crap, 6) AS crap, round(churn, 6) AS churn, round(impact, 6) AS impact, round(ownership, 6) AS ownership, round(policy, 6) AS policy FROM s)"""
+
+
+def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions = A.functions(spark, sf_dir)
+    files = functions.groupBy("path").agg(F.max("cognitive").alias("cognitive"), F.max("cyclomatic").alias("cyclomatic"), F.max(M.crap(F.col("cyclomatic"), F.col("coverage"))).alias("crap"))
+    commits, touched = A.commits(spark, sf_dir), A.commit_files(spark, sf_dir)
+    changes = history.touched(commits, touched).groupBy("path").agg(F.count(F.when(history.within(90), 1)).alias("changes"))
+    owners = history.concentration(history.touches(commits, touched)).select("path", F.col("top_share").alias("concentration"))
+    edges = graph.deduplicated(A.raw_edges(spark, sf_dir))
+    impact = graph.impact_counts(edges, A.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))).select(F.col("node").alias("path"), "blast_radius_percent")
+    level = F.when(F.col("target") % 7 == 0, "error").when(F.col("target") % 7 == 1, "warning").otherwise("info")
+    violations = edges.where("target % 5 = 0").select(F.col("source").alias("path"), level.alias("severity"))
+    return risk.rows(files, changes, impact, owners, violations)
+
+
+@query(f"WITH RECURSIVE {_RISK} SELECT * FROM risk")
+def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six components by file; what isn't known drops out of the weights."""
+    return _risk(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_RISK} SELECT path, score, CAST(row_number() OVER (ORDER BY score DESC, path) AS INT) AS place FROM risk ORDER BY place LIMIT 50")
+def risk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty files of the greatest risk, in the report's order."""
+    return risk.ranked(_risk(spark, sf_dir), 50).select("path", "score", "place")
 
 
 @query(f"""WITH {COMMITS} , p AS (SELECT unnest(['BUILDING', 'MACHINERY']) AS seg),
@@ -150,22 +157,12 @@ def mailmap_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.resolved_identities(commits, rules).groupBy("identity").agg(F.count("*").alias("commits"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_partkey AS path, l_shipdate AS ts, row_number() OVER () AS r FROM (SELECT DISTINCT l_orderkey, l_partkey, l_shipdate FROM lineitem WHERE l_partkey <= 60)),
+@query("""WITH t AS (SELECT DISTINCT l_orderkey, l_partkey AS path, l_shipdate AS ts FROM lineitem),
 a AS (SELECT *, CASE WHEN path = 10 AND ts <= TIMESTAMP '1996-01-01' THEN 20 ELSE path END AS p1 FROM t),
 b AS (SELECT *, CASE WHEN p1 = 20 AND (ts <= TIMESTAMP '1998-01-01') THEN 30 ELSE p1 END AS p2 FROM a)
 SELECT p2 AS "current", count(*) AS n FROM b GROUP BY 1""")
 def rename_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 became 20 in 1996, and 20 became 30 in 1998: older rows follow both."""
-    return _renamed(A.load(spark, sf_dir, "lineitem").where("l_partkey <= 60"))
-
-
-@query(ORACLE_SQL["rename_chain"].replace(" WHERE l_partkey <= 60", ""))
-def rename_chain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all parts."""
-    return _renamed(A.load(spark, sf_dir, "lineitem"))
-
-
-def _renamed(lines: DataFrame) -> DataFrame:
-    rows = lines.select("l_orderkey", F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts")).distinct()
-    moves = lines.sparkSession.sql("SELECT * FROM VALUES (10L, 20L, TIMESTAMP '1996-01-01'), (20L, 30L, TIMESTAMP '1998-01-01') AS t(old, new, ts)")
+    rows = A.load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("ts")).distinct()
+    moves = spark.sql("SELECT * FROM VALUES (10L, 20L, TIMESTAMP '1996-01-01'), (20L, 30L, TIMESTAMP '1998-01-01') AS t(old, new, ts)")
     return graph.renamed(moves, rows).groupBy("current").agg(F.count("*").alias("n"))

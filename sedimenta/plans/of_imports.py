@@ -40,7 +40,7 @@ def unused_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.unused_dependencies(imports.extracted(_files(spark, sf_dir)), declared)
 
 
-@query("""WITH o AS (SELECT l_partkey AS g, l_suppkey AS p, CAST(l_quantity AS INT) AS f, l_shipdate < TIMESTAMP '1998-04-01' AS old FROM lineitem WHERE l_partkey <= 300),
+@query("""WITH o AS (SELECT l_partkey AS g, l_suppkey AS p, CAST(l_quantity AS INT) AS f, l_shipdate < TIMESTAMP '1998-04-01' AS old FROM lineitem),
 b AS (SELECT DISTINCT g, p, f FROM o WHERE old), a AS (SELECT DISTINCT g, p, f FROM o WHERE NOT old),
 u AS (SELECT g, p, f FROM b UNION SELECT g, p, f FROM a), s AS (SELECT g, p, f, CASE WHEN g NOT IN (SELECT g FROM b) THEN 'new' WHEN g NOT IN (SELECT g FROM a) THEN 'removed'
  WHEN (g, p, f) IN (SELECT (g, p, f) FROM b) AND (g, p, f) IN (SELECT (g, p, f) FROM a) THEN 'existing' WHEN (g, p, f) IN (SELECT (g, p, f) FROM a) THEN 'new'
@@ -48,7 +48,7 @@ u AS (SELECT g, p, f FROM b UNION SELECT g, p, f FROM a), s AS (SELECT g, p, f,
 SELECT g AS group_id, p AS path, f AS fingerprint, status FROM s WHERE status IS NOT NULL""")
 def clone_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts are clone groups, suppliers files, quantities fingerprints."""
-    rows = A.load(spark, sf_dir, "lineitem").where("l_partkey <= 300").select(F.col("l_partkey").alias("group_id"), F.col("l_suppkey").alias("path"), F.col("l_quantity").cast("int").alias("fingerprint"), "l_shipdate")
+    rows = A.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("group_id"), F.col("l_suppkey").alias("path"), F.col("l_quantity").cast("int").alias("fingerprint"), "l_shipdate")
     cut = F.lit("1998-04-01").cast("timestamp")
     return drift.clone_drift(rows.where(F.col("l_shipdate") < cut), rows.where(F.col("l_shipdate") >= cut))
 

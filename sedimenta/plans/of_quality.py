@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import metrics as M
-from sedimenta.operators import drift, graph
+from sedimenta.operators import drift, gates, graph
 from sedimenta.plans import adapters as A
-from sedimenta.plans.registry import EDGES, FUNCTIONS, query, whole
+from sedimenta.plans.registry import EDGES, FINDINGS, FUNCTIONS, query
 
 LIMITS = {"cognitive": 7, "cyclomatic": 5, "loc": 45, "crap": 30.0}
 EFFORT_LIMITS = {"cognitive": 7, "cyclomatic": 5, "crap": 30.0}
@@ -55,8 +55,8 @@ def gate_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_F}, {_EFFORT}, m AS (SELECT path, sum(cognitive + cyclomatic + crap) AS minutes, sum(loc) AS loc FROM e GROUP BY path)
-SELECT path, CASE WHEN loc > 0 THEN CASE WHEN minutes / (loc * 30.0::DOUBLE) <= .05 THEN 'A' WHEN minutes / (loc * 30.0::DOUBLE) <= .1 THEN 'B' WHEN minutes / (loc * 30.0::DOUBLE) <= .2 THEN 'C'
-  WHEN minutes / (loc * 30.0::DOUBLE) <= .5 THEN 'D' ELSE 'E' END END AS rating FROM m""")
+SELECT path, CASE WHEN loc = 0 OR minutes / (loc * 30.0::DOUBLE) <= .05 THEN 'A' WHEN minutes / (loc * 30.0::DOUBLE) <= .1 THEN 'B' WHEN minutes / (loc * 30.0::DOUBLE) <= .2 THEN 'C'
+  WHEN minutes / (loc * 30.0::DOUBLE) <= .5 THEN 'D' ELSE 'E' END AS rating FROM m""")
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = M.effort(EFFORT_LIMITS)
     total = e["cognitive"] + e["cyclomatic"] + e["crap"]
@@ -64,20 +64,14 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("path", M.maintainability_rating(F.col("minutes"), F.col("loc")).alias("rating"))
 
 
-@query(f"""WITH {_F}, s AS (SELECT avg(coverage) * 100 AS coverage, max(crap) AS crap, sum(loc) AS loc, count(*) FILTER (WHERE cognitive > 9) AS complex FROM g),
-c AS (SELECT 'coverage' AS condition, round(coverage, 6) AS actual, coverage >= 50 AS passed FROM s UNION ALL SELECT 'crap', round(crap, 6), crap <= 30 FROM s
-  UNION ALL SELECT 'complex_functions', CAST(complex AS DOUBLE), complex <= 1000000 FROM s UNION ALL SELECT 'mutation_score', NULL, NULL)
-SELECT condition, actual, coalesce(passed, false) AS passed, (SELECT bool_and(coalesce(passed, false)) FROM c) AS gate FROM c""")
+@query(f"""WITH {_F}, {_EFFORT}, {FINDINGS}, s AS (SELECT CAST(sum(cognitive + cyclomatic + crap) AS BIGINT) AS minutes, sum(loc) AS loc FROM e),
+w AS (SELECT max(CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 0 END) AS worst, count(*) AS n FROM findings),
+v AS (SELECT minutes, CASE WHEN minutes / (loc * 30.0::DOUBLE) <= .05 THEN 'A' WHEN minutes / (loc * 30.0::DOUBLE) <= .1 THEN 'B' WHEN minutes / (loc * 30.0::DOUBLE) <= .2 THEN 'C' WHEN minutes / (loc * 30.0::DOUBLE) <= .5 THEN 'D' ELSE 'E' END AS m,
+  CASE WHEN n = 0 THEN 'A' ELSE CASE worst WHEN 5 THEN 'E' WHEN 4 THEN 'D' WHEN 3 THEN 'C' WHEN 2 THEN 'B' END END AS s FROM s, w),
+c AS (SELECT 'maintainability_rating' AS metric, 'C' AS threshold, m AS actual, m <= 'C' AS passed FROM v UNION ALL SELECT 'security_rating', 'D', s, s <= 'D' FROM v UNION ALL SELECT 'effort_minutes', '1000', CAST(minutes AS VARCHAR), minutes <= 1000 FROM v)
+SELECT metric, threshold, actual, coalesce(passed, false) AS passed, (SELECT bool_and(coalesce(passed, false)) FROM c) AS gate FROM c""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A condition whose value is unknown fails closed."""
-    s = _functions(spark, sf_dir).agg((F.avg("coverage") * 100).alias("coverage"), F.max("crap").alias("crap"), F.count(F.when(F.col("cognitive") > 9, 1)).alias("complex"))
-    row = lambda name, value, passed: F.struct(F.lit(name).alias("condition"), value.cast("double").alias("actual"), F.coalesce(passed, F.lit(False)).alias("passed"))
-    unknown = F.lit(None).cast("double")
-    rows = F.array(
-        row("coverage", F.round("coverage", 6), F.col("coverage") >= 50), row("crap", F.round("crap", 6), F.col("crap") <= 30), row("complex_functions", F.col("complex"), F.col("complex") <= 1_000_000), row("mutation_score", unknown, unknown >= 80)
-    )
-    told = s.select(rows.alias("rows")).select(F.forall("rows", lambda r: r["passed"]).alias("gate"), F.inline("rows"))
-    return told.select("condition", "actual", "passed", "gate")
+    return gates.quality_gate(_functions(spark, sf_dir), EFFORT_LIMITS, {"maintainability_rating": "C", "security_rating": "D", "effort_minutes": 1000}, A.findings(spark, sf_dir))
 
 
 CUT = "1998-04-01"
@@ -141,32 +135,29 @@ _VIOLATIONS = """v AS (SELECT 'no_fives' AS rule, 'high' AS severity, source, ta
  UNION ALL SELECT 'no_self_decade', 'info', source, target FROM {e} WHERE source BETWEEN 10 AND 99 AND target BETWEEN 90 AND 99)"""
 
 
-@query(f"WITH {EDGES.format(modulus=37)}, {_VIOLATIONS.format(e='edges')} SELECT * FROM v")
-def policy_violations(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    return drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, modulus)), RULES)
+@query(f"WITH {EDGES}, {_VIOLATIONS.format(e='edges')} SELECT * FROM v")
+def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir)), RULES)
 
 
-_DRIFT = f"""{EDGES.format(modulus=37)}, eb AS (SELECT * FROM edges WHERE (source + target) % 3 <> 0), ea AS (SELECT * FROM edges WHERE (source + target) % 3 <> 1),
+_DRIFT = f"""{EDGES}, eb AS (SELECT * FROM edges WHERE (source + target) % 3 <> 0), ea AS (SELECT * FROM edges WHERE (source + target) % 3 <> 1),
 {_VIOLATIONS.format(e='eb').replace('v AS', 'vb AS')}, {_VIOLATIONS.format(e='ea').replace('v AS', 'va AS')},
 d AS (SELECT rule, source, target, CASE WHEN b.rule IS NULL THEN 'new' WHEN a.rule IS NULL THEN 'resolved' ELSE 'existing' END AS status FROM (SELECT rule, source, target FROM vb) b FULL JOIN (SELECT rule, source, target FROM va) a USING (rule, source, target))"""
 
 
 @query(f"WITH {_DRIFT} SELECT * FROM d")
-def policy_drift(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    edges = graph.deduplicated(A.raw_edges(spark, sf_dir, modulus))
+def policy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.deduplicated(A.raw_edges(spark, sf_dir))
     before, after = (drift.policy_violations(edges.where((F.col("source") + F.col("target")) % 3 != k), RULES) for k in (0, 1))
     return drift.keyed_drift(before, after, ["rule", "source", "target"])
 
 
-@query(f"WITH {EDGES.format(modulus=37)}, {_VIOLATIONS.format(e='edges')} SELECT source, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, CASE max(CASE severity WHEN 'high' THEN 4 WHEN 'low' THEN 2 ELSE 1 END) WHEN 4 THEN 'high' WHEN 2 THEN 'low' ELSE 'info' END AS worst FROM v GROUP BY source")
-def policy_severities(spark: SparkSession, sf_dir: str, modulus: int = 37) -> DataFrame:
-    v = drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir, modulus)), RULES)
+@query(f"WITH {EDGES}, {_VIOLATIONS.format(e='edges')} SELECT source, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, CASE max(CASE severity WHEN 'high' THEN 4 WHEN 'low' THEN 2 ELSE 1 END) WHEN 4 THEN 'high' WHEN 2 THEN 'low' ELSE 'info' END AS worst FROM v GROUP BY source")
+def policy_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = drift.policy_violations(graph.deduplicated(A.raw_edges(spark, sf_dir)), RULES)
     return v.groupBy("source").agg(*(F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in ("high", "low", "info")), F.max_by("severity", M.severity_rank(F.col("severity"))).alias("worst"))
 
 
-for _f in (policy_violations, policy_drift, policy_severities):
-    whole(_f, 37)
-
 
 @query("SELECT l_partkey, l_linenumber, CAST(l_quantity AS INT) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-04-01' EXCEPT ALL SELECT l_partkey, l_linenumber, CAST(l_quantity AS INT) FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-04-01'")
 def causes_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +22,6 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-def whole(f: Callable[..., DataFrame], modulus: int, sql: bool = True) -> None:
-    """Registers f also over all edges, as its name and _all; its SQL, if that can do it, over all edges too."""
-    name = f"{f.__name__}_all"
-    QUERIES[name] = partial(f, modulus=1)
-    if sql:
-        ORACLE_SQL[name] = ORACLE_SQL[f.__name__].replace(EDGES.format(modulus=modulus), EDGES.format(modulus=1))
-
-
 #: Canonical relations as DuckDB sees them; see adapters.py for Spark's.
 COMMIT_FILES = """commit_files AS (
   SELECT l_orderkey AS "commit", l_partkey AS path, CAST(sum(l_quantity) AS BIGINT) AS lines_added,
@@ -46,10 +37,10 @@ FUNCTIONS = """functions AS (
 EDGES = """raw_edges AS (
   SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS target,
          CASE WHEN l_linenumber % 2 = 0 THEN 'import' ELSE 'call' END AS kind
-  FROM lineitem WHERE l_orderkey % {modulus} = 0),
+  FROM lineitem),
 edges AS (SELECT source, target, CASE WHEN max(CASE WHEN kind = 'import' THEN 1 ELSE 0 END) = 1 THEN 'import' ELSE 'call' END AS kind
           FROM raw_edges WHERE target IS NOT NULL AND source <> target GROUP BY source, target)"""
-SEVERITY = """CASE WHEN {s} < 0 OR {s} > 10 OR {s} IS NULL THEN 'unknown' WHEN {s} = 0 THEN 'info' WHEN {s} < 4 THEN 'low' WHEN {s} < 7 THEN 'medium' WHEN {s} < 9 THEN 'high' ELSE 'critical' END"""
+SEVERITY = """CASE WHEN {s} IS NULL THEN 'unknown' WHEN {s} < 4 THEN 'low' WHEN {s} < 7 THEN 'medium' WHEN {s} < 9 THEN 'high' ELSE 'critical' END"""
 FINDINGS = f"""findings AS (
   SELECT event_id, event_type AS tool, CAST(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) AS rule, user_id AS path, ts, value, round(value / 50, 4) AS score,
          {SEVERITY.format(s="round(value / 50, 4)")} AS severity

@@ -90,7 +90,8 @@ def _json(reports: DataFrame, schema: str) -> DataFrame:
 def sarif(reports: DataFrame) -> DataFrame:
     """(file, tool, rule, level, severity, state, fingerprint, path, start_line, end_line, message) of SARIF 2.1 texts.
 
-    Severity is the result's score, else its rule's, else by level; state the file's own, unknown without one.
+    Severity is the result's score, else its rule's, else by level, else unknown, but high from gitleaks, which gives neither; state
+    is the file's own, unknown without one.
     """
     known = F.assert_true(F.coalesce(F.col("r.version").startswith("2.1"), F.lit(False)), "SARIF 2.1 is expected")
     runs = _json(reports, SARIF).withColumn("_known", known).where("_known IS NULL").select("file", F.explode("r.runs").alias("run"))
@@ -98,8 +99,9 @@ def sarif(reports: DataFrame) -> DataFrame:
     rule = F.coalesce("x.ruleId", "x.rule.id")
     own = F.col("x.properties").getField("security-severity")
     score = F.coalesce(own, F.try_element_at(F.transform(F.filter("rules", lambda k: k["id"] == rule), lambda k: k["properties"]["security-severity"]), F.lit(1))).try_cast("double")
-    level = F.coalesce("x.level", F.lit("warning"))
-    by_level = F.when(level == "error", "high").when(level == "warning", "medium").when(level == "note", "low").otherwise("info")
+    level = F.col("x.level")
+    by_tool = F.when(F.lower("tool") == "gitleaks", "high").otherwise("unknown")
+    by_level = F.when(level == "error", "high").when(level == "warning", "medium").when(level == "note", "low").otherwise(by_tool)
     place = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     prints = F.coalesce("x.partialFingerprints", "x.fingerprints")
     return rows.select(

@@ -91,7 +91,10 @@ def test_scores_and_severities(spark):
     assert one.select(risk).first()[0] == 50.0
     assert one.select(M.weighted_score({"churn": F.lit(None).cast("double")})).first()[0] == 0.0
     scores = spark.createDataFrame([(s,) for s in (None, -1.0, 0.0, 3.9, 4.0, 7.0, 9.0, 11.0)], "s double")
-    assert [r[0] for r in scores.select(M.severity_of_score(F.col("s"))).collect()] == ["unknown", "unknown", "info", "low", "medium", "high", "critical", "unknown"]
+    assert [r[0] for r in scores.select(M.severity_of_score(F.col("s"))).collect()] == ["unknown", "low", "low", "low", "medium", "high", "critical", "critical"]
+    labels = spark.createDataFrame([(x,) for x in ("Error", "warning", "NOTE", "important", "info", None)], "s string")
+    assert [r[0] for r in labels.select(M.severity_of_label(F.col("s"))).collect()] == ["high", "medium", "low", "unknown", "unknown", "unknown"]
+    assert one.select(M.maintainability_rating(F.lit(9), F.lit(0))).first()[0] == "A"
     zero = {s: F.lit(0) for s in M.SEVERITIES}
     assert one.select(M.security_rating(zero)).first()[0] == "A"
     assert one.select(M.security_rating(zero | {"unknown": F.lit(2)})).first()[0] is None
@@ -176,28 +179,72 @@ def test_distances_by_rounds_and_by_one_task_are_the_same(spark, reverse):
         assert {r.node for r in graph.reached(edges, starts, reverse, one_task=one_task).collect()} == {n for _, n, _ in expected}
 
 
-def test_dense_cycles_equal_a_search(spark):
-    from sedimenta.plans import adapters
-    from sedimenta.plans.catalogue import QUERIES
-
-    sf = "/root/testdata/sf0.001"
-    edges = {(r.source, r.target) for r in graph.deduplicated(adapters.raw_edges(spark, sf, 37)).collect()}
-    following = {}
-    for a, b in edges:
-        following.setdefault(a, set()).add(b)
-
-    def closure(n):
-        seen, todo = {n}, [n]
-        while todo:
-            for m in following.get(todo.pop(), ()):
-                if m not in seen:
-                    seen.add(m)
-                    todo.append(m)
-        return seen
-
-    reach = {n: closure(n) for n in {x for e in edges for x in e}}
-    expected = {n: min(own) for n in reach if len(own := {m for m in reach[n] if n in reach.get(m, ())}) > 1}
-    assert {r.node: r.cycle for r in QUERIES["scc_cycles_dense"](spark, sf).collect()} == expected
+@pytest.mark.parametrize("small", [True, False])
+def test_impact_counts_by_one_task_and_by_rounds(spark, monkeypatch, small):
+    """a and b depend on each other, c on a, d on c; e stands alone."""
+    if not small:
+        monkeypatch.setattr(graph, "COUNTED_EDGES", 0)
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("d", "c"), ("e", "e")], "source string, target string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdee"], "node string")
+    assert rows(graph.impact_counts(edges, nodes)) == [("a", 2, 3, 75.0), ("b", 1, 3, 75.0), ("c", 1, 1, 25.0), ("d", 0, 0, 0.0), ("e", 0, 0, 0.0)]
+    assert rows(graph.impact_counts(edges.limit(0), nodes.where("node = 'e'"))) == [("e", 0, 0, 0.0)]
+
+
+def test_selection_ladder_by_hand(spark):
+    """A lock file selects all, a document nothing, what can't be reasoned about its directory, the rest by the graph."""
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    files = spark.createDataFrame([("x/a.py", False, False), ("x/b.py", False, False), ("y/c.py", False, False), ("y/broken.py", True, False), ("z/lone.py", False, False), ("x/test_a.py", False, True), ("y/inline.py", False, True)], "path string, parse_error boolean, declares_tests boolean")
+    tests = paths("x/test_a.py", "y/test_c.py", "z/test_z.py", "test_root.py")
+    edges = spark.createDataFrame([("x/test_a.py", "x/b.py"), ("x/b.py", "x/a.py"), ("y/inline.py", "y/c.py")], "source string, target string")
+    pick = lambda *changed: rows(graph.select_tests(paths(*changed), tests, files, edges, ("*.lock",)))
+    assert pick("x/a.py") == [("x/test_a.py", "graph", "x/a.py")]
+    assert pick("x/test_a.py") == [("x/test_a.py", "graph", "x/test_a.py")]
+    assert pick("y/c.py") == [("y/inline.py", "graph", "y/c.py")]
+    assert pick("README.md", "docs/a.PNG") == []
+    assert pick("z/lone.py") == [("z/test_z.py", "directory", "z/lone.py")]
+    assert pick("y/broken.py", "x/a.py") == [("x/test_a.py", "graph", "x/a.py"), ("y/test_c.py", "directory", "y/broken.py")]
+    assert [r[:2] for r in pick("Makefile")] == [(t, "directory") for t in ("test_root.py", "x/test_a.py", "y/test_c.py", "z/test_z.py")]
+    assert pick("a.lock", "x/a.py")[1] == ("x/test_a.py", "all", "a.lock,x/a.py")
+    totals = lambda *changed: graph.selection_totals(paths(*changed), tests, files, edges, ("*.lock",)).first()[:]
+    assert totals("y/c.py") == (5, 1, 0.2, None, "")
+    assert totals("z/gone.py", "w/x.odd") == (4, 1, 0.25, "directory", "not in graph: z/gone.py;unsupported extension: w/x.odd")
+    assert totals("a.lock") == (4, 4, 1.0, "all", "always run: a.lock")
+    assert totals("a.md") == (4, 0, 0.0, None, "")
+
+
+def test_risk_by_hand(spark):
+    """All six components known; then no changes, no coverage and no owner, which drop out of the weights."""
+    files = spark.createDataFrame([("a", 15, 18, 12.0), ("b", 3, 2, None)], "path string, cognitive int, cyclomatic int, crap double")
+    changes = spark.createDataFrame([("a", 5)], "path string, changes long")
+    impact = spark.createDataFrame([("a", 40.0), ("b", 10.0)], "path string, blast_radius_percent double")
+    owners = spark.createDataFrame([("a", 60.0)], "path string, concentration double")
+    violations = spark.createDataFrame([("a", "info"), ("a", "warning")], "path string, severity string")
+    from sedimenta.operators import risk
+
+    got = {r.path: r for r in risk.rows(files, changes, impact, owners, violations).collect()}
+    assert got["a"][1:] == (52.0, 90.0, 40.0, 25.0, 40.0, 60.0, 60.0)
+    assert (got["b"].score, got["b"].crap, got["b"].churn, got["b"].policy) == (round((10 * 20 + 10 * 20) / 55, 4), None, None, 0.0)
+    assert [(r.path, r.place) for r in risk.ranked(risk.rows(files, changes, impact, owners, violations)).collect()] == [("a", 1), ("b", 2)]
+
+
+def test_quality_gate_fails_closed(spark):
+    from sedimenta.operators import gates
+
+    f = spark.createDataFrame([(9, 100)], "cognitive int, loc int")
+    conditions = {"maintainability_rating": "A", "security_rating": "B", "effort_minutes": 7}
+    low = spark.createDataFrame([("low",)], "severity string")
+    assert rows(gates.quality_gate(f, {"cognitive": 8}, conditions, low)) == [("effort_minutes", "7", "8", False, False), ("maintainability_rating", "A", "A", True, False), ("security_rating", "B", "B", True, False)]
+    assert [r.passed for r in gates.quality_gate(f, {}, {"maintainability_rating": "E", "security_rating": "E"}).collect()] == [False, False]
+    assert gates.quality_gate(f.limit(0), {"cognitive": 8}, {"maintainability_rating": "A", "effort_minutes": 0}).first().gate
+
+
+def test_statuses_and_judgments(spark):
+    raw = ["run_error", "TimedOut", "PENDING", "pending ", None, "No-Coverage"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in raw], "r string").select(security.mutation_status(F.col("r"))).collect()] == ["error", "timed_out", "ignored", "unknown", "unknown", "no_coverage"]
+    j = spark.createDataFrame([(1.0, None, None, None), (1.0, "core_domain", 3.0, 0.5), (1.0, "odd", 0.0, 1.0)], "w double, role string, inherent double, attention double")
+    assert [round(r[0], 6) for r in j.select(triage.priority(*map(F.col, j.columns))).collect()] == [0.3, 0.09, 0.5]
+    b = spark.createDataFrame([(0.39, 0.1), (0.4, 0.59), (None, 0.5), (0.9, None), (None, None)], "a double, c double")
+    assert [r[0] for r in b.select(triage.bucket(F.col("a"), F.col("c"))).collect()] == ["accept", "review", "review", "act", "act"]
 
 
 def test_quantiles_by_hand(spark):
@@ -271,15 +318,28 @@ def test_commit_log(spark):
 
 
 def test_plans_by_hand(spark):
-    def plan(kind, cost):
-        return json.dumps([{"Plan": {"Node Type": "Sort", "Total Cost": cost, "Plan Rows": 10, "Plans": [{"Node Type": kind, "Relation Name": "t", "Plan Rows": 10, "Actual Rows": 1000, "Actual Loops": 1}]}}])
-
-    side = lambda kind, cost: queryplans.facts(queryplans.flattened(spark.createDataFrame([("q.json", plan(kind, cost))], "file string, text string")))
-    assert side("Seq Scan", 5).select("cost", "sorts", "seq_scans", "q_error", "unbounded").first() == (5.0, 1, "t", 100.0, True)
-    got = queryplans.regressions(side("Index Scan", 10), side("Seq Scan", 11))
-    assert rows(got) == [("q", "changed", "index_to_seq", "t", False)]
-    worse = queryplans.regressions(side("Index Scan", 10), side("Seq Scan", 20))
-    assert rows(worse.select("change", "fails")) == [("cost", True), ("index_to_seq", True)]
+    def plan(kind, cost, estimated=7, actual=21, rows_=4):
+        leaf = {"Node Type": kind, "Relation Name": "t", "Plan Rows": estimated, "Actual Rows": actual, "Actual Loops": 5}
+        return json.dumps([{"Plan": {"Node Type": "Sort", "Total Cost": cost, "Plan Rows": rows_, "Plans": [leaf]}}])
+
+    side = lambda *x: queryplans.facts(queryplans.flattened(spark.createDataFrame([("q.json", plan(*x))], "file string, text string")))
+    assert side("Seq Scan", 5).select("cost", "sorts", "seq_only", "fast_scans", "q_error", "unbounded").first() == (5.0, 1, "t", "", 3.0, False)
+    assert side("Seq Scan", 5, 0, 9).select("q_error", "unbounded").first() == (None, True)
+    assert side("Seq Scan", 5, 0, 0).select("q_error", "unbounded").first() == (1.0, False)
+    assert side("Bitmap Heap Scan", 5).select("seq_only", "fast_scans").first() == ("", "t")
+    told = lambda b, a, **x: [tuple(r) for r in queryplans.regressions(b, a, **x).select("change", "relation", "detail", "fails").collect()]
+    assert told(side("Index Scan", 10), side("Seq Scan", 10)) == [("index_to_sequential_scan", "t", "index scan replaced by sequential scan", True)]
+    assert told(side("Seq Scan", 0), side("Seq Scan", 1)) == [("cost_increase", None, "unbounded increase from zero baseline", True)]
+    assert told(side("Seq Scan", 10), side("Seq Scan", 11)) == [("cost_increase", None, "+10.0%", False)]
+    assert told(side("Seq Scan", 10), side("Seq Scan", 9)) == [("cost_increase", None, "cost decreased", False)]
+    assert told(side("Seq Scan", 1, 7, 21, 0), side("Seq Scan", 1)) == [("row_growth", None, "unbounded growth from zero baseline", True)]
+    assert told(side("Seq Scan", 1), side("Seq Scan", 1, 7, 21, 2)) == [("row_growth", None, "decreased to 0.50x", False)]
+    assert told(side("Seq Scan", 1, 1, 900), side("Seq Scan", 1, 1, 900)) == [("estimate_error", None, "900.0x", True)]
+    assert told(side("Seq Scan", 1, 1, 900), side("Seq Scan", 1, 1, 900), most_q_error=None) == [(None, None, None, False)]
+    nested = side("Seq Scan", 10).withColumn("nested_loop", F.lit(2).cast("long")).withColumn("sorts", F.lit(3).cast("long"))
+    structural = [("added_sort", None, "sort nodes 1 -> 3"), ("join_strategy_change", None, "Nested Loop: 0 -> 2")]
+    assert told(side("Seq Scan", 10), nested) == [(*s, False) for s in structural]
+    assert told(side("Seq Scan", 1), nested) == [("cost_increase", None, "+900.0%", True), *((*s, True) for s in structural)]
 
 
 def test_sql_in_host_code(spark):
