@@ -199,7 +199,7 @@ def cut(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), index: Index |
     index.compact()
     index.batches.append((found, source))
     # under a fingerprint with one stretch all its windows repeat; those with several go by stretch
-    told = index.runs[0].join(hit.distinct(), "m", "left_semi").select("m", (F.col("low") != F.col("high")).alias("mixed"))
+    told = staged(index.runs[0].join(hit.distinct(), "m", "left_semi").select("m", (F.col("low") != F.col("high")).alias("mixed")))
     candidates = staged(found.join(told, "m").select("rid", "at", "m", "span", "mixed"))
     mixed = candidates.where("mixed").drop("mixed")
     each = mixed.groupBy("m", "span").agg(F.count("*").alias("n"))
