@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.functions.hashing import Hasher, runs_of, slices
+
+_HASHER = Hasher(30)
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+
 
 def tokens(docs: DataFrame, file: str, language: str, text: str) -> DataFrame:
     """(file, language, pos, token): lower-case runs of ASCII letters, from position 0."""
@@ -13,16 +23,31 @@ def tokens(docs: DataFrame, file: str, language: str, text: str) -> DataFrame:
 
 
 def kgrams(docs: DataFrame, file: str, language: str, text: str, k: int) -> DataFrame:
-    """(file, language, pos, gram): a hash of every run of k tokens; made within the row, without a shuffle."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), 0)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    runs = F.element_at(F.transform(F.array(hashes), lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.lit(0))), lambda _, i: F.xxhash64(F.slice(h, i + 1, k)))), 1)
-    return docs.select(F.col(file).alias("file"), F.col(language).alias("language"), F.posexplode(runs).alias("pos", "gram"))
+    """(file, language, pos, gram): a rolling hash of every run of k tokens; made within the row, without a shuffle.
+
+    Hashing a run's every token anew would cost k times as much, so it is done in Arrow batches, where prefix sums do.
+    """
+    schema = docs.select(F.col(file).alias("file"), F.col(language).alias("language")).schema.add("pos", "integer").add("gram", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column("_text")):
+                starts, ends = runs_of(_LETTER[data])
+                begin = np.searchsorted(starts, offsets)
+                grams = _HASHER.grams(_HASHER.words(data, starts, ends), k)
+                counts = np.maximum(np.diff(begin) - k + 1, 0)
+                pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                row = pa.array(np.repeat(np.arange(first, end), counts))
+                own = grams[pos + np.repeat(begin[:-1], counts)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("file").take(row), batch.column("language").take(row), pa.array(pos.astype(np.int32)), pa.array(own)], names=["file", "language", "pos", "gram"])
+
+    return docs.select(F.col(file).alias("file"), F.col(language).alias("language"), F.lower(text).alias("_text")).mapInArrow(run, schema)
 
 
 def kgram_groups(grams: DataFrame) -> DataFrame:
     """(language, gram, occurrences, files) of runs found twice or more."""
-    return grams.groupBy("language", "gram").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files")).where("occurrences > 1")
+    by_file = grams.groupBy("language", "gram", "file").agg(F.count("*").alias("_n"))
+    return by_file.groupBy("language", "gram").agg(F.sum("_n").alias("occurrences"), F.count("*").alias("files")).where("occurrences > 1")
 
 
 def clone_runs(grams: DataFrame, k: int) -> DataFrame:
@@ -31,8 +56,8 @@ def clone_runs(grams: DataFrame, k: int) -> DataFrame:
     Counting comes before joining, and what is joined back is a gram's count and not its partners: stretches grow
     with the text and not with the square of a clone group.
     """
-    repeated = kgram_groups(grams).select("language", "gram")
-    hits = grams.join(repeated, ["language", "gram"]).select("file", "pos").distinct()
+    repeated = grams.groupBy("language", "gram").agg(F.count("*").alias("_n")).where("_n > 1").select("language", "gram")
+    hits = grams.join(repeated, ["language", "gram"]).select("file", "pos")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("file").orderBy("pos"))
     return hits.withColumn("_i", island).groupBy("file", "_i").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("end")).drop("_i")
 
@@ -97,8 +122,8 @@ def statements(files: DataFrame) -> DataFrame:
     literal = r"(?s)'(?:[^']|'')*'|\$([A-Za-z_]*)\$.*?\$\1\$"
     part = r"(?s)(?:--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|\$([A-Za-z_]*)\$.*?\$\1\$|[^;])+"
     parts = F.regexp_extract_all(F.col("text"), F.lit(part), 0)
-    listed = files.select("path", F.posexplode(parts).alias("ordinal", "raw"), parts.alias("_all"))
-    before = F.aggregate(F.slice("_all", 1, F.col("ordinal")), F.lit(0), lambda a, p: a + F.size(F.split(p, "\n")) - 1)
+    listed = files.select("path", F.posexplode(parts).alias("ordinal", "raw")).withColumn("_lines", F.size(F.split("raw", "\n")) - 1)
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("path").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     lead = F.size(F.split(F.regexp_extract("raw", r"(?s)^((?:\s|--[^\n]*\n|/\*.*?\*/)*)", 1), "\n")) - 1
     cleaned = F.lower(F.regexp_replace(F.regexp_replace("raw", blank, " "), literal, "''"))
     return listed.select("path", "ordinal", (before + lead + 1).alias("line"), F.trim("raw").alias("raw"), F.trim(F.regexp_replace(cleaned, r"\s+", " ")).alias("sql")).where("sql <> ''")

@@ -40,8 +40,12 @@ def append_points(path: str, fresh: DataFrame, key: list[str], fingerprint: str,
     if counts.get("conflict"):
         fs.delete(new, True)
         raise Conflict(f"{counts['conflict']} keys are stored with another fingerprint")
-    fs.delete(old, True)
+    past = hadoop(f"{path}.past")
+    fs.delete(past, True)
+    if fs.exists(old):
+        fs.rename(old, past)  # if this breaks off, the old table is still there under that name
     fs.rename(new, old)
+    fs.delete(past, True)
     return counts
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.plans import of_code, of_findings, of_graphs, of_history, of_imports, of_quality, of_reports, of_telemetry
+from sedimenta.plans import of_code, of_findings, of_graphs, of_history, of_imports, of_project, of_quality, of_reports, of_telemetry
 from sedimenta.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "of_code", "of_findings", "of_graphs", "of_history", "of_imports", "of_quality", "of_reports", "of_telemetry"]
+__all__ = ["ORACLE_SQL", "QUERIES", "of_code", "of_findings", "of_graphs", "of_history", "of_imports", "of_project", "of_quality", "of_reports", "of_telemetry"]

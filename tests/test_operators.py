@@ -418,3 +418,65 @@ def test_ring_survives_a_repeated_batch(spark, folder, tmp_path):
     q.stop()
     expected = telemetry.ring(spark.read.parquet(folder), "ts", 3600, 24)
     assert rows(spark.read.parquet(f"{path}/batch=2").select("slot", "n")) == rows(expected)
+
+
+def test_baselines_are_written_whole_and_checked(spark, tmp_path):
+    from sedimenta.sources import baselines
+
+    rows_ = [("a.py", "f#1", "f", 1, 3, 2, None, 0), ("a.py", "f#2", "f", 9, 4, 2, 2.5, 1)]
+    schema = "path string, id string, name string, line int, cognitive int, cyclomatic int, crap double, max_nesting int"
+    path = str(tmp_path / "baseline")
+    baselines.write(path, spark.createDataFrame(rows_, schema).withColumn("more", F.lit(1)))
+    assert rows(baselines.read(spark, path)) == rows_
+    with pytest.raises(baselines.Duplicate, match="a.py f#1"):
+        baselines.write(path, spark.createDataFrame([*rows_, rows_[0]], schema))
+    assert rows(baselines.read(spark, path)) == rows_  # the old one stays
+    baselines.write(path, spark.createDataFrame(rows_[:1], schema))
+    assert rows(baselines.read(spark, path)) == rows_[:1]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["baseline"]
+    spark.createDataFrame(rows_, schema).drop("id").write.parquet(str(tmp_path / "odd"))
+    with pytest.raises(ValueError, match="without id"):
+        baselines.read(spark, str(tmp_path / "odd"))
+
+
+def test_budgets_by_hand(spark):
+    from sedimenta.operators import projections
+
+    f = spark.createDataFrame([("b", "g", 5, 1, 1, None, None), ("a", "f", 9, 7, 2, 3.0, 1.0), ("a", "e", 9, 2, 2, 9.0, 0.5)], "path string, fn string, line int, cognitive int, cyclomatic int, crap double, coverage double")
+    shown = lambda **x: [(r.fn, r.truncated) for r in projections.functions(f, projections.Budget(**x)).collect()]
+    assert shown() == [("e", False), ("f", False), ("g", False)]
+    assert shown(sort_by="crap") == [("e", False), ("f", False), ("g", False)]
+    assert shown(sort_by="cognitive", top=1) == [("f", True)]
+    assert shown(min_crap=3.0, top=2) == [("e", False), ("f", False)]
+    with pytest.raises(ValueError):
+        projections.Budget(sort_by="loc")
+    side = lambda *r: spark.createDataFrame(list(r), "path string, fn string, start int, cognitive int, cyclomatic int, crap double, loc int")
+    pairs = drift.paired(side(("a", "up", 1, 1, 1, 1.0, 5), ("a", "down", 2, 9, 1, None, 5), ("a", "gone", 3, 9, 9, 9.0, 9)), side(("a", "up", 1, 1, 1, 4.0, 5), ("a", "down", 2, 2, 1, None, 5), ("a", "new", 3, 99, 1, None, 1)), ["path", "fn"], ["start"])
+    told = lambda **x: rows(projections.changes(pairs, projections.Budget(**x)).select("kind", "fn", "crap_delta", "max_delta", "truncated"))
+    assert told() == [("improved", "down", 0.0, 7.0, False), ("regressed", "up", 3.0, 3.0, False)]
+    assert told(min_delta=4.0) == [("improved", "down", 0.0, 7.0, False)]
+    assert told(min_crap=0.0) == [("regressed", "up", 3.0, 3.0, False)]
+    assert sorted(r.fn for r in projections.violations(pairs, {"cognitive": 50, "crap": 30.0}).collect()) == ["down", "new"]
+    assert rows(projections.compact(f.where("fn = 'f'").select("fn", (F.col("crap") / 7).alias("crap")), "crap")) == [("f", 0.4)]
+
+
+def test_missing_sections_are_unknown(spark):
+    from sedimenta.operators import project
+
+    files = spark.createDataFrame([("a", "go", 2), ("b", "go", None)], "path string, language string, parse_errors int")
+    none = spark.createDataFrame([], "path string, id string, start int, end int, cognitive int, cyclomatic int, crap double, coverage double")
+    got = project.summary(project.Project(files, none)).first()
+    assert (got.files, got.parse_errors, got.functions, got.coverage_percent, got.dependency_edges, got.duplicated_lines, got.mutation_score) == (2, 2, 0, None, None, None, None)
+    assert set(project.Project(files, none).sections()) == {"files", "functions"}
+    assert rows(project.parse_errors_by_language(files)) == [("go", 2, 2)]
+    found = spark.createDataFrame([(1, "a", 3)], "finding_id int, path string, line int")
+    assert project.enriched(found, project.Project(files, none)).select("function_id", "changed", "reason").first()[:] == (None, None, "path-not-in-project")
+
+
+def test_gitleaks_without_a_level_is_high(spark):
+    def log(tool, **result):
+        return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool}}, "results": [{"ruleId": "r", **result}]}]})
+
+    texts = [log("Gitleaks"), log("other"), log("other", level="none"), log("gitleaks", level="note")]
+    got = reports.sarif(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string"))
+    assert [r.severity for r in got.orderBy("file").collect()] == ["high", "unknown", "unknown", "low"]
