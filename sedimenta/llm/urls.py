@@ -125,7 +125,7 @@ def _fit(rows: list[tuple[list[int], int]], rounds: int = 300, ridge: float = 1e
         np.add.at(x[i], found, 1 / max(1, len(found)) ** 0.5)
         x[i, BUCKETS] = 1
     y = np.array([label for _, label in rows], dtype=float)
-    rate = 4 / np.linalg.norm(x.T @ x / len(y), 2)
+    rate = 4 / np.linalg.norm(x @ x.T / len(y), 2)  # the same norm as of x.T @ x, by rows instead of buckets
     w = before = np.zeros(BUCKETS + 1)
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - before)
