@@ -9,17 +9,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import metrics as M
-from sedimenta.operators import code, drift, graph, history, imports, queryplans, security, snapshots, spans
+from sedimenta.operators import code, drift, gates, graph, history, imports, queryplans, security, snapshots, spans
 from sedimenta.operators import hotspots as _hotspots
+from sedimenta.operators import project as _project
+from sedimenta.operators import risk as _risk
+from sedimenta.operators.project import Project
 from sedimenta.operators.triage import summary
 
 __all__ = [
-    "Gate", "GateFailed", "analyze", "baseline", "changed", "check", "coupling", "debt", "dependencies", "duplication", "function", "hotspots", "impact", "mutation", "ownership",
-    "policy", "repo_summary", "risk", "security_report", "select_tests", "snapshot", "sql", "sql_plan", "test_targets", "unused", "vulnerabilities",
+    "Gate", "GateFailed", "Project", "analyze", "baseline", "change_risk", "changed", "check", "coupling", "debt", "dependencies", "duplication", "enriched", "explain_metric", "function", "hotspots", "impact",
+    "impact_counts", "mutation", "ownership", "policy", "project_summary", "quality_gate", "repo_summary", "risk", "security_report", "select_tests", "selection_totals", "snapshot", "sql", "sql_gate", "sql_plan",
+    "test_targets", "unused", "vulnerabilities",
 ]
 
 LIMITS = {"cognitive": 15, "cyclomatic": 10, "nesting": 4, "loc": 80, "crap": 30.0}
@@ -89,6 +93,31 @@ def coupling(commit_files: DataFrame, target: object = None, least: int = 2) ->
     return history.coupling(commit_files, least) if target is None else history.coupled_with(commit_files, target, least)
 
 
+def change_risk(files: DataFrame, changes: DataFrame, impact: DataFrame, owners: DataFrame, violations: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files by risk, the greatest first, with their components."""
+    return _risk.ranked(_risk.rows(files, changes, impact, owners, violations), limit)
+
+
+def project_summary(project: Project) -> DataFrame:
+    return _project.summary(project)
+
+
+def enriched(findings: DataFrame, project: Project, changed: DataFrame | None = None) -> DataFrame:
+    """Findings with the function and the risk of where they are, or the reason why there is none."""
+    return _project.enriched(findings, project, changed)
+
+
+def quality_gate(functions: DataFrame, limits: dict[str, float], conditions: dict[str, str | int], severities: DataFrame | None = None) -> Gate:
+    """Conditions that don't pass, or whose value is unknown."""
+    return Gate("quality", gates.quality_gate(analyze(functions) if "crap" not in functions.columns else functions, limits, conditions, severities).where("NOT passed"))
+
+
+def explain_metric(spark: SparkSession, name: str | None = None) -> DataFrame:
+    """(metric, unit, explanation, unknown_when) of a metric, or of all."""
+    rows = spark.createDataFrame([(k, *v) for k, v in M.EXPLAINED.items()], "metric string, unit string, explanation string, unknown_when string")
+    return rows if name is None else rows.where(F.col("metric") == name)
+
+
 def risk(before: DataFrame, after: DataFrame, renames: DataFrame | None = None) -> DataFrame:
     return drift.risk_changes(before, after, renames)
 
@@ -110,6 +139,15 @@ def select_tests(changed_files: DataFrame, tests: DataFrame, files: DataFrame, e
     return graph.select_tests(changed_files, tests, files, edges, always_run)
 
 
+def selection_totals(changed_files: DataFrame, tests: DataFrame, files: DataFrame, edges: DataFrame, always_run: tuple[str, ...] = ()) -> DataFrame:
+    return graph.selection_totals(changed_files, tests, files, edges, always_run)
+
+
+def impact_counts(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """How many files depend on each of files (node), directly and in all."""
+    return graph.impact_counts(edges, files)
+
+
 def test_targets(functions: DataFrame, lines: DataFrame) -> DataFrame:
     return spans.test_targets(functions, lines)
 
@@ -152,6 +190,11 @@ def sql(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return code.sql_findings(scripts), code.unknown_tables(scripts), code.sql_in_host(files.where(~F.lower("path").endswith(".sql")))
 
 
+def sql_gate(files: DataFrame, least: str = "high") -> Gate:
+    """Risky statements of a severity and above, of files (path, text)."""
+    return Gate("sql", security.gate(code.sql_findings(files), least))
+
+
 def sql_plan(before: DataFrame, after: DataFrame) -> Gate:
     """Plans (file, text) that got worse."""
     changes = queryplans.regressions(queryplans.facts(queryplans.flattened(before)), queryplans.facts(queryplans.flattened(after)))

@@ -18,6 +18,18 @@ RISK_WEIGHTS = {"complexity": 20, "crap": 15, "churn": 20, "impact": 20, "owners
 POLICY_RISK = {"info": 30.0, "warning": 60.0, "error": 100.0}
 FULL = {"cognitive": 30.0, "cyclomatic": 20.0, "crap": 30.0, "changes": 20.0}
 
+#: What a metric says: its unit, an explanation, and when it is unknown.
+EXPLAINED = {
+    "cognitive": ("points", "How hard a function's control flow is to follow: a break in the flow counts 1, and 1 more for each level it is nested.", "never"),
+    "cyclomatic": ("paths", "Linearly independent paths through a function: 1 and 1 more for each decision.", "never"),
+    "nesting": ("levels", "Deepest level of nested control flow.", "never"),
+    "loc": ("lines", "Lines from a function's first to its last.", "never"),
+    "coverage": ("share", "Covered lines and branches among those that a report knows.", "no coverage report has a line of the function"),
+    "crap": ("points", "Complexity that tests don't cover: c * c * (1 - coverage) ** 3 + c, with c the cyclomatic complexity.", "the coverage is unknown"),
+    "maintainability": ("0 to 100", "171 - 5.2 ln(volume) - 0.23 cyclomatic - 16.2 ln(loc), scaled.", "never"),
+    "risk": ("0 to 100", "Weighted mean of complexity, crap, churn, impact, ownership and policy over those that are known.", "never"),
+}
+
 
 def crap(cyclomatic: Column, coverage: Column) -> Column:
     """c^2 (1 - coverage)^3 + c; unknown without coverage."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.operators import code, queryplans
+from sedimenta.operators import code, queryplans, security
 from sedimenta.plans import adapters as A
 from sedimenta.plans.registry import FINDINGS, query
 from sedimenta.sources import reports, sinks
@@ -114,6 +114,12 @@ def sql_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.sql_findings(_sql(spark, sf_dir))
 
 
+@query("SELECT 'q' || o_orderkey || '.sql' AS path, 1 AS line, 'update_without_where' AS rule FROM orders WHERE o_orderkey % 4 = 0")
+def sql_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that a gate at high severity stops."""
+    return security.gate(code.sql_findings(_sql(spark, sf_dir)), "high").select("path", "line", "rule")
+
+
 def _sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*map(F.lit, (
         "UPDATE t SET a = ';where'; -- where\nDELETE FROM t WHERE a = 1;",

@@ -57,3 +57,22 @@ def test_security_gate(spark):
     assert not api.security_report(f).holds()
     assert api.security_report(f, f).holds()
     assert api.security_report(f, f.where("rule = 's'")).violations.count() == 1
+
+
+def test_project_risk_and_gates(spark, functions):
+    files = spark.createDataFrame([("a.ts", "typescript", 1), ("b.ts", "typescript", 0)], "path string, language string, parse_errors int")
+    project = api.Project(files, api.analyze(functions).withColumnRenamed("fn", "id"))
+    assert api.project_summary(project).select("files", "functions", "parse_errors").first()[:] == (2, 3, 1)
+    found = spark.createDataFrame([(1, "a.ts", 12), (2, "b.ts", 9), (3, None, None)], "finding_id int, path string, line int")
+    assert sorted((r.finding_id, r.function_id, r.reason) for r in api.enriched(found, project).collect()) == [(1, "g", None), (2, None, "no-function-at-location"), (3, None, "no-path")]
+    gate = api.quality_gate(functions, {"cognitive": 15}, {"maintainability_rating": "D", "security_rating": "A", "effort_minutes": 40})
+    assert [r.metric for r in gate.violations.collect()] == ["security_rating"]
+    assert api.explain_metric(spark, "crap").first().unit == "points"
+    assert api.explain_metric(spark).count() == 8
+    sql = spark.createDataFrame([("q.sql", "UPDATE t SET a = 1"), ("r.sql", "SELECT a FROM t WHERE b LIKE '%x'")], "path string, text string")
+    assert [r.path for r in api.sql_gate(sql).violations.collect()] == ["q.sql"]
+    assert api.sql_gate(sql, "medium").violations.count() == 2
+    edges = spark.createDataFrame([("b.ts", "a.ts")], "source string, target string")
+    nodes = files.select(F.col("path").alias("node"))
+    assert sorted((r.node, r.blast_radius) for r in api.impact_counts(edges, nodes).collect()) == [("a.ts", 1), ("b.ts", 0)]
+    assert set(api.__all__) <= set(dir(api))
