@@ -72,19 +72,21 @@ def concentration(by_identity: DataFrame, key: str = "path", paths: DataFrame |
 
 
 def _concentration(by_identity: DataFrame, key: str) -> DataFrame:
+    """Authors with as many touches are one row of a key, so that a key of very many authors, like the root, isn't one task's."""
+    classes = by_identity.groupBy(key, "touches").agg(F.count("*").alias("_n"), F.min("identity").alias("_least"))
     of_key = Window.partitionBy(key)
-    ranked = of_key.orderBy(F.desc("touches"), F.asc("identity"))
-    told = by_identity.withColumns({
-        "total": F.sum("touches").over(of_key),
-        "rank": F.row_number().over(ranked),
-        "so_far": F.sum("touches").over(ranked.rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    ranked = of_key.orderBy(F.desc("touches")).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.col("_n") * F.col("touches")
+    told = classes.withColumns({"_total": F.sum(held).over(of_key), "_so_far": F.sum(held).over(ranked), "_rank": F.sum("_n").over(ranked)})
+    before = F.col("_so_far") - held
+    half = (2 * before < F.col("_total")) & (2 * F.col("_so_far") >= F.col("_total"))
+    reached = F.col("_rank") - F.col("_n") + F.ceil((F.col("_total") - 2 * before) / (2 * F.col("touches")))
     return told.groupBy(key).agg(
-        F.count("*").alias("authors"),
-        F.max("total").alias("touches"),
-        F.min(F.when(F.col("rank") == 1, F.col("identity"))).alias("top_author"),
-        F.round(F.max("touches") / F.max("total") * 100, 6).alias("top_share"),
-        F.min(F.when(2 * F.col("so_far") >= F.col("total"), F.col("rank"))).alias("bus_factor"),
+        F.sum("_n").alias("authors"),
+        F.max("_total").alias("touches"),
+        F.max_by("_least", "touches").alias("top_author"),
+        F.round(F.max("touches") / F.max("_total") * 100, 6).alias("top_share"),
+        F.min(F.when(half, reached)).cast("int").alias("bus_factor"),
     )
 
 
