@@ -15,12 +15,15 @@ from sedimenta.operators.history import ancestors
 def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
     """Every pair of a point and a span of its key with start <= at <= end; buckets are ``width`` wide.
 
-    Give a width of about a usual span's length: spans many times longer stand in many buckets.
+    A longer span has buckets of width times a power of two, so it stands in three at most however long it is; a point looks into
+    one bucket of each power that there is, which are a few dozen at most.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    p = points.withColumn("_bucket", bucket(at))
-    s = spans.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
-    return p.join(s, [key, "_bucket"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")
+    longer = F.ceil(F.log2((F.col(end) - F.col(start) + 1) / width)).cast("int")
+    bucket = lambda c: F.floor(F.col(c) / (width * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+    s = spans.withColumn("_level", F.greatest(longer, F.lit(0)))
+    p = points.crossJoin(F.broadcast(s.select("_level").distinct())).withColumn("_bucket", bucket(at))
+    s = s.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    return p.join(s, [key, "_level", "_bucket"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_bucket", "_level")
 
 
 def innermost(pairs: DataFrame, point: list[str], start: str, end: str, span_id: str) -> DataFrame:

@@ -480,3 +480,13 @@ def test_gitleaks_without_a_level_is_high(spark):
     texts = [log("Gitleaks"), log("other"), log("other", level="none"), log("gitleaks", level="note")]
     got = reports.sarif(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string"))
     assert [r.severity for r in got.orderBy("file").collect()] == ["high", "unknown", "unknown", "low"]
+
+
+def test_points_in_spans_of_any_length(spark):
+    import random
+
+    random.seed(12)
+    spans_ = [(k % 2, i, s, s + random.choice([0, 1, 7, 63, 64, 65, 1000, 50_000])) for i, k in enumerate([0, 1] * 40) for s in [random.randrange(-500, 3000)]]
+    points = [(i % 2, i, random.randrange(-600, 4000)) for i in range(200)]
+    got = spans.containing(spark.createDataFrame(points, "k int, point int, at int"), spark.createDataFrame(spans_, "k int, id int, s int, e int"), "k", "at", "s", "e", 64)
+    assert sorted((r.point, r.id) for r in got.collect()) == sorted((p, i) for k, p, at in points for j, i, s, e in spans_ if k == j and s <= at <= e)
