@@ -21,6 +21,30 @@ def json_rows(df: DataFrame, version: int = 1) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit(version).alias("schema_version"), *df.columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def findings_of(family: str, rows: DataFrame) -> DataFrame:
+    """(rule, severity, path, line, message) of what a report of that family says, as the sinks take it.
+
+    check: functions over a limit (path, fn, line, reasons), one for each reason. security: scanners' findings, as they are.
+    vulnerability: (source, package, version, advisory, severity). sql: (path, line, rule, severity). policy: (rule, source, target, severity).
+    plan: changes of plans (query, change, relation, detail) that fail. A file as a whole is line 1.
+    """
+    text = lambda *c: F.concat_ws(" ", *c)
+    if family == "check":
+        told = rows.select("path", "fn", "line", F.explode("reasons").alias("rule"))
+        return told.select("rule", F.lit("high").alias("severity"), "path", "line", text("fn", F.lit("exceeds the limit of"), "rule").alias("message"))
+    if family == "security":
+        return rows.select("rule", "severity", "path", "line", "message")
+    if family == "vulnerability":
+        return rows.select(F.col("advisory").alias("rule"), "severity", F.col("source").alias("path"), F.lit(1).alias("line"), F.concat_ws("@", "package", "version").alias("message"))
+    if family == "sql":
+        return rows.select("rule", "severity", "path", "line", F.replace("rule", F.lit("_"), F.lit(" ")).alias("message"))
+    if family == "policy":
+        return rows.select("rule", "severity", F.col("source").alias("path"), F.lit(1).alias("line"), F.concat_ws(" -> ", "source", "target").alias("message"))
+    if family == "plan":
+        return rows.where("fails").select(F.col("change").alias("rule"), F.lit("high").alias("severity"), F.concat("query", F.lit(".json")).alias("path"), F.lit(1).alias("line"), text("relation", "detail").alias("message"))
+    raise ValueError(f"no family {family}")
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """(rule, path, line, result): SARIF result objects of findings (rule, severity, path, line, message)."""
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
@@ -63,8 +87,8 @@ def badge(grade: Column, label: str = "quality") -> Column:
     """An SVG badge of a grade A to E, grey if unknown."""
     colour = _mapped(grade, {"A": "#4c1", "B": "#97ca00", "C": "#dfb317", "D": "#fe7d37", "E": "#e05d44"})
     return F.concat(
-        F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="90" height="20" role="img"><rect width="60" height="20" fill="#555"/><rect x="60" width="30" height="20" fill="'),
-        F.when(grade.isNull(), "#9f9f9f").otherwise(colour), F.lit(f'"/><text x="6" y="14" fill="#fff" font-size="11">{label}</text><text x="70" y="14" fill="#fff" font-size="11">'), F.coalesce(grade, F.lit("?")), F.lit("</text></svg>"),
+        F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="104" height="24" role="img"><rect width="72" height="24" fill="#555"/><rect x="72" width="32" height="24" fill="'),
+        F.when(grade.isNull(), "#9f9f9f").otherwise(colour), F.lit(f'"/><text x="9" y="16" fill="#fff" font-size="12">{label}</text><text x="84" y="16" fill="#fff" font-size="12">'), F.coalesce(grade, F.lit("?")), F.lit("</text></svg>"),
     )
 
 

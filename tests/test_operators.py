@@ -278,18 +278,18 @@ def test_lcov_and_xml(spark):
     assert rows(hits) == [("a.c", 1, 3), ("a.c", 2, 0)]
     assert rows(branches) == [("a.c", 2, 2, 1)]
     jacoco = '<report name="x"><package name="p"><sourcefile name="A.java"><line nr="3" mi="0" ci="4" mb="1" cb="1"/></sourcefile></package></report>'
-    cobertura = '<coverage><packages><package><classes><class filename="a.py"><lines><line number="1" hits="2" condition-coverage="50% (1/2)"/></lines></class></classes></package></packages></coverage>'
+    cobertura = '<coverage><packages><package><classes><class filename="a.py"><lines><line number="1" hits="2" condition-coverage="75% (3/4)"/></lines></class></classes></package></packages></coverage>'
     texts = spark.createDataFrame([("j", jacoco), ("c", cobertura)], "file string, text string")
     assert rows(texts.select("file", reports.xml_dialect(F.col("text")))) == [("c", "cobertura"), ("j", "jacoco")]
     assert [rows(x) for x in reports.jacoco(texts.where("file = 'j'"))] == [[("p/A.java", 3, 4)], [("p/A.java", 3, 2, 1)]]
-    assert [rows(x) for x in reports.cobertura(texts.where("file = 'c'"))] == [[("a.py", 1, 2)], [("a.py", 1, 2, 1)]]
+    assert [rows(x) for x in reports.cobertura(texts.where("file = 'c'"))] == [[("a.py", 1, 2)], [("a.py", 1, 4, 3)]]
 
 
 def test_scanner_reports(spark):
     def one(x):
         return spark.createDataFrame([("f.json", json.dumps(x))], "file string, text string")
 
-    log = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t", "rules": [{"id": "r", "properties": {"security-severity": "9.1"}}]}}, "results": [
+    log = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t", "rules": [{"id": "r", "properties": {"security-severity": "9.7"}}]}}, "results": [
         {"ruleId": "r", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "file:///a/%62.c"}, "region": {"startLine": 4}}}]},
         {"ruleId": "q", "level": "note", "baselineState": "new", "partialFingerprints": {"x": "1"}},
     ]}]}
@@ -490,3 +490,26 @@ def test_points_in_spans_of_any_length(spark):
     points = [(i % 2, i, random.randrange(-600, 4000)) for i in range(200)]
     got = spans.containing(spark.createDataFrame(points, "k int, point int, at int"), spark.createDataFrame(spans_, "k int, id int, s int, e int"), "k", "at", "s", "e", 64)
     assert sorted((r.point, r.id) for r in got.collect()) == sorted((p, i) for k, p, at in points for j, i, s, e in spans_ if k == j and s <= at <= e)
+
+
+def test_families_of_findings_in_one_document(spark):
+    make = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    given = {
+        "check": make("path string, fn string, line int, reasons array<string>", ("a.py", "f", 3, ["loc", "crap"])),
+        "security": make("rule string, severity string, path string, line int, message string", ("S1", "low", "a.py", 4, "m")),
+        "vulnerability": make("source string, package string, version string, advisory string, severity string", ("lock", "p", "1.2", "V-1", "critical")),
+        "sql": make("path string, line int, rule string, severity string", ("q.sql", 2, "large_offset", "medium")),
+        "policy": make("rule string, source string, target string, severity string", ("no_up", "a", "b", "high")),
+        "plan": make("query string, change string, relation string, detail string, fails boolean", ("q", "cost_increase", None, "+30.0%", True), ("q", "added_sort", None, "x", False)),
+    }
+    found = [sinks.findings_of(k, df) for k, df in given.items()]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    back = reports.sarif(sinks.sarif_log(every, "t").select(F.lit("log").alias("file"), F.col("json").alias("text")))
+    assert sorted((r.rule, r.severity, r.path, r.start_line, r.message) for r in back.collect()) == [
+        ("S1", "low", "a.py", 4, "m"), ("V-1", "high", "lock", 1, "p@1.2"), ("cost_increase", "high", "q.json", 1, "+30.0%"), ("crap", "high", "a.py", 3, "f exceeds the limit of crap"),
+        ("large_offset", "medium", "q.sql", 2, "large offset"), ("loc", "high", "a.py", 3, "f exceeds the limit of loc"), ("no_up", "high", "a", 1, "a -> b"),
+    ]
+    with pytest.raises(ValueError):
+        sinks.findings_of("other", every)
