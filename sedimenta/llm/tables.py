@@ -85,9 +85,9 @@ def words_of(text: Column) -> Column:
 
 
 def n_words_of(text: Column) -> Column:
-    """The number of words, counted without making them."""
-    flat = F.translate(F.coalesce(text, F.lit("")), WORD_SEPARATORS, " " * len(WORD_SEPARATORS))
-    return F.when(F.trim(flat) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(flat), " +"))).cast("long")
+    """The number of words, counted without making them: each word and the separators around it become one character."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")
+    return F.length(F.translate(marks, WORD_SEPARATORS, "")).cast("long")  # a text without words is left as it was
 
 
 def let(value: Column, body) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import chat, compression, decontaminate, mixing, pages, rules, simhash, substrings, toxicity, urls
 from sedimenta.llm.graph import components
 from sedimenta.llm.queries import QUERIES, TOKENIZER
-from sedimenta.llm.tables import fold_of, table
+from sedimenta.llm.tables import fold_of, n_words_of, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -325,6 +328,26 @@ def test_mix_draws_by_weight(spark):
     assert 3 * n[1] < n[0] < 6 * n[1]
 
 
+def test_words_are_counted_as_the_contract_has_them(spark):
+    texts = [None, "", " ", "\n\n", "a", " a", "a ", " a\tb\x0bc\x0c\r\nd ", "w ww w", "\x1c a\x1f\x85b\xa0c \u2003 d", "日本 語\n😀 😀", "$1 \\ $0", "x" * 70000, "\r\n".join(["y"] * 3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", n_words_of(F.col("text"))).collect()
+    assert [n for _, n in sorted(map(tuple, got))] == [len(words(t)) for t in texts]
+
+
+def test_a_long_text_is_counted_in_little_memory():
+    """Eight million words in a heap that doesn't hold them one by one."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from sedimenta.llm.tables import n_words_of
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+text = F.concat(F.repeat(F.lit("a "), 8_000_000), F.col("id").cast("string"))
+print("words", spark.range(1).select(n_words_of(text)).first()[0])
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "words 8000001" in out.stdout, out.stderr[-2000:]
+
+
 # 5
 
 
