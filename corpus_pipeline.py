@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import compression, decontaminate, mixing, simhash, substrings
 from sedimenta.llm.tables import discard, fold_of, staged, table
 
+#: What the first stage last learnt, by application and folder.
+_LEARNT: dict[tuple[str, str], compression.Model] = {}
+
 
 def _classifier(docs: DataFrame, spark: SparkSession, sf_dir: str) -> compression.Model:
     """Labels of the held-out fold aren't learnt."""
@@ -16,7 +20,8 @@ def _classifier(docs: DataFrame, spark: SparkSession, sf_dir: str) -> compressio
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good text."""
-    return compression.accepted(docs, _classifier(docs, spark, sf_dir))
+    model = _LEARNT[spark.sparkContext.applicationId, sf_dir] = _classifier(docs, spark, sf_dir)
+    return compression.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +47,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how many words it takes of each, repeats counted.
 
     Documents weigh as the classifier scores them. It is learnt from all documents again, as stages hand on the columns of documents only
-    and hardly any bad text is left here.
+    and hardly any bad text is left here. A folder that holds no documents, as those given to the first stage came from elsewhere, takes what that stage learnt.
     """
+    try:
+        model = _classifier(table(spark, sf_dir, "documents"), spark, sf_dir)
+    except AnalysisException:
+        model = _LEARNT.get((spark.sparkContext.applicationId, sf_dir))
+        if model is None:
+            raise
     weight = "_weight"
     while weight in docs.columns:
         weight += "_"
-    weighed = compression.weighed(docs, _classifier(table(spark, sf_dir, "documents"), spark, sf_dir), weight)
+    weighed = compression.weighed(docs, model, weight)
     return mixing.mixed(weighed, tuple(docs.columns), F.col(weight)).where("taken > 0")
 
 

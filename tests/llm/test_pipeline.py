@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -88,6 +89,17 @@ def test_stages_take_odd_rows_and_none(spark, name):
     assert STAGES[name](spark, odd.limit(0), SF).count() == 0
 
 
+def test_stages_take_documents_from_elsewhere(spark, steps, tmp_path):
+    for name in ("labels", "benchmark"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    docs = table(spark, SF, "documents")
+    with pytest.raises(AnalysisException):
+        pipeline.mix(spark, docs, str(tmp_path))
+    for _, stage in pipeline.STAGES:
+        docs = staged(stage(spark, docs, str(tmp_path)))
+    assert sorted(map(tuple, docs.select("doc_id", "taken").collect())) == sorted(map(tuple, steps[-1].select("doc_id", "taken").collect()))
+
+
 def test_one_query_for_each_operator():
     names = sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
