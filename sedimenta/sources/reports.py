@@ -95,17 +95,24 @@ def sarif(reports: DataFrame) -> DataFrame:
     """
     known = F.assert_true(F.coalesce(F.col("r.version").startswith("2.1"), F.lit(False)), "SARIF 2.1 is expected")
     runs = _json(reports, SARIF).withColumn("_known", known).where("_known IS NULL").select("file", F.explode("r.runs").alias("run"))
-    rows = runs.select("file", F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("x"))
-    rule = F.coalesce("x.ruleId", "x.rule.id")
-    own = F.col("x.properties").getField("security-severity")
-    score = F.coalesce(own, F.try_element_at(F.transform(F.filter("rules", lambda k: k["id"] == rule), lambda k: k["properties"]["security-severity"]), F.lit(1))).try_cast("double")
-    level = F.col("x.level")
+    # what a result needs of its run is put into it: a row that had the whole run beside it would make as many copies as results
+    severities = F.col("run.tool.driver.rules")
+
+    def told(x: Column) -> Column:
+        rule = F.coalesce(x["ruleId"], x["rule"]["id"])
+        own = x["properties"].getField("security-severity")
+        score = F.coalesce(own, F.try_element_at(F.transform(F.filter(severities, lambda k: k["id"] == rule), lambda k: k["properties"]["security-severity"]), F.lit(1)))
+        return F.struct(rule.alias("rule"), score.alias("score"), x.alias("x"))
+
+    listed = runs.select("file", F.col("run.tool.driver.name").alias("tool"), F.transform("run.results", told).alias("_results"))
+    rows = listed.select("file", "tool", F.explode("_results").alias("_told")).select("file", "tool", "_told.rule", "_told.score", "_told.x")
+    score, level = F.col("score").try_cast("double"), F.col("x.level")
     by_tool = F.when(F.lower("tool") == "gitleaks", "high").otherwise("unknown")
     by_level = F.when(level == "error", "high").when(level == "warning", "medium").when(level == "note", "low").otherwise(by_tool)
     place = F.try_element_at("x.locations", F.lit(1))["physicalLocation"]
     prints = F.coalesce("x.partialFingerprints", "x.fingerprints")
     return rows.select(
-        "file", "tool", rule.alias("rule"), level.alias("level"), F.when(score.isNotNull(), severity_of_score(score)).otherwise(by_level).alias("severity"), F.coalesce("x.baselineState", F.lit("unknown")).alias("state"),
+        "file", "tool", "rule", level.alias("level"), F.when(score.isNotNull(), severity_of_score(score)).otherwise(by_level).alias("severity"), F.coalesce("x.baselineState", F.lit("unknown")).alias("state"),
         F.try_element_at(F.map_values(prints), F.lit(1)).alias("fingerprint"), normalized(F.regexp_replace(F.url_decode(place["artifactLocation"]["uri"]), "^file:/*", "")).alias("path"),
         place["region"]["startLine"].alias("start_line"), F.coalesce(place["region"]["endLine"], place["region"]["startLine"]).alias("end_line"), F.col("x.message.text").alias("message"),
     )

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import inspect
 import json
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -513,3 +517,18 @@ def test_families_of_findings_in_one_document(spark):
     ]
     with pytest.raises(ValueError):
         sinks.findings_of("other", every)
+
+
+def test_many_results_of_one_sarif_run_are_read_in_little_memory():
+    """Three thousand results in a heap that doesn't hold a copy of their run for each."""
+    code = """
+from pyspark.sql import SparkSession
+from sedimenta.sources import reports, sinks
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+found = spark.range(3000).selectExpr("concat('r', id % 7) AS rule", "'high' AS severity", "concat('src/u', id, '.py') AS path", "1 AS line", "'said' AS message")
+back = reports.sarif(sinks.sarif_log(found, "t").selectExpr("'log' AS file", "json AS text"))
+print("results", len(back.collect()))
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "results 3000" in out.stdout, out.stderr[-2000:]
