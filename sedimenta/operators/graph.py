@@ -50,6 +50,11 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once for all that use it."""
+    return _kept(df)
+
+
 def _one_task(edges: DataFrame, starts: DataFrame | None, search: Callable[[dict, list], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows of search(following nodes by node, starts) over edges (_from, _to), whose number the caller has checked."""
     rows = edges.select(F.lit(0).alias("_kind"), "_from", "_to")
