@@ -180,8 +180,8 @@ def mutation(mutants: DataFrame, by: str = "path") -> DataFrame:
 
 def duplication(files: DataFrame, tokens: int = 100) -> tuple[DataFrame, DataFrame]:
     """(stretches that are found elsewhere, groups of equal stretches) of files (path, language, text)."""
-    grams = code.kgrams(files, "path", "language", "text", tokens)
-    return code.clone_runs(grams, tokens), code.clone_groups(grams, tokens)
+    grams = code.repeated_kgrams(files, "path", "language", "text", tokens)
+    return code.repeated_runs(grams, tokens), code.repeated_groups(grams, tokens)
 
 
 def sql(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

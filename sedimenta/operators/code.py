@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.functions.hashing import Hasher, runs_of, slices
+from sedimenta.functions.hashing import Hasher, mix, runs_of, slices
 
 _HASHER = Hasher(30)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
+#: Characters of text, about, whose k-grams one task compares.
+BIN_CHARS = 24_000_000
+MOST_BINS = 4096
 
 
 def tokens(docs: DataFrame, file: str, language: str, text: str) -> DataFrame:
@@ -31,19 +34,93 @@ def kgrams(docs: DataFrame, file: str, language: str, text: str, k: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column("_text")):
-                starts, ends = runs_of(_LETTER[data])
-                begin = np.searchsorted(starts, offsets)
-                grams = _HASHER.grams(_HASHER.words(data, starts, ends), k)
-                counts = np.maximum(np.diff(begin) - k + 1, 0)
-                pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                row = pa.array(np.repeat(np.arange(first, end), counts))
-                own = grams[pos + np.repeat(begin[:-1], counts)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("file").take(row), batch.column("language").take(row), pa.array(pos.astype(np.int32)), pa.array(own)], names=["file", "language", "pos", "gram"])
+            for row, pos, own in _grams(batch.column("_text"), k):
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("file").take(row), batch.column("language").take(row), pa.array(pos), pa.array(own.view(np.int64))], names=["file", "language", "pos", "gram"])
 
     return docs.select(F.col(file).alias("file"), F.col(language).alias("language"), F.lower(text).alias("_text")).mapInArrow(run, schema)
 
 
+def _grams(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, position, hash) of every run of k tokens, some texts at a time."""
+    for first, end, data, offsets in slices(texts):
+        starts, ends = runs_of(_LETTER[data])
+        begin = np.searchsorted(starts, offsets)
+        grams = _HASHER.grams(_HASHER.words(data, starts, ends), k)
+        counts = np.maximum(np.diff(begin) - k + 1, 0)
+        pos = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        yield np.repeat(np.arange(first, end), counts), pos.astype(np.int32), grams[pos + np.repeat(begin[:-1], counts)]
+
+
+def repeated_kgrams(docs: DataFrame, file: str, language: str, text: str, k: int, bin_chars: int = BIN_CHARS) -> DataFrame:
+    """The rows of kgrams whose gram is found twice or more in its language.
+
+    Most runs are found once, so hashes are dealt over bins and compared in arrays, a row of many, and what is found once goes no further. A
+    batch sends a gram that it has several times to its bin once, so that a frequent one is no more than a value of each batch there.
+    """
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    bins = max(1, min(MOST_BINS, -(-chars // bin_chars)))
+    named = docs.select(F.col(file).alias("file"), F.col(language).alias("language"), F.lower(text).alias("_text"))
+    kind = named.schema["file"].dataType.simpleString()
+    names = ["bin", "known", "language", "files", "pos", "grams"]
+
+    def row(bin_: np.ndarray, known: bool, language: pa.Scalar, offsets: np.ndarray, files: pa.Array, pos: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        columns = [pa.array(bin_, pa.int32()), pa.repeat(known, len(bin_)), pa.repeat(language, len(bin_)), listed(files), listed(pa.array(pos)), listed(pa.array(grams.view(np.int64)))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            found = list(_grams(batch.column("_text"), k))
+            if not found:
+                continue
+            rows, places, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+            coded = batch.column("language").dictionary_encode(null_encoding="encode")
+            of_row = coded.indices.to_numpy()[rows]
+            for c, language in enumerate(coded.dictionary):
+                own = np.flatnonzero(of_row == c)
+                if not len(own):
+                    continue
+                hashes = mix(grams[own])
+                order = np.argsort(hashes)
+                own, hashes = own[order], hashes[order]
+                head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+                counts = np.diff(np.append(head, len(own)))
+                several = own[np.repeat(counts > 1, counts)]
+                if len(several):
+                    yield row(np.array([turn % bins]), True, language, np.array([0, len(several)]), batch.column("file").take(pa.array(rows[several])), places[several], grams[several])
+                    turn += 1
+                bin_of = ((hashes[head] >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+                first = own[head]
+                offsets = np.append(np.flatnonzero(np.append(True, bin_of[1:] != bin_of[:-1])), len(head))
+                yield row(bin_of[offsets[:-1]], False, language, offsets, batch.column("file").take(pa.array(rows[first])), np.where(counts > 1, -1, places[first]).astype(np.int32), grams[first])
+
+    def flat(language: pa.Scalar, files: pa.Array, pos: pa.Array, grams: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([files, pa.repeat(language, len(files)), pos, grams], names=["file", "language", "pos", "gram"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for known, language, files, pos, grams in zip(*(batch.column(c) for c in names[1:]), strict=True):
+                if known.as_py():
+                    yield flat(language, files.values, pos.values, grams.values)
+                else:
+                    held.setdefault(language.as_py(), (language, []))[1].append((files.values, pos.values, grams.values))
+        for language, parts in held.values():
+            files, pos, grams = (pa.chunked_array(x) for x in zip(*parts, strict=True))
+            hashes = grams.to_numpy()
+            order = np.argsort(hashes)
+            same = hashes[order][1:] == hashes[order][:-1]
+            twice = order[np.append(False, same) | np.append(same, False)]
+            twice = pa.array(np.sort(twice[pos.to_numpy()[twice] >= 0]))
+            if len(twice):
+                yield flat(language, *(x.take(twice).combine_chunks() for x in (files, pos, grams)))
+
+    dealt = named.mapInArrow(deal, f"bin int, known boolean, language string, files array<{kind}>, pos array<int>, grams array<bigint>")
+    return dealt.repartitionById(bins, "bin").select(*names).mapInArrow(compare, f"file {kind}, language string, pos int, gram bigint")
+
+
 def kgram_groups(grams: DataFrame) -> DataFrame:
     """(language, gram, occurrences, files) of runs found twice or more."""
     by_file = grams.groupBy("language", "gram", "file").agg(F.count("*").alias("_n"))
@@ -56,18 +133,33 @@ def clone_runs(grams: DataFrame, k: int) -> DataFrame:
     Counting comes before joining, and what is joined back is a gram's count and not its partners: stretches grow
     with the text and not with the square of a clone group.
     """
-    repeated = grams.groupBy("language", "gram").agg(F.count("*").alias("_n")).where("_n > 1").select("language", "gram")
-    hits = grams.join(repeated, ["language", "gram"]).select("file", "pos")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("file").orderBy("pos"))
-    return hits.withColumn("_i", island).groupBy("file", "_i").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("end")).drop("_i")
+    return repeated_runs(_repeated(grams), k)
 
 
 def clone_groups(grams: DataFrame, k: int, texts: DataFrame | None = None) -> DataFrame:
     """(group_id, occurrences, files, tokens) of maximal stretches that are alike as a whole: the group's id is a digest of its k-gram hashes."""
-    runs = clone_runs(grams, k)
-    inside = grams.join(runs.withColumnRenamed("file", "_f"), (F.col("file") == F.col("_f")) & F.col("pos").between(F.col("start"), F.col("end") - k))
-    digests = inside.groupBy("file", "start", "end").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"].cast("string")), ","), 256).alias("group_id"))
-    return digests.groupBy("group_id").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"), F.max(F.col("end") - F.col("start")).alias("tokens")).where("occurrences > 1")
+    return repeated_groups(_repeated(grams), k)
+
+
+def _repeated(grams: DataFrame) -> DataFrame:
+    return grams.join(grams.groupBy("language", "gram").agg(F.count("*").alias("_n")).where("_n > 1").select("language", "gram"), ["language", "gram"])
+
+
+def _stretched(repeated: DataFrame) -> DataFrame:
+    """Rows that have the same _i in a file follow one another. As in a join, no unknown language is equal to another."""
+    return repeated.where("language IS NOT NULL").select("file", "pos", "gram", (F.col("pos") - F.row_number().over(Window.partitionBy("file").orderBy("pos"))).alias("_i"))
+
+
+def repeated_runs(repeated: DataFrame, k: int) -> DataFrame:
+    """clone_runs from rows like those of repeated_kgrams."""
+    return _stretched(repeated).groupBy("file", "_i").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("end")).drop("_i")
+
+
+def repeated_groups(repeated: DataFrame, k: int) -> DataFrame:
+    """clone_groups from rows like those of repeated_kgrams: a stretch's rows are all that it needs, so nothing is joined to it."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"].cast("string"))
+    digests = _stretched(repeated).groupBy("file", "_i").agg((F.max("pos") + k - F.min("pos")).alias("_tokens"), F.sha2(F.array_join(listed, ","), 256).alias("group_id"))
+    return digests.groupBy("group_id").agg(F.count("*").alias("occurrences"), F.countDistinct("file").alias("files"), F.max("_tokens").alias("tokens")).where("occurrences > 1")
 
 
 def logical_runs(events: DataFrame, fn: str, seq: str, pos: str, op: str) -> DataFrame:

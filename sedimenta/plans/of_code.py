@@ -23,7 +23,7 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.kgrams(A.load(spark, sf_dir, "documents"), "doc_id", "lang", "text", K)
+    return code.repeated_kgrams(A.load(spark, sf_dir, "documents"), "doc_id", "lang", "text", K)
 
 
 @query(f"WITH {_GRAMS}, c AS (SELECT language, gram, count(*) AS occurrences, count(DISTINCT file) AS files FROM g GROUP BY ALL HAVING count(*) > 1) SELECT language, occurrences, files, count(*) AS grams FROM c GROUP BY ALL")
@@ -35,7 +35,7 @@ def kgram_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_GRAMS}, r AS (SELECT language, gram FROM g GROUP BY ALL HAVING count(*) > 1), h AS (SELECT DISTINCT file, pos FROM g JOIN r USING (language, gram)),
 i AS (SELECT file, pos, pos - row_number() OVER (PARTITION BY file ORDER BY pos) AS k FROM h) SELECT file, CAST(min(pos) AS INT) AS "start", CAST(max(pos) + {K} AS INT) AS "end" FROM i GROUP BY file, k""")
 def clone_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.clone_runs(_grams(spark, sf_dir), K)
+    return code.repeated_runs(_grams(spark, sf_dir), K)
 
 
 @query(f"""WITH {_GRAMS}, r AS (SELECT language, gram FROM g GROUP BY ALL HAVING count(*) > 1), h AS (SELECT DISTINCT file, pos FROM g JOIN r USING (language, gram)),
@@ -43,7 +43,7 @@ i AS (SELECT file, pos, pos - row_number() OVER (PARTITION BY file ORDER BY pos)
 x AS (SELECT file, b - a AS tokens, array_to_string(ws[a + 1 : b], ' ') AS run FROM s JOIN w USING (file)), c AS (SELECT run, count(*) AS occurrences, count(DISTINCT file) AS files, max(tokens) AS tokens FROM x GROUP BY run HAVING count(*) > 1)
 SELECT occurrences, files, CAST(tokens AS INT) AS tokens, count(*) AS groups FROM c GROUP BY ALL""")
 def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.clone_groups(_grams(spark, sf_dir), K).groupBy("occurrences", "files", "tokens").agg(F.count("*").alias("groups"))
+    return code.repeated_groups(_grams(spark, sf_dir), K).groupBy("occurrences", "files", "tokens").agg(F.count("*").alias("groups"))
 
 
 _EVENTS = """ev AS (SELECT l_orderkey AS fn, l_linenumber AS pos, CASE l_linenumber % 5 WHEN 0 THEN 'decision' WHEN 1 THEN 'operator' WHEN 2 THEN 'operand' WHEN 3 THEN 'else' ELSE 'jump' END AS kind,

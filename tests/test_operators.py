@@ -532,3 +532,21 @@ print("results", len(back.collect()))
     env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell"}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert "results 3000" in out.stdout, out.stderr[-2000:]
+
+
+def test_repeated_kgrams_are_those_found_twice(spark):
+    """Over one bin and over many, over one batch and over several; a language or a text may be unknown."""
+    draw = random.Random(4)
+    texts = [(i, draw.choice(["en", "de", None]), " ".join(draw.choice("abcd") for _ in range(draw.randrange(30)))) for i in range(60)] + [(60, "en", None), (61, "en", "z y x w v u t s"), (62, "de", "z y x w v u t s"), (63, "fr", "q q q q q q q q")]
+    docs = spark.createDataFrame(texts, "f long, l string, t string").repartition(3)
+    every = rows(code.kgrams(docs, "f", "l", "t", 5))
+    seen = {}
+    for _, language, _, gram in every:
+        seen[language, gram] = seen.get((language, gram), 0) + 1
+    expected = [r for r in every if seen[r[1], r[3]] > 1]
+    assert 0 < len(expected) < len(every)
+    for size in (1 << 20, 50):
+        found = code.repeated_kgrams(docs, "f", "l", "t", 5, bin_chars=size)
+        assert rows(found) == expected
+        assert rows(code.repeated_runs(found, 5)) == rows(code.clone_runs(code.kgrams(docs, "f", "l", "t", 5), 5))
+    assert rows(code.repeated_kgrams(docs.limit(0), "f", "l", "t", 5)) == []
