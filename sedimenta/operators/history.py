@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimenta.operators.graph import stored
+
 DAY = 86_400
 WINDOWS = (30, 90, 365)
 #: Commits with more files than this count as changes but make no pairs.
 WIDEST_COMMIT = 50
+#: Pairs that a task counts, about.
+PAIRS_OF_A_TASK = 500_000
 
 
 def head(commits: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMI
     Pairs come from commits of at most ``widest`` files; a file's changes count all its commits. The width bounds
     the pairs of a commit, so pairs grow in proportion to commits. There is no ceiling unless one is given; past that there are no rows at all.
     """
-    files = commit_files.select("commit", "path").distinct()
+    files = stored(commit_files.select("commit", "path").distinct())
     totals = files.groupBy("path").agg(F.count("*").alias("changes"))
     # a commit's width is known before its paths are gathered, so a wide one is never in one place
     widths = files.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") <= widest)
@@ -121,10 +125,12 @@ def coupling(commit_files: DataFrame, least: int = 2, widest: int = WIDEST_COMMI
     if ceiling is not None:
         allowed = narrow.agg((F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)) <= ceiling).alias("allowed"))
         narrow = narrow.crossJoin(F.broadcast(allowed)).where("allowed")
+    # most pairs are found once, so counting them before they are dealt would only fill the memory of whoever lists them
+    n = widths.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
     pairs = (
         narrow.select("paths", F.posexplode("paths").alias("i", "source"))
         .select("source", F.explode(F.expr("slice(paths, i + 2, size(paths))")).alias("target"))
-        .groupBy("source", "target").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
+        .repartition(max(1, -(-n // PAIRS_OF_A_TASK)), "source", "target").groupBy("source", "target").agg(F.count("*").alias("co_changes")).where(F.col("co_changes") >= least)
     )
     of = lambda side: totals.select(F.col("path").alias(side), F.col("changes").alias(f"{side}_changes"))
     both = pairs.join(of("source"), "source").join(of("target"), "target")

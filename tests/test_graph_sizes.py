@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from sedimenta.operators import graph, searches
+from sedimenta.operators import graph, history, searches
 
 
 def islands(seed, n=8, size=9, per=14):
@@ -75,3 +75,15 @@ def test_counts_within_a_cycle_list_no_pairs(spark, monkeypatch):
     edges = spark.range(50).selectExpr("id AS source", "(id + 1) % 50 AS target")
     got = graph.impact_counts(edges, spark.range(51).selectExpr("id AS node")).collect()
     assert {(r.direct_dependents, r.blast_radius) for r in got if r.node < 50} == {(1, 49)} and len(got) == 51
+
+
+def test_pairs_are_counted_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Pairs once went by the session's number of partitions, however many there were."""
+    monkeypatch.setattr(history, "PAIRS_OF_A_TASK", 10)
+    files = spark.range(120).selectExpr("id div 6 AS commit", "id % 9 AS path")
+    pairs = history.coupling(files)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(source#" in plan and ", 30)" in plan
+    commits = [{i % 9 for i in range(6 * c, 6 * c + 6)} for c in range(20)]
+    expected = {(a, b): n for a in range(9) for b in range(a + 1, 9) if (n := sum({a, b} <= c for c in commits)) > 1}
+    assert {(r.source, r.target): r.co_changes for r in pairs.collect()} == expected
