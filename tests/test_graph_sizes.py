@@ -87,3 +87,11 @@ def test_pairs_are_counted_by_as_many_tasks_as_they_need(spark, monkeypatch):
     commits = [{i % 9 for i in range(6 * c, 6 * c + 6)} for c in range(20)]
     expected = {(a, b): n for a in range(9) for b in range(a + 1, 9) if (n := sum({a, b} <= c for c in commits)) > 1}
     assert {(r.source, r.target): r.co_changes for r in pairs.collect()} == expected
+
+
+def test_selection_totals_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "distances", None)
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    edges = spark.createDataFrame([("x/test_a.py", "x/a.py"), ("x/test_b.py", "x/a.py")], "source string, target string")
+    got = graph.selection_totals(paths("x/a.py", "y/b.py"), paths("x/test_a.py", "x/test_b.py", "y/test_c.py", "z/test_d.py"), paths("x/a.py", "y/b.py"), edges)
+    assert got.first()[:] == (4, 3, 0.75, "directory", "no test found: y/b.py")
