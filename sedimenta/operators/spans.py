@@ -62,10 +62,10 @@ def merged_lines(*reports: DataFrame) -> DataFrame:
 
 
 def interval_union(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end) of merged intervals with closed ends; those that only touch by one stay apart."""
-    order = Window.partitionBy(key).orderBy(start, end)
+    """(key, start, end) of merged intervals with closed ends; those that only touch by one stay apart. One without a start is by itself."""
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = intervals.withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int")).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = intervals.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

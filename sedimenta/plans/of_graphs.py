@@ -195,7 +195,7 @@ n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_partkey ORDER BY s, e
 g AS (SELECT *, sum(new) OVER (PARTITION BY l_partkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM n), u AS (SELECT l_partkey, min(s) AS s, max(e) AS e FROM g GROUP BY l_partkey, g)
 SELECT l_partkey, count(*) AS intervals, CAST(sum(e - s + 1) AS BIGINT) AS lines FROM u GROUP BY 1""")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = A.load(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % 1000).alias("s"), (F.col("l_orderkey") % 1000 + F.col("l_quantity").cast("long")).alias("e"))
+    i = A.load(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % 1000).alias("s"), (F.col("l_orderkey") % 1000 + F.rint("l_quantity").cast("long")).alias("e"))
     return spans.interval_union(i, "l_partkey", "s", "e").groupBy("l_partkey").agg(F.count("*").alias("intervals"), F.sum(F.col("e") - F.col("s") + 1).alias("lines"))
 
 

@@ -22,7 +22,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _project(spark: SparkSession, sf_dir: str) -> project.Project:
     files = _files(spark, sf_dir)
     edges = graph.stored(graph.deduplicated(A.raw_edges(spark, sf_dir)))  # three sections count them
-    copies = A.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("group_id"), F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end"))
+    copies = A.load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("group_id"), F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.rint("l_quantity").cast("long")).alias("end"))
     mutants = A.load(spark, sf_dir, "events").select(F.get(F.array(*map(F.lit, security.STATUSES)), (F.col("event_id") % 8).cast("int")).alias("status"))
     return project.Project(files, A.functions(spark, sf_dir), edges, graph.cycles(edges), None, copies, edges.where("target % 5 = 0").withColumn("rule", F.lit("r")), mutants)
 

@@ -550,3 +550,16 @@ def test_repeated_kgrams_are_those_found_twice(spark):
         assert rows(found) == expected
         assert rows(code.repeated_runs(found, 5)) == rows(code.clone_runs(code.kgrams(docs, "f", "l", "t", 5), 5))
     assert rows(code.repeated_kgrams(docs.limit(0), "f", "l", "t", 5)) == []
+
+
+def test_intervals_with_unknown_ends_and_halves_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from sedimenta.plans.catalogue import ORACLE_SQL, QUERIES
+
+    draw = random.Random(2)
+    lines = [(draw.choice([None, 3, 5, 9, 1003]), draw.randrange(4), draw.choice([None, 0.5, 1.5, 2.5, 3.0, 40.0])) for _ in range(60)]
+    spark.createDataFrame(sorted(set(lines), key=repr), "l_orderkey long, l_partkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT DISTINCT l_orderkey % 1000 AS l_orderkey, l_partkey, round_even(l_quantity, 0) AS l_quantity FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE l_orderkey IS NOT NULL AND l_quantity IS NOT NULL UNION ALL SELECT l_orderkey, l_partkey, l_quantity FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE l_orderkey IS NULL OR l_quantity IS NULL")
+    assert rows(QUERIES["interval_union"](spark, str(tmp_path)).select("l_partkey", "intervals", "lines")) == sorted(con.sql(ORACLE_SQL["interval_union"]).fetchall(), key=repr)
